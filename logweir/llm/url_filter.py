@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # fixed values: the vocabulary
-STRICT_TERMS = "casino porn porno xxx viagra cialis spam phishing malware warez escort nsfw hentai sportsbook ransomware".split()
+STRICT_TERMS = "adult casino porn porno xxx viagra cialis spam phishing malware warez escort nsfw hentai sportsbook ransomware".split()
 SOFT_TERMS = "ads adserver banner bet bets betting bonus cheap click crack deal deals farm free jackpot loan loans lottery pill pills poker popup promo slots sponsored torrent track tracker tracking win winner".split()
 STRICT_WEIGHT, SOFT_WEIGHT, LIMIT = 2.0, 1.0, 2.0
 
