@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, sharding, url_filter
+from . import exact_dedup, html_extraction, language_id, mixing, packing, permutation_index, quality, sharding, url_filter
 
 # fixed values: the site rules of op6
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -32,6 +32,13 @@ def remainder(key: str, of: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out)
+    known = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).select("doc_id", "quality")
+    return quality.classify(docs, known, keep=("held_out",))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 5) == 0).alias("held_out"))
     return language_id.identify(docs, docs.where("not held_out"), keep=("held_out",))
@@ -45,6 +52,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules=RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -53,6 +64,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), weights=[1.0] * 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
