@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WHITE, shared_dir, small_batches, text_bytes, written
+from .common import BROADCAST_BYTES, WHITE, small_batches, text_bytes, written
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 998_244_353)
@@ -121,4 +121,17 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", primes: Sequen
     )
 
 
-__all__ = ["combine", "dedup", "fingerprint", "normalised", "powers", "shared_dir"]
+def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that stay, with all columns: of rows that share key and text, any one."""
+    told = written(dedup(df, key, text), "told")
+    marked = df.withColumn("_sha", F.sha2(normalised(text).cast("binary"), 256))
+    pairs = told.groupBy(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
+    pairs = written(pairs.where("not _kept or _n > 1"), "pairs")
+    n = pairs.count()
+    pairs = F.broadcast(pairs) if n * 120 <= BROADCAST_BYTES else pairs
+    joined = marked.join(pairs, marked[key].eqNullSafe(pairs["_k"]) & (F.col("_sha") == F.col("_s")), "left")
+    once = joined.where("_n is null")
+    if not n:
+        return once.select(*df.columns)
+    repeated = joined.where("_kept and _n > 1").dropDuplicates(["_k", "_s"])
+    return once.select(*df.columns).unionByName(repeated.select(*df.columns))
