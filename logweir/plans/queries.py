@@ -1,13 +1,345 @@
-"""Registered queries of the log engine."""
+"""Registered queries of the log engine, each with the SQL that DuckDB runs on the same tables where SQL can express it.
 
+The driver's tables hold no logs: lines are rendered from their columns and decoded again, so SQL states the result from the columns.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import canonical, decoders, lookups, salvage, templates
+from ..operators import chain, clusters, detect, features, lake, matching, merkle, normalize, vault
+from ..sources import packs as sources
+from . import pipeline, rendered
+from .rendered import DPORT, DST, FORMATS, LINE, PACK, SPORT, SRC, USER, events, records
 
-def oracle_sql():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def fields(df: DataFrame, decoded, *names: str, key: str = "event_id") -> DataFrame:
+    """The named fields of a decoded line as columns."""
+    rows = df.withColumn("_f", decoded)
+    return rows.select(key, *[F.try_element_at("_f", F.lit(n)).alias(n) for n in names])
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir).withColumnRenamed("line_no", "event_id")
+    rows = rows.withColumns({"locator": F.concat(F.lit("weir:raw:0:0:0:"), F.octet_length("raw_bytes").cast("string")), "raw_sha256": F.sha2("raw_bytes", 256)})
+    return detect.extract(detect.route(rows))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(extracted(spark, sf_dir), now_ms=0)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route, decode and normalise log lines, and summarise them by source."""
+    rows = normalized(spark, sf_dir)
+    e = F.col("event")
+    return rows.groupBy("pack", e["class_uid"].alias("class_uid")).agg(F.count("*").alias("n"), F.countDistinct(e["src_endpoint"]["ip"]).alias("src_ips"), F.count(e["dst_endpoint"]["port"]).alias("with_dst_port"))
+
+
+@query("flagship", f"""SELECT {PACK} AS pack, CAST(CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 3001 WHEN 2 THEN 2001 WHEN 5 THEN 0 ELSE 4001 END AS INT) AS class_uid, count(*) AS n,
+  count(DISTINCT CASE WHEN event_id % 6 < 5 THEN {SRC} END) AS src_ips, count(CASE WHEN event_id % 6 BETWEEN 1 AND 4 THEN 1 END) AS with_dst_port FROM events GROUP BY ALL""")
+def _(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query("dec1_rfc3164", """SELECT o_orderkey, CAST(o_orderkey % 192 AS VARCHAR) AS pri, 'host' || CAST(o_custkey AS VARCHAR) AS hostname, 'app' AS app, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS pid,
+  CAST(o_orderkey % 192 // 8 AS VARCHAR) AS facility, CAST(o_orderkey % 192 % 8 AS VARCHAR) AS severity, 'order ' || o_orderpriority AS message FROM orders""")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.expr("'<' || CAST(o_orderkey % 192 AS STRING) || '>Oct 12 10:14:22 host' || CAST(o_custkey AS STRING) || ' app' || CASE WHEN o_orderkey % 3 > 0 THEN '[' || CAST(o_custkey AS STRING) || ']' ELSE '' END || ': order ' || o_orderpriority")
+    return fields(df.withColumn("line", line), decoders.rfc3164(F.col("line")), "pri", "hostname", "app", "pid", "facility", "severity", "message", key="o_orderkey")
+
+
+@query("dec2_rfc5424", """SELECT o_orderkey, CAST(o_orderkey % 192 AS VARCHAR) AS pri, 'host' || CAST(o_custkey AS VARCHAR) AS hostname, 'app' AS app, CAST(o_custkey AS VARCHAR) AS procid, 'ID47' AS msgid,
+  CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '[x@1 k="v"]' END AS sd, CAST(o_orderkey % 192 // 8 AS VARCHAR) AS facility, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS message FROM orders""")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.expr("""'<' || CAST(o_orderkey % 192 AS STRING) || '>1 2026-09-26T22:14:15Z host' || CAST(o_custkey AS STRING) || ' app ' || CAST(o_custkey AS STRING) || ' ID47 ' || CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '[x@1 k="v"]' END || CASE WHEN o_orderkey % 5 > 0 THEN ' ' || o_orderpriority ELSE '' END""")
+    return fields(df.withColumn("line", line), decoders.rfc5424(F.col("line")), "pri", "hostname", "app", "procid", "msgid", "sd", "facility", "message", key="o_orderkey")
+
+
+@query("dec3_keyvalue", f"SELECT event_id, 'fw ' || CAST(user_id % 5 AS VARCHAR) AS devname, {SRC} AS srcip, {DPORT} AS dstport, event_type AS action, CAST(event_id AS VARCHAR) AS again FROM events")
+def _(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("line", F.expr(FORMATS[3] + " || ' again=x again=' || CAST(event_id AS STRING)"))
+    return fields(df, decoders.keyvalue(F.col("line")), "devname", "srcip", "dstport", "action", "again")
+
+
+@query("dec4_csv", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS col_0, p_name || ', \"' || p_brand || '\"' AS col_1, p_type AS col_2, '' AS col_3, CAST(p_size AS VARCHAR) AS col_4 FROM part")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.expr('''CAST(p_partkey AS STRING) || ',"' || p_name || ', ""' || p_brand || '""",' || p_type || ',,' || CAST(p_size AS STRING)''')
+    return fields(df.withColumn("line", line), decoders.csv(F.col("line")), *[f"col_{i}" for i in range(5)], key="p_partkey")
+
+
+@query("dec5_cef", f"SELECT event_id, 'Acme' AS device_vendor, CAST(user_id % 9 AS VARCHAR) AS device_event_class_id, event_type AS name, 'High' AS severity, {SRC} AS src, {DPORT} AS dpt, 'deny' AS act FROM events")
+def _(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("line", F.expr("'<34>Oct 1 00:00:00 fw ' || " + FORMATS[4])).withColumn("_f", decoders.cef(F.col("line")))
+    ext = F.from_json(F.try_element_at("_f", F.lit("extension")), decoders.STRINGS)
+    return df.select("event_id", *[F.try_element_at("_f", F.lit(n)).alias(n) for n in ("device_vendor", "device_event_class_id", "name", "severity")], *[F.try_element_at(ext, F.lit(n)).alias(n) for n in ("src", "dpt", "act")])
+
+
+@query("dec6_leef", f"SELECT event_id, '2.0' AS leef_version, 'Acme' AS vendor, event_type AS event_id_field, {SRC} AS src, {USER} AS usr FROM events")
+def _(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("line", F.expr(f"'LEEF:2.0|Acme|Wall|1|' || event_type || '|src=' || {SRC} || chr(9) || 'usr=' || {USER}")).withColumn("_f", decoders.leef(F.col("line")))
+    ext = F.from_json(F.try_element_at("_f", F.lit("extension")), decoders.STRINGS)
+    return df.select("event_id", F.try_element_at("_f", F.lit("leef_version")).alias("leef_version"), F.try_element_at("_f", F.lit("vendor")).alias("vendor"), F.try_element_at("_f", F.lit("event_id")).alias("event_id_field"), F.try_element_at(ext, F.lit("src")).alias("src"), F.try_element_at(ext, F.lit("usr")).alias("usr"))
+
+
+@query("dec7_json", f"SELECT event_id, event_type, {SRC} AS src_ip, {SPORT} AS src_port, json_extract_string(props, '$.k') AS k FROM events")
+def _(spark, sf_dir):
+    line = F.concat(F.lit("syslog header "), F.expr(FORMATS[2]), F.lit(" tail"))
+    df = events(spark, sf_dir).withColumns({"_a": decoders.json_object(line), "_b": decoders.json_object(F.col("props"))})
+    return df.select("event_id", *[F.try_element_at("_a", F.lit(n)).alias(n) for n in ("event_type", "src_ip", "src_port")], F.try_element_at("_b", F.lit("k")).alias("k"))
+
+
+@query("dec8_xml", "SELECT s_suppkey, s_name AS name, CAST(s_nationkey AS VARCHAR) AS id FROM supplier")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    line = F.expr("""'<Event xmlns="http://example.org/x"><System><Name a="1">' || s_name || '</Name><Id n="' || CAST(s_nationkey AS STRING) || '"/></System></Event>'""")
+    body = F.try_element_at(decoders.xml(line), F.lit("Event"))
+    return df.select("s_suppkey", F.get_json_object(body, "$.System.Name").alias("name"), F.get_json_object(body, "$.System.Id.@n").alias("id"))
+
+
+@query("dec9_regex", f"SELECT event_id, {USER} AS username, {SRC} AS src_ip, {SPORT} AS src_port, CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Accepted' END AS action FROM events")
+def _(spark, sf_dir):
+    pack = next(p for p in sources.BUILT_IN if p.id == "linux_sshd")
+    df = events(spark, sf_dir).withColumn("line", F.expr(FORMATS[0]))
+    return fields(df, decoders.groups(F.col("line"), pack.regex), "username", "src_ip", "src_port", "action")
+
+
+@query("prd1_prd2_route", f"SELECT {PACK} AS pack, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'regex' WHEN 1 THEN 'regex' WHEN 2 THEN 'json' WHEN 3 THEN 'keyvalue' WHEN 4 THEN 'cef' ELSE 'salvage' END AS decoder, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    return extracted(spark, sf_dir).groupBy("pack", "decoder").agg(F.count("*").alias("n"))
+
+
+@query("src9_packs")
+def _(spark, sf_dir):
+    return sources.listing(spark).select("place", "pack", "vendor", "class_uid", "mappings")
+
+
+@query("src7_records", f"SELECT event_id AS line_no, {LINE} AS raw_text, CAST(strlen({LINE}) AS INT) AS n_bytes FROM events")
+def _(spark, sf_dir):
+    return records(spark, sf_dir).select("line_no", "raw_text", F.octet_length("raw_bytes").alias("n_bytes"))
+
+
+DUCK = {k: p.replace("(?i)", "") for k, p in salvage.PATTERNS.items()}
+
+
+def duck(pattern: str, flags: str = "") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"CAST(len(list_distinct(regexp_extract_all(text, '{flags}{quoted}'))) AS INT)"
+
+
+@query("sal_observables", f"SELECT doc_id, {duck(DUCK['ip_addresses'])} AS ips, {duck(DUCK['mac_addresses'])} AS macs, {duck(DUCK['emails'])} AS emails, {duck(DUCK['hashes_md5'])} AS md5s, {duck(DUCK['hashes_sha256'])} AS sha256s FROM documents")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", salvage.observables(F.col("text")).alias("o"))
+    n = lambda c: F.coalesce(F.size(F.col(f"o.{c}")), F.lit(0))
+    return df.select("doc_id", n("ip_addresses").alias("ips"), n("mac_addresses").alias("macs"), n("emails").alias("emails"), n("hashes_md5").alias("md5s"), n("hashes_sha256").alias("sha256s"))
+
+
+@query("sal5_ports", f"SELECT event_id, {DPORT} AS ports, {SRC} AS ips FROM events WHERE event_id % 6 = 5")
+def _(spark, sf_dir):
+    df = events(spark, sf_dir).where("event_id % 6 = 5").select("event_id", salvage.observables(F.col("line")).alias("o"))
+    return df.select("event_id", F.array_join("o.ports", ",").alias("ports"), F.array_join("o.ip_addresses", ",").alias("ips"))
+
+
+@query("tpl2_tpl4_templates", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n, CAST(0.6 AS DOUBLE) AS specificity,
+  row_number() OVER (ORDER BY min(event_id)) AS cluster_id FROM events WHERE event_id % 6 = 5 GROUP BY event_type""")
+def _(spark, sf_dir):
+    found = clusters.summary(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id")
+    return found.select("template", F.col("count").alias("n"), "specificity", "cluster_id")
+
+
+@query("tpl5_cluster_sizes", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS cluster_size FROM events WHERE event_id % 6 = 5")
+def _(spark, sf_dir):
+    return clusters.assign(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id").select("event_id", "cluster_size")
+
+
+@query("tpl6_top", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n FROM events WHERE event_id % 6 = 5 GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 3""")
+def _(spark, sf_dir):
+    return clusters.top(events(spark, sf_dir).where("event_id % 6 = 5"), 3, "line", "event_id").select("template", F.col("count").alias("n"))
+
+
+@query("tpl1_refine")
+def _(spark, sf_dir):
+    known = clusters.summary(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id")
+    return clusters.refine(known).groupBy("merged").agg(F.sum("count").alias("n"))
+
+
+@query("inf1_types", """SELECT event_id, 'ip' AS a, 'port' AS b, 'url' AS c, 'email' AS d, 'bool' AS e, 'timestamp' AS f, 'string' AS g FROM events""")
+def _(spark, sf_dir):
+    df = events(spark, sf_dir)
+    kind = lambda key, value: matching.value_type(F.lit(key), F.array(value))
+    return df.select("event_id", kind("addr", F.expr(SRC)).alias("a"), kind("sport", F.expr(SPORT)).alias("b"), kind("ref", F.concat(F.lit("http://h/"), F.col("event_type"))).alias("c"), kind("who", F.concat(F.expr(USER), F.lit("@example.org"))).alias("d"), kind("flag", F.lit("true")).alias("e"), kind("seen", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("f"), kind("kind", F.concat(F.lit("x"), F.col("event_type"))).alias("g"))
+
+
+@query("inf10_match", """SELECT * FROM (VALUES ('src_ip', 'AUTO_MAP', 'src_endpoint.ip', 1.0), ('dport', 'AUTO_MAP', 'dst_endpoint.port', 1.0), ('username', 'AUTO_MAP', 'actor.user.name', 0.94), ('log-level', 'AUTO_MAP', 'severity_id', 0.94)) t(key, decision, target_field, confidence)""")
+def _(spark, sf_dir):
+    rows = spark.createDataFrame([("src_ip", ["10.0.0.1"], None), ("dport", ["443"], None), ("username", ["root"], None), ("log-level", ["high"], None)], "key string, samples array<string>, vendor string")
+    return matching.match(rows).select("key", "decision", "target_field", F.col("confidence").cast("decimal(3,2)").cast("double").alias("confidence")).withColumn("confidence", F.col("confidence").cast("decimal(3,2)"))
+
+
+SQL["inf10_match"] = SQL["inf10_match"].replace("SELECT * FROM", "SELECT key, decision, target_field, CAST(confidence AS DECIMAL(3,2)) AS confidence FROM")
+
+
+@query("nrm_normalize", f"""SELECT event_id, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Accepted' END WHEN 1 THEN 'Built' WHEN 4 THEN 'deny' WHEN 5 THEN NULL ELSE event_type END AS activity_name,
+  CAST(CASE WHEN event_id % 6 = 4 THEN 2 END AS INT) AS disposition_id, CASE WHEN event_id % 6 < 5 THEN {SRC} END AS src_ip, CAST(CASE WHEN event_id % 6 < 5 THEN {SPORT} END AS INT) AS src_port,
+  CASE WHEN event_id % 6 BETWEEN 1 AND 4 THEN {DST} END AS dst_ip, CASE WHEN event_id % 6 = 0 THEN {USER} END AS user_name, CASE WHEN event_id % 6 = 3 THEN 'fw ' || CAST(user_id % 5 AS VARCHAR) END AS hostname,
+  CASE WHEN event_id % 6 = 4 THEN 'Acme' WHEN event_id % 6 = 0 THEN 'Linux' WHEN event_id % 6 = 1 THEN 'Cisco' WHEN event_id % 6 = 2 THEN 'OISF' WHEN event_id % 6 = 3 THEN 'Fortinet' ELSE 'Generic' END AS vendor, true AS valid FROM events""")
+def _(spark, sf_dir):
+    e = F.col("event")
+    return normalized(spark, sf_dir).select("event_id", e["activity_name"].alias("activity_name"), e["disposition_id"].alias("disposition_id"), e["src_endpoint"]["ip"].alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), e["dst_endpoint"]["ip"].alias("dst_ip"), e["actor"]["user"]["name"].alias("user_name"), e["device"]["hostname"].alias("hostname"), e["metadata"]["product"]["vendor_name"].alias("vendor"), normalize.valid(e).alias("valid"))
+
+
+@query("nrm67_lookups", """SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 ELSE 1 END AS INT) AS severity_id,
+  CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS INT) AS disposition_id, CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS INT) AS status_id FROM orders""")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    word = F.when(F.col("o_orderpriority") == "1-URGENT", "CRITICAL").when(F.col("o_orderpriority") == "2-HIGH", "High").when(F.col("o_orderpriority") == "3-MEDIUM", "warn").otherwise("other")
+    act = F.when(F.col("o_orderstatus") == "F", "Denied").when(F.col("o_orderstatus") == "O", "ACCEPT").otherwise("?")
+    state = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "OK").otherwise("unknown")
+    return df.select("o_orderkey", lookups.severity_id(word).alias("severity_id"), lookups.disposition_id(act).alias("disposition_id"), lookups.status_id(state).alias("status_id"))
+
+
+@query("sequence", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM events")
+def _(spark, sf_dir):
+    return chain.sequenced(events(spark, sf_dir).select("event_id", "ts"), "ts", "event_id", parts=16).select("event_id", "sequence")
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lake rows of the rendered lines."""
+    return lake.flat(pipeline.process(records(spark, sf_dir), inference=False).events)
+
+
+@query("att4_att5_chain", "SELECT true AS ok, count(*) AS events, CAST(NULL AS BIGINT) AS broken_sequence FROM events")
+def _(spark, sf_dir):
+    return chain.verify(chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json"))
+
+
+@query("att15_tamper", "SELECT false AS ok, count(*) AS events, CAST(500 AS BIGINT) AS broken_sequence FROM events")
+def _(spark, sf_dir):
+    rows = chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json")
+    return chain.verify(chain.tampered(rows, 500, "raw_data", "forged").drop("raw_data")) if "raw_data" in rows.columns else chain.verify(chain.tampered(rows.withColumn("raw_data", F.lit("")), 500, "raw_data", "forged"))
+
+
+@query("att8_merkle_levels", "WITH RECURSIVE l(level, n) AS (SELECT 0, count(*) FROM events UNION ALL SELECT level + 1, (n + 1) // 2 FROM l WHERE n > 1) SELECT CAST(level AS INT) AS level, n FROM l")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.col("event_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("fp"))
+    numbered = chain.sequenced(rows, "event_id", start=0, parts=16)
+    return merkle.levels(numbered, "sequence", "fp").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("att12_blocks", "SELECT max(event_id + 1) AS checkpoint_seq, count(*) AS events FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM events) GROUP BY event_id // 1000")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"))
+    return merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)).select("checkpoint_seq", "events")
+
+
+@query("att1_att2_canonical", """SELECT event_id, sha256('{"a":"' || event_type || '","b":' || CAST(user_id AS VARCHAR) || '}') AS digest FROM events""")
+def _(spark, sf_dir):
+    text = F.expr("""'{ "b" : ' || CAST(user_id AS STRING) || ', "a": "' || event_type || '" }'""")
+    return events(spark, sf_dir).select("event_id", canonical.digest(canonical.canonical(text)).alias("digest"))
+
+
+@query("vlt_round_trip", f"SELECT count(*) AS records, count(*) AS matching, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes FROM events")
+def _(spark, sf_dir):
+    from ..sources.tables import written
+
+    placed = written(vault.place(records(spark, sf_dir), block_bytes=1 << 16), "placed")
+    table = written(vault.blocks(placed), "blocks")
+    return vault.audit(placed, table).crossJoin(table.agg(F.sum("ulen").alias("bytes")))  # one row each
+
+
+@query("vlt5_locators", "SELECT event_id, CAST(user_id % 7 AS INT) AS seg, CAST(event_id % 5 AS INT) AS block, event_id AS off, CAST(user_id AS INT) AS len FROM events")
+def _(spark, sf_dir):
+    made = vault.locator(F.col("user_id") % 7, F.col("event_id") % 5, F.col("event_id"), F.col("user_id"))
+    return events(spark, sf_dir).select("event_id", vault.parse_locator(made).alias("l")).select("event_id", "l.*")
+
+
+LAKE = f"SELECT event_id, CAST(CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 3001 WHEN 2 THEN 2001 WHEN 5 THEN 0 ELSE 4001 END AS INT) AS class_uid, CASE WHEN event_id % 6 < 5 THEN {SRC} ELSE '' END AS src_ip, CAST(CASE WHEN event_id % 6 < 5 THEN {SPORT} END AS INT) AS src_port, CAST(CASE WHEN event_id % 6 BETWEEN 1 AND 4 THEN {DPORT} END AS INT) AS dst_port, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Accepted' END WHEN 1 THEN 'Built' WHEN 4 THEN 'deny' WHEN 5 THEN '' ELSE event_type END AS activity_name, event_type, ts FROM events"
+
+
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lake-like rows without chain, for queries of the read side."""
+    e = F.col("event")
+    rows = normalized(spark, sf_dir)
+    return rows.select("event_id", e["class_uid"].alias("class_uid"), F.coalesce(e["src_endpoint"]["ip"], F.lit("")).alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), e["dst_endpoint"]["port"].alias("dst_port"), F.coalesce(e["activity_name"], F.lit("")).alias("activity_name"))
+
+
+@query("prd5_filter", f"SELECT event_id, src_ip, dst_port FROM ({LAKE}) WHERE class_uid = 4001 AND dst_port < 100 ORDER BY event_id")
+def _(spark, sf_dir):
+    from ..client import aliased
+
+    return flat(spark, sf_dir).where(aliased("class_uid = 4001 AND dst_endpoint.port < 100")).orderBy("event_id").select("event_id", "src_ip", "dst_port")
+
+
+@query("srt3_latest", f"SELECT event_id, class_uid, activity_name FROM ({LAKE}) ORDER BY event_id DESC LIMIT 50")
+def _(spark, sf_dir):
+    return flat(spark, sf_dir).orderBy(F.desc("event_id")).limit(50).select("event_id", "class_uid", "activity_name")
+
+
+@query("agg1_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, min(epoch_ms(ts)) AS first_ms, max(epoch_ms(ts)) AS last_ms FROM events")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.unix_millis("ts")).alias("first_ms"), F.max(F.unix_millis("ts")).alias("last_ms"))
+
+
+@query("agg3_counters", f"SELECT count(*) AS records, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, count(*) FILTER (event_id % 6 < 5) AS claimed, count(*) FILTER (event_id % 6 = 5) AS salvaged, count(*) FILTER (event_id % 6 = 2) AS alerts FROM events")
+def _(spark, sf_dir):
+    return features.counters(normalized(spark, sf_dir)).select("records", "bytes", "claimed", "salvaged", "alerts")
+
+
+@query("fea1_features", f"SELECT event_id, CAST(class_uid AS FLOAT) AS class_uid, CAST(class_uid = 4001 AS FLOAT) AS is_network, CAST(contains(lower(activity_name), 'fail') OR contains(lower(activity_name), 'deny') AS FLOAT) AS is_failed, CAST(coalesce(src_port, 0) AS FLOAT) AS src_port, CAST(coalesce(dst_port, 0) AS FLOAT) AS dst_port FROM ({LAKE})")
+def _(spark, sf_dir):
+    return features.rows(flat(spark, sf_dir), "event_id")
+
+
+@query("fea2_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS events, count(DISTINCT user_id % 200) AS src_ips FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis("ts").alias("timestamp"), (F.col("user_id") % 200).alias("src_ip"), F.lit(0).alias("dst_port"), F.col("event_type").alias("activity_name"), F.lit(4001).alias("class_uid"))
+    return features.windows(df, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "events", "src_ips")
+
+
+@query("nrm12_lineage", f"SELECT event_id, {PACK} AS pack, CASE WHEN event_id % 6 = 5 THEN 'SALVAGE_FALLBACK' ELSE 'CLAIMED' END AS status, CAST(strlen({LINE}) AS INT) AS byte_length, 'GREEN' AS band FROM events")
+def _(spark, sf_dir):
+    rows = normalized(spark, sf_dir).withColumns({"fingerprint": F.lit(""), "prev_hash": F.lit("")})
+    return normalize.lineage(rows).select("event_id", F.col("lineage.stage_2_detection.pack").alias("pack"), F.col("lineage.stage_2_detection.status").alias("status"), F.col("lineage.stage_1_raw.byte_length").alias("byte_length"), F.col("lineage.stage_4_inference.confidence_band").alias("band"))
+
+
+@query("inf11_infer_review")
+def _(spark, sf_dir):
+    lines_ = events(spark, sf_dir).select("event_id", F.expr(f"'temp=' || CAST(user_id AS STRING) || ' status=' || event_type || ' client_address=' || {SRC}").alias("raw_text"))
+    return matching.infer(lines_).select("event_id", F.to_json("mappings").alias("mappings"), "confidence", F.size("review").alias("to_review"))
+
+
+@query("snk1_lake")
+def _(spark, sf_dir):
+    return chained(spark, sf_dir).select("event_id", "sequence", "class_uid", "src_ip", "fingerprint")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "rendered", "templates"]
