@@ -5,8 +5,8 @@ shingles is, rare first, then their hash. A set's prefix in this order must meet
 (shingle, set) of prefixes give the candidates. For candidates the order is cut into fragments: each fragment counts the overlap of a
 pair apart, and the counts are summed per pair and compared with the exact threshold.
 
-Equal sets are one node from the start. Within a posting list pairs are not enumerated at first: each set names the neighbour before it
-and the list's first set, the best-supported of these is verified, and sets so linked form components. Then only pairs of different
+Equal sets are one node from the start. Within a posting list pairs are not enumerated at first: each set is paired with the list's
+leaders only (least by several hashes), these pairs are verified, and sets so linked form components. Then only pairs of different
 components are enumerated, under bounds that lose no link (lengths, places, least number of shared prefix shingles), and verified.
 So groups of near copies of any size cost a few pairs per member, and the components are exact.
 
@@ -22,8 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, mix64, slices, small_batches, text_bytes, word_spans, written
@@ -34,6 +33,8 @@ BUCKET_BITS = 16
 CLASS_SHIFT = 59
 FRAGMENTS = 8
 SALTS = 64
+#: Leaders of a posting list. More of them leave fewer pairs to be enumerated; the result is the same.
+LEADERS = 6
 BASE = 0x5851F42D4C957F2D
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -174,6 +175,7 @@ class Join:
         self.docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
         self.kind = dict(self.docs.dtypes)["k"]
         self.words, self.percent, self.fragments = words, percent, fragments
+        self.repeats = True  # whether rows may share key and set
         self.levels = self.spark.sparkContext.broadcast(classes(bucket_counts(self.docs, words, bits)))
 
     def signed(self) -> DataFrame:
@@ -222,7 +224,8 @@ class Join:
                     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(token))
                     yield pa.RecordBatch.from_arrays([pa.array(expected[i:j][row[at]]), pa.array((part[at] % fragments).astype(np.int32)), lists], names=["node", "fragment", "segment"])
 
-        return texts.mapInArrow(cut, "node long, fragment int, segment array<long>").dropDuplicates(["node", "fragment"])
+        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>")
+        return out.dropDuplicates(["node", "fragment"]) if self.repeats else out
 
     def linked(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, nu, v, nv) whose overlap, summed over fragments, reaches the threshold."""
@@ -242,20 +245,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     signed = written(join.signed(), "signed")
     salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("salt")
     sized = signed.where("n > 0")
+    join.repeats = not sized.groupBy("k", "sig").count().where("count > 1").isEmpty()
     # equal sets are one node; a set's copies are combined per task before they meet
     nodes = written(sized.groupBy("sig", "n").agg(F.min("k").alias("k")), "nodes")
     posted = sized.groupBy("sig", "n").agg(F.first("prefix").alias("prefix")).select("sig", "n", F.posexplode("prefix").alias("at", "w"))
-    near = Window.partitionBy("w").orderBy("n", "sig")
-    so_far = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    this = F.struct("sig", "n")
-    lists = posted.select("w", "sig", "n", "at", F.lag(this).over(near).alias("before"), F.lead(F.lit(1)).over(near).alias("after"), F.first(this).over(so_far).alias("leader"))
-    shared = written(lists.where("before is not null or after is not null").select("w", "sig", "n", "at", "before", "leader"), "postings")
-
-    # first links: each set with its best-supported neighbour or leader
-    named = shared.where("before is not null").select("sig", "n", F.explode(F.array_distinct(F.array("before", "leader"))).alias("o")).where("o.sig <> sig")
+    near = Window.partitionBy("w").orderBy("sig")
+    lists = posted.select("w", "sig", "n", "at", F.lag(F.lit(1)).over(near).alias("before"), F.lead(F.lit(1)).over(near).alias("after"))
+    shared = written(lists.where("before is not null or after is not null").drop("before", "after"), "postings")
+
+    # first links: each set with the leaders (least by several hashes) of its lists, where they share as much as links must
+    lead = lambda r: F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "n"))
+    leaders = shared.groupBy("w").agg(*[lead(r).alias(f"l{r}") for r in range(LEADERS)])
+    leaders = leaders.select("w", F.array_distinct(F.array(*[F.struct(f"l{r}.sig", f"l{r}.n") for r in range(LEADERS)])).alias("leaders"))
+    named = shared.join(leaders, "w").select("sig", "n", F.explode("leaders").alias("o")).where(F.col("o.sig") != F.col("sig"))
     named = named.where(close(F.col("n"), F.col("o.n"), percent)).groupBy("sig", "n", "o").agg(F.count("*").alias("c"))
-    named = named.where(F.col("c") * 4 >= support(F.col("n"), F.col("o.n"), percent)).groupBy("sig", "n").agg(F.max(F.struct("c", "o")).alias("best"))
-    first = join.linked(named.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("best.o.sig").alias("v"), F.col("best.o.n").alias("nv")), nodes)
+    named = named.where(F.col("c") >= support(F.col("n"), F.col("o.n"), percent))
+    named = named.select(F.least("sig", "o.sig").alias("u"), F.when(F.col("sig") < F.col("o.sig"), F.col("n")).otherwise(F.col("o.n")).alias("nu"), F.greatest("sig", "o.sig").alias("v"), F.when(F.col("sig") < F.col("o.sig"), F.col("o.n")).otherwise(F.col("n")).alias("nv")).distinct()
+    first = join.linked(named, nodes)
     first = written(first, "first-links")
     label = components(first)
 
