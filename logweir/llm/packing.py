@@ -7,8 +7,8 @@ out. Its fractional copies are rounded down and what remains is placed best-fit
 piece then needs only its rank among the pieces of its length to know its sequence and offset; ranks come from counts per bucket.
 
 Defined cases: null and empty texts are a piece with the end id alone; rows that share an id are documents of their own; an empty table
-gives an empty table; further columns are ignored. Words are cut at ASCII white space, which the tokenizer drops as well, so that each
-distinct word is tokenized once per task.
+gives an empty table; further columns are ignored. Words are cut at ASCII white space, which the tokenizer drops as well, so that a
+distinct word is tokenized once and then looked up.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from .common import small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words kept by a task between batches.
-CACHED_WORDS = 300_000
+#: Distinct words, and pieces of words, that a worker keeps between batches.
+CACHED_WORDS, CACHED_PIECES = 400_000, 1_000_000
 #: Rows ranked by one task at most, on average.
 BUCKET_ROWS = 50_000
 #: Pricing rounds of the linear program.
@@ -40,27 +41,61 @@ STEP, SKEW = 0.05, 1.02
 Config = tuple[tuple[int, int], ...]
 
 
+# fixed values: how the word vocabulary cuts lower-cased words, and the words for which that is all it does
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile("[!-~\u00c0-\u00ff]+")
+SPECIAL = "<|"
+
+
 class WordTokens:
-    """Token ids of texts, word by word, as little-endian bytes."""
+    """Token ids of texts, word by word, as little-endian bytes.
+
+    Words and their pieces are kept, as texts repeat them. Words beyond ASCII and Latin-1 letters, and those that could be special
+    tokens, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str]) -> None:
+        plain, other = [], []
+        for word in fresh:
+            (plain if PLAIN.fullmatch(word) and SPECIAL not in word else other).append(word)
+        self.words.update(zip(other, self.encoded(other), strict=True))
+        cut = [PIECES.findall(word.lower()) for word in plain]
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces = {}
+        missing = list(set().union(*cut) - self.pieces.keys())
+        self.pieces.update(zip(missing, self.encoded(missing), strict=True))
+        for word, parts in zip(plain, cut, strict=True):
+            self.words[word] = b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = set().union(*split) - self.known.keys()
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known = {"": b""}
-            fresh = set().union(*split) - {""}
-        fresh = list(fresh)
-        for word, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) > CACHED_WORDS:
+            self.words = {"": b""}
+        self.learn(list(set().union(*split) - self.words.keys()))
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(self.words.__getitem__, words))
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def tokens_of(path: str) -> WordTokens:
+    """The worker's tokenizer, kept from task to task."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def best_values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +230,7 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = WordTokens(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens, end = tokens_of(vocabulary), np.array([end_id], "<u4").tobytes()
         for b in batches:
             row, out = [], []
             for i, data in enumerate(tokens.ids([t or "" for t in b.column(1).to_pylist()])):
