@@ -26,7 +26,7 @@ BLOCK_WORDS = 256
 SHARDS = 64
 SEED = 20
 #: Rows summed by one task at most, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: numpy's hypergeometric draws end here; larger draws are normal, rounded, with the same mean and variance.
 LARGE = 900_000_000
 
