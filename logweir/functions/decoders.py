@@ -25,6 +25,11 @@ BETWEEN, BEFORE = "\x1e\x01", "\x1e\x02"
 STRINGS = "map<string,string>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once however often it is used; plans stay small where decoders nest."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -37,18 +42,28 @@ def groups(text: Column, pattern: str) -> Column:
     """
     known = re.compile(pattern).groupindex
     java = re.sub(r"\(\?P<(\w+)>", "(", pattern)
-    joined = F.regexp_replace(text, f"(?s:^.*?){java}(?s:.*)$" if not java.startswith("^") else f"{java}(?s:.*)$" if not java.endswith("$") else java, BEFORE + BETWEEN.join(f"${i}" for i in known.values()))
-    parts = F.split(F.substring(joined, len(BEFORE) + 1, 1 << 30), BETWEEN)
-    optional = {name for name in known if re.search(rf"\(\?:(?:(?!\(\?P<).)*\(\?P<{name}>(?:[^()]|\([^()]*\))*\)(?:[^()])*\)\?", pattern)}
-    values = [F.when(F.get(parts, F.lit(i)) != "", F.get(parts, F.lit(i))) if name in optional else F.get(parts, F.lit(i)) for i, name in enumerate(known)]
-    return F.when(joined.startswith(BEFORE), F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*values)))
+    whole = f"(?s:^.*?){java}(?s:.*)$" if not java.startswith("^") else f"{java}(?s:.*)$" if not java.endswith("$") else java
+    joined = F.regexp_replace(text, whole, BEFORE + BETWEEN.join(f"${i}" for i in known.values()))
+    optional = [i for i, name in enumerate(known) if re.search(rf"\(\?:(?:(?!\(\?P<).)*\(\?P<{name}>(?:[^()]|\([^()]*\))*\)(?:[^()])*\)\?", pattern)]
+    names = F.array(*map(F.lit, known))
+
+    def split(row: Column) -> Column:
+        parts = F.split(F.substring(row, len(BEFORE) + 1, 1 << 30), BETWEEN)
+        if optional:
+            parts = F.transform(parts, lambda v, i: F.when((v != "") | ~i.isin(optional), v))
+        return F.when(row.startswith(BEFORE), F.map_from_arrays(names, parts))
+
+    return let(joined, split)
 
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of parallel arrays in which later values of a key replace earlier ones."""
-    own = F.array_distinct(keys)
-    back = F.reverse(keys)
-    return F.map_from_arrays(own, F.transform(own, lambda k: F.element_at(values, (F.size(values) - F.array_position(back, k) + 1).cast("int"))))
+    def made(p: Column) -> Column:
+        back = F.reverse(p["k"])
+        last = lambda k: F.element_at(p["v"], (F.size(p["v"]) - F.array_position(back, k) + 1).cast("int"))
+        return let(F.array_distinct(p["k"]), lambda own: F.map_from_arrays(own, F.transform(own, last)))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), made)
 
 
 def with_entries(fields: Column, names: Sequence[str], values: Sequence[Column]) -> Column:
@@ -57,9 +72,8 @@ def with_entries(fields: Column, names: Sequence[str], values: Sequence[Column])
 
 def syslog(pattern: str) -> Callable[[Column], Column]:
     def decode(text: Column) -> Column:
-        fields = groups(stripped(text), pattern)
-        pri = F.element_at(fields, "pri").cast("int")
-        return with_entries(fields, ["facility", "severity"], [F.shiftright(pri, 3).cast("string"), pri.bitwiseAND(7).cast("string")])
+        pri = lambda fields: F.element_at(fields, "pri").cast("int")
+        return let(groups(stripped(text), pattern), lambda f: with_entries(f, ["facility", "severity"], [F.shiftright(pri(f), 3).cast("string"), pri(f).bitwiseAND(F.lit(7)).cast("string")]))
 
     return decode
 
@@ -76,13 +90,12 @@ def pairs(text: Column) -> Column:
     """All key=value pairs, quotes stripped; null if there is none."""
     keys = F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(1))
     values = F.transform(F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(2)), unquoted)
-    return F.when(F.size(keys) > 0, last_wins(keys, values))
+    return let(last_wins(keys, values), lambda m: F.when(F.size(m) > 0, m))
 
 
 def keyvalue(text: Column) -> Column:
     """Pairs, if there are two keys at least."""
-    found = pairs(text)
-    return F.when(F.size(found) >= 2, found)
+    return let(pairs(text), lambda m: F.when(F.size(m) >= 2, m))
 
 
 def csv(text: Column, delimiter: str = ",", headers: Sequence[str] | None = None) -> Column:
@@ -91,24 +104,29 @@ def csv(text: Column, delimiter: str = ",", headers: Sequence[str] | None = None
     line = F.concat(F.lit(delimiter), stripped(text))
     cells = F.regexp_extract_all(line, F.lit(rf'{d}("(?:[^"]|"")*"[^{d}]*|[^{d}]*)'), F.lit(1))
     plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, r'^"((?:[^"]|"")*)"', "$1"), '""', '"')).otherwise(c))
-    if headers:
-        n = F.least(F.size(plain), F.lit(len(headers)))
-        return F.when(F.length(stripped(text)) > 0, F.map_from_arrays(F.slice(F.array(*map(F.lit, headers)), F.lit(1), n), F.slice(plain, F.lit(1), n)))
-    names = F.transform(plain, lambda c, i: F.concat(F.lit("col_"), i.cast("string")))
-    return F.when(F.length(stripped(text)) > 0, F.map_from_arrays(names, plain))
+
+    def named(row: Column) -> Column:
+        if headers:
+            n = F.least(F.size(row), F.lit(len(headers)))
+            return F.map_from_arrays(F.slice(F.array(*map(F.lit, headers)), F.lit(1), n), F.slice(row, F.lit(1), n))
+        return F.map_from_arrays(F.transform(row, lambda c, i: F.concat(F.lit("col_"), i.cast("string"))), row)
+
+    return F.when(F.length(stripped(text)) > 0, let(plain, named))
 
 
 def from_mark(text: Column, mark: str) -> Column:
     """The text from a format's mark on, which a syslog header may precede."""
-    own = stripped(text)
-    return F.when(F.instr(own, mark) > 0, F.substring(own, F.instr(own, mark), F.length(own)))
+    return let(stripped(text), lambda own: F.when(F.instr(own, mark) > 0, F.substring(own, F.instr(own, mark), F.length(own))))
 
 
 def with_extension(fields: Column, decode: Callable[[Column], Column]) -> Column:
     """The header fields; the extension's pairs as JSON text under "extension", if they can be read."""
-    ext = decode(F.element_at(fields, "extension"))
-    head = F.map_filter(fields, lambda k, v: k != "extension")
-    return F.when(ext.isNotNull(), with_entries(head, ["extension"], [F.to_json(ext)])).otherwise(head)
+
+    def joined(f: Column) -> Column:
+        head = F.map_filter(f, lambda k, v: k != "extension")
+        return let(F.to_json(decode(F.element_at(f, "extension"))), lambda ext: F.when(ext.isNotNull(), F.map_concat(head, F.create_map(F.lit("extension"), ext))).otherwise(head))
+
+    return let(fields, joined)
 
 
 def cef(text: Column) -> Column:
@@ -121,9 +139,11 @@ def leef(text: Column) -> Column:
 
 def embedded(text: Column, first: str, last: str) -> Column:
     """The text from the first to the last bracket."""
-    own = stripped(text)
-    start, end = F.instr(own, first), F.length(own) - F.instr(F.reverse(own), last) + 1
-    return F.when((start > 0) & (F.instr(own, last) > 0) & (end > start), F.substring(own, start, end - start + 1))
+    def cut(own: Column) -> Column:
+        start, end = F.instr(own, first), F.length(own) - F.instr(F.reverse(own), last) + 1
+        return F.when((start > 0) & (F.instr(own, last) > 0) & (end > start), F.substring(own, start, end - start + 1))
+
+    return let(stripped(text), cut)
 
 
 def json_object(text: Column) -> Column:
@@ -167,7 +187,7 @@ DECODERS: dict[str, Callable[[Column], Column]] = {"syslog_rfc3164": rfc3164, "s
 def chain(text: Column, names: Sequence[str], pattern: str | None = None) -> tuple[Column, Column]:
     """(fields, decoder's name) of the first decoder that yields fields; unknown names and a regex without pattern are passed over."""
     tried = [(n, groups(text, pattern) if n == "regex" else DECODERS[n](text)) for n in names if n in DECODERS or (n == "regex" and pattern)]
-    filled = [(n, F.when(F.size(d) > 0, d)) for n, d in tried]
+    filled = [(n, let(d, lambda m: F.when(F.size(m) > 0, m))) for n, d in tried]
     if not filled:
         return F.lit(None).cast(STRINGS), F.lit(None).cast("string")
     return F.coalesce(*[d for _, d in filled]), F.coalesce(*[F.when(d.isNotNull(), F.lit(n)) for n, d in filled])

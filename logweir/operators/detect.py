@@ -51,28 +51,36 @@ def route(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, text: str = "raw_text
 
 
 def extract(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, text: str = "raw_text") -> DataFrame:
-    """Adds fields, decoder and pack. A line whose pack can't decode it is salvaged: fields null, decoder and pack "salvage"."""
-    uses_xml = [p.id for p in packs if "xml" in p.decoders]
-    # only lines of packs that read XML reach the Python worker with content
-    if uses_xml:
-        df = df.withColumn("_xml", decoders.xml(F.when(F.col("claimed").isin(uses_xml), F.col(text))))
-
-    def decoded(p: Pack) -> Column:
-        found, tried = [], []
+    """Adds fields, decoder and pack. A line whose pack can't decode it is salvaged: fields null, decoder and pack "salvage".
+
+    Every decoder is a column of its own, fed only with the lines of packs that use it (so only XML lines reach a Python worker with
+    content); a row then takes its pack's first filled column.
+    """
+    columns: dict[tuple[str, str | None], str] = {}
+    for p in packs:
         for name in p.decoders:
-            if name == "xml":
-                fields = F.when(F.size("_xml") > 0, F.col("_xml"))
-            else:
-                fields, _ = decoders.chain(F.col(text), [name], p.regex)
-            found.append(F.struct(F.lit(name).alias("decoder"), fields.alias("fields")))
-            tried.append(fields)
-        out = F
-        for s, f in zip(found, tried, strict=True):
-            out = out.when(f.isNotNull(), s)
-        return out.otherwise(F.lit(None))
-
-    none = F.lit(None).cast(f"struct<decoder:string,fields:{decoders.STRINGS}>")
-    df = df.withColumn("_found", by_pack(F.col("claimed"), packs, decoded, none))
-    done = F.col("_found").isNotNull()
-    out = df.withColumns({"fields": F.col("_found.fields"), "decoder": F.when(done, F.col("_found.decoder")).otherwise(SALVAGE), "pack": F.when(done, F.col("claimed")).otherwise(SALVAGE)})
-    return out.drop("_found", "_xml")
+            if name in decoders.DECODERS or (name == "regex" and p.regex):
+                columns.setdefault((name, p.regex if name == "regex" else None), f"_d{len(columns)}")
+    made = {}
+    for (name, pattern), column in columns.items():
+        users = [p.id for p in packs if name in p.decoders and (name != "regex" or p.regex == pattern)]
+        own = F.when(F.col("claimed").isin(users), F.col(text))
+        found = decoders.groups(own, pattern) if name == "regex" else decoders.DECODERS[name](own)
+        made[column] = decoders.let(found, lambda m: F.when(F.size(m) > 0, m))
+    none = F.lit(None).cast(decoders.STRINGS)
+
+    def steps(p: Pack) -> list[tuple[str, Column]]:
+        keys = [(n, p.regex if n == "regex" else None) for n in p.decoders]
+        return [(k[0], F.col(columns[k])) for k in keys if k in columns]
+
+    def fields(p: Pack) -> Column:
+        return F.coalesce(*[c for _, c in steps(p)], none)
+
+    def decoder(p: Pack) -> Column:
+        return F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in steps(p)], F.lit(None).cast("string"))
+
+    out = df.withColumns(made) if made else df
+    out = out.withColumns({"fields": by_pack(F.col("claimed"), packs, fields, none), "decoder": by_pack(F.col("claimed"), packs, decoder, F.lit(None).cast("string"))})
+    done = F.col("fields").isNotNull()
+    out = out.withColumns({"decoder": F.when(done, F.col("decoder")).otherwise(SALVAGE), "pack": F.when(done, F.col("claimed")).otherwise(SALVAGE)})
+    return out.drop(*made)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decoders
+from ..functions.decoders import let
 from ..functions.lookups import AUTO, REVIEW, catalogue
 
 DIMENSIONS = 384
@@ -23,12 +24,13 @@ LIFTED, STRICT = ["ip", "port", "mac", "url", "timestamp"], ["ip", "port", "mac"
 def value_type(key: Column, samples: Column) -> Column:
     """Semantic type of a key by its first five non-blank samples, or by its name if there are none."""
     low = F.lower(key)
-    some = F.slice(F.filter(F.transform(samples, lambda s: F.trim(s)), lambda s: s != ""), 1, 5)
     named = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
-    whole = lambda test: F.forall(some, test)
-    part = lambda test: F.exists(some, test)
     by_name = F.when(named("ip"), "ip").when(named("port"), "port").when(named("time", "date"), "timestamp").otherwise("string")
-    return (
+
+    def typed(some: Column) -> Column:
+        whole = lambda test: F.forall(some, test)
+        part = lambda test: F.exists(some, test)
+        return (
         F.when(F.coalesce(F.size(some), F.lit(0)) <= 0, by_name)
         .when(whole(lambda s: s.rlike(IPV4)), "ip")
         .when(whole(lambda s: s.rlike(r"^\d+$") & F.coalesce(s.try_cast("long").between(1, 65535), F.lit(False))) & named("port", "pt"), "port")
@@ -39,19 +41,26 @@ def value_type(key: Column, samples: Column) -> Column:
         .when(part(lambda s: s.rlike(ISO_TIME)) | named("time", "date"), "timestamp")
         .when(whole(lambda s: F.lower(s).isin(VERDICTS)), "enum")
         .otherwise("string")
-    )
+        )
+
+    return let(F.slice(F.filter(F.transform(samples, lambda s: F.trim(s)), lambda s: s != ""), 1, 5), typed)
 
 
 def embed(text: Column) -> Column:
     """Sparse unit vector (bucket -> weight) of hashed tokens (1 each) and their letter triples (1/2 each)."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z0-9_]+"), F.lit(0))
-    triples = F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))))
     slot = lambda t: F.pmod(F.xxhash64(t), F.lit(DIMENSIONS)).cast("int")
-    one, half = F.transform(tokens, slot), F.transform(triples, slot)
-    keys = F.array_distinct(F.concat(one, half))
-    weights = F.transform(keys, lambda k: F.size(F.filter(one, lambda x: x == k)) + F.size(F.filter(half, lambda x: x == k)) * 0.5)
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w * w))
-    return F.map_from_arrays(keys, F.transform(weights, lambda w: w / norm))
+    triples = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+    pieces = lambda ts: F.struct(F.transform(ts, slot).alias("one"), F.transform(F.flatten(F.transform(F.filter(ts, lambda t: F.length(t) >= 3), triples)), slot).alias("half"))
+
+    def weighed(p: Column) -> Column:
+        weight = lambda k: F.size(F.filter(p["one"], lambda x: x == k)) + F.size(F.filter(p["half"], lambda x: x == k)) * 0.5
+        return let(F.array_distinct(F.concat(p["one"], p["half"])), lambda keys: F.struct(keys.alias("keys"), F.transform(keys, weight).alias("weights")))
+
+    def unit(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v["weights"], F.lit(0.0), lambda a, w: a + w * w)), lambda norm: F.map_from_arrays(v["keys"], F.transform(v["weights"], lambda w: w / norm)))
+
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z0-9_]+"), F.lit(0))
+    return let(let(let(tokens, pieces), weighed), unit)
 
 
 def cosine(a: Column, b: Column) -> Column:
