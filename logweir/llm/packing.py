@@ -2,8 +2,7 @@
 
 Texts become token ids and end with an end id; only documents longer than a sequence are cut. The histogram has at most `capacity`
 entries whatever the corpus, so the program is solved on the driver: multiplicative weights hold a price per length, a knapsack dynamic
-program finds the configuration (lengths that share a sequence) worth most, and the configuration is used until one of its lengths runs
-out. Its fractional copies are rounded down and what remains is placed best-fit by decreasing length, in runs of equal lengths. Each
+program finds the configuration (lengths that share a sequence) worth most, and a share of what its lengths allow is used. Its fractional copies are rounded down and what remains is placed best-fit by decreasing length, in runs of equal lengths. Each
 piece then needs only its rank among the pieces of its length to know its sequence and offset; ranks come from counts per bucket.
 
 Defined cases: null and empty texts are a piece with the end id alone; rows that share an id are documents of their own; an empty table
@@ -30,12 +29,15 @@ from .common import small_batches, written
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words, and pieces of words, that a worker keeps between batches.
-CACHED_WORDS, CACHED_PIECES = 400_000, 1_000_000
+CACHED_WORDS, CACHED_PIECES = 150_000, 500_000
+#: Words that the tokenizer gets at once; its results take about a kilobyte each.
+ENCODED = 2_000
 #: Rows ranked by one task at most, on average.
 BUCKET_ROWS = 50_000
 #: Pricing rounds of the linear program.
-ROUNDS = 500
-STEP, SKEW = 0.05, 1.02
+ROUNDS = 250
+#: How much prices fall as a length is packed, the power of the length in its price, and the share of a configuration used at once.
+STEP, SKEW, SHARE = 0.3, 1.3, 0.3
 
 #: A configuration: (length, copies of it in a sequence), long to short.
 Config = tuple[tuple[int, int], ...]
@@ -63,7 +65,8 @@ class WordTokens:
         self.pieces: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        batches = (texts[i : i + ENCODED] for i in range(0, len(texts), ENCODED))
+        return [np.array(e.ids, "<u4").tobytes() for b in batches for e in self.tokenizer.encode_batch_fast(b, add_special_tokens=False)]
 
     def learn(self, fresh: list[str]) -> None:
         plain, other = [], []
@@ -132,20 +135,20 @@ def linear_program(counts: dict[int, int], capacity: int, rounds: int = ROUNDS)
     lengths = np.array(sorted(counts), np.int64)
     total = np.array([counts[n] for n in lengths.tolist()], float)
     left = total.copy()
-    weights = np.zeros(len(lengths))  # logarithms
     for _ in range(rounds):
         live = np.flatnonzero(left >= 1)
         if not len(live):
             break
-        prices = (lengths[live] / capacity) ** SKEW * np.exp(weights[live])
+        # multiplicative weights: each packed share of a length divides its price by the same factor
+        prices = (lengths[live] / capacity) ** SKEW * np.exp(STEP * left[live] / total[live])
         _, item = best_values(prices, lengths[live], capacity)
         used = configuration(item, lengths[live], left[live], capacity)
         if sum(int(lengths[live][k]) * a for k, a in used.items()) < capacity - capacity // 256:
             break  # no full configuration is left: best-fit places the rest
-        copies = min(left[live[k]] / a for k, a in used.items())
+        most = min(left[live[k]] / a for k, a in used.items())
+        copies = max(SHARE * most, min(1.0, most))
         for k, a in used.items():
             left[live[k]] -= copies * a
-            weights[live[k]] -= STEP * copies * a / total[live[k]]  # the price of what has been packed sinks
         out[tuple(sorted(((int(lengths[live[k]]), a) for k, a in used.items()), reverse=True))] += copies
     return out
 
