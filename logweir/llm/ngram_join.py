@@ -17,7 +17,7 @@ Shingles are told apart by 59 bits of hash, sets by 64 bits and their size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    up, down = powers(1 << max(20, int(len(raw)).bit_length()))
+    up, down = powers(1 << max(18, int(len(raw)).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
     return mix64((total[stops] - total[starts]) * down[starts])
 
@@ -222,9 +222,10 @@ class Join:
                     part = row * fragments + np.searchsorted(edges_of, token, side="right")
                     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(token))
-                    yield pa.RecordBatch.from_arrays([pa.array(expected[i:j][row[at]]), pa.array((part[at] % fragments).astype(np.int32)), lists], names=["node", "fragment", "segment"])
+                    short = pa.ListArray.from_arrays(lists.offsets, pa.array(token.astype(np.uint16).view(np.int16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(expected[i:j][row[at]]), pa.array((part[at] % fragments).astype(np.int32)), lists, short], names=["node", "fragment", "segment", "short"])
 
-        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>")
+        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>, short array<smallint>")
         return out.dropDuplicates(["node", "fragment"]) if self.repeats else out
 
     def linked(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,11 +233,17 @@ class Join:
         pairs = written(pairs, "pairs")
         ends = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
         cut = written(self.segments(nodes.join(ends, "sig", "left_semi")), "segments")
-        left = pairs.join(cut.select(F.col("node").alias("u"), "fragment", F.col("segment").alias("a")), "u")
-        both = left.join(cut.select(F.col("node").alias("v"), "fragment", F.col("segment").alias("b")), ["v", "fragment"])
-        partial = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).cast("long").alias("overlap"))
+        # a screen with 16 bits of each token never counts too little: what isn't among b's is surely not shared
+        near = self.overlaps(pairs, cut, "short", lambda a, b: F.size(a) - F.size(F.array_except(a, b)))
+        return self.overlaps(written(near, "screened"), cut, "segment", lambda a, b: F.size(F.array_intersect(a, b))).select("u", "v")
+
+    def overlaps(self, pairs: DataFrame, cut: DataFrame, column: str, count: Callable[[Column, Column], Column]) -> DataFrame:
+        """The pairs whose counts, summed over fragments, reach the threshold."""
+        left = pairs.join(cut.select(F.col("node").alias("u"), "fragment", F.col(column).alias("a")), "u")
+        both = left.join(cut.select(F.col("node").alias("v"), "fragment", F.col(column).alias("b")), ["v", "fragment"])
+        partial = both.select("u", "v", "nu", "nv", count(F.col("a"), F.col("b")).cast("long").alias("overlap"))
         whole = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
-        return whole.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * self.percent).select("u", "v")
+        return whole.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * self.percent).drop("o")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = BUCKET_BITS, fragments: int = FRAGMENTS) -> DataFrame:
