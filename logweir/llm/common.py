@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows a Python worker gets at once; texts can be long.
 ARROW_ROWS = 512
 #: Bytes of text that numpy code handles at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Tables above this size are never broadcast.
 BROADCAST_BYTES = 64 << 20
 WHITE = r"[\x20\x09-\x0D]+"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, text_bytes
 
-TRAIN_BYTES = 65_536
+TRAIN_BYTES = 32_768
 TABLE_BYTES = 200_000_000
 #: Labelled rows gathered per language, before the limit in bytes.
 TRAIN_ROWS = 400
