@@ -160,7 +160,7 @@ def _(spark, sf_dir):
     return df.select("event_id", F.array_join("o.ports", ",").alias("ports"), F.array_join("o.ip_addresses", ",").alias("ips"))
 
 
-@query("tpl2_tpl4_templates", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n, CAST(0.6 AS DOUBLE) AS specificity,
+@query("tpl2_tpl4_templates", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n, round(7.0 / 11, 3)::DOUBLE AS specificity,
   row_number() OVER (ORDER BY min(event_id)) AS cluster_id FROM events WHERE event_id % 6 = 5 GROUP BY event_type""")
 def _(spark, sf_dir):
     found = clusters.summary(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id")
@@ -193,10 +193,10 @@ def _(spark, sf_dir):
 @query("inf10_match", """SELECT * FROM (VALUES ('src_ip', 'AUTO_MAP', 'src_endpoint.ip', 1.0), ('dport', 'AUTO_MAP', 'dst_endpoint.port', 1.0), ('username', 'AUTO_MAP', 'actor.user.name', 0.94), ('log-level', 'AUTO_MAP', 'severity_id', 0.94)) t(key, decision, target_field, confidence)""")
 def _(spark, sf_dir):
     rows = spark.createDataFrame([("src_ip", ["10.0.0.1"], None), ("dport", ["443"], None), ("username", ["root"], None), ("log-level", ["high"], None)], "key string, samples array<string>, vendor string")
-    return matching.match(rows).select("key", "decision", "target_field", F.col("confidence").cast("decimal(3,2)").cast("double").alias("confidence")).withColumn("confidence", F.col("confidence").cast("decimal(3,2)"))
+    return matching.match(rows).select("key", "decision", "target_field", F.round("confidence", 2).alias("confidence"))
 
 
-SQL["inf10_match"] = SQL["inf10_match"].replace("SELECT * FROM", "SELECT key, decision, target_field, CAST(confidence AS DECIMAL(3,2)) AS confidence FROM")
+SQL["inf10_match"] = SQL["inf10_match"].replace("SELECT * FROM", "SELECT key, decision, target_field, CAST(confidence AS DOUBLE) AS confidence FROM")
 
 
 @query("nrm_normalize", f"""SELECT event_id, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Accepted' END WHEN 1 THEN 'Built' WHEN 4 THEN 'deny' WHEN 5 THEN NULL ELSE event_type END AS activity_name,
@@ -298,7 +298,7 @@ def _(spark, sf_dir):
 @query("agg1_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, min(epoch_ms(ts)) AS first_ms, max(epoch_ms(ts)) AS last_ms FROM events")
 def _(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return df.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.unix_millis("ts")).alias("first_ms"), F.max(F.unix_millis("ts")).alias("last_ms"))
+    return df.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("first_ms"), F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_ms"))
 
 
 @query("agg3_counters", f"SELECT count(*) AS records, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, count(*) FILTER (event_id % 6 < 5) AS claimed, count(*) FILTER (event_id % 6 = 5) AS salvaged, count(*) FILTER (event_id % 6 = 2) AS alerts FROM events")
@@ -313,7 +313,7 @@ def _(spark, sf_dir):
 
 @query("fea2_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS events, count(DISTINCT user_id % 200) AS src_ips FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis("ts").alias("timestamp"), (F.col("user_id") % 200).alias("src_ip"), F.lit(0).alias("dst_port"), F.col("event_type").alias("activity_name"), F.lit(4001).alias("class_uid"))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), (F.col("user_id") % 200).alias("src_ip"), F.lit(0).alias("dst_port"), F.col("event_type").alias("activity_name"), F.lit(4001).alias("class_uid"))
     return features.windows(df, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "events", "src_ips")
 
 
