@@ -13,14 +13,15 @@ distinct word is tokenized once and then looked up.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from .common import small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words, and pieces of words, that a worker keeps between batches.
-CACHED_WORDS, CACHED_PIECES = 150_000, 500_000
+#: Distinct words of odd texts, and pieces of the others, that a worker keeps between batches.
+CACHED_WORDS, CACHED_PIECES = 100_000, 700_000
 #: Words that the tokenizer gets at once; its results take about a kilobyte each.
 ENCODED = 2_000
 #: Rows ranked by one task at most, on average.
@@ -43,17 +44,24 @@ STEP, SKEW, SHARE = 0.3, 1.3, 0.3
 Config = tuple[tuple[int, int], ...]
 
 
-# fixed values: how the word vocabulary cuts lower-cased words, and the words for which that is all it does
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[!-~\u00c0-\u00ff]+")
-SPECIAL = "<|"
+# fixed values: how the word vocabulary cuts lower-cased texts of ASCII and Latin-1 letters, and what such texts don't hold
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\t-\\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+ODD = re.compile("[^\\t-\\r -~\u00c0-\u00ff]|<\\|")
+WHITE = re.compile("[\\t-\\r ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte: itself if it is printable in Latin-1, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(printable))
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordTokens:
-    """Token ids of texts, word by word, as little-endian bytes.
+    """Token ids of texts as little-endian bytes.
 
-    Words and their pieces are kept, as texts repeat them. Words beyond ASCII and Latin-1 letters, and those that could be special
-    tokens, go to the tokenizer whole.
+    Texts of ASCII and Latin-1 letters are cut into the vocabulary's pieces, whose ids are kept, as texts repeat them. Other texts, and
+    those that could hold special tokens, are cut at ASCII white space and the tokenizer itself reads the words.
     """
 
     def __init__(self, path: str):
@@ -61,33 +69,38 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        batches = (texts[i : i + ENCODED] for i in range(0, len(texts), ENCODED))
-        return [np.array(e.ids, "<u4").tobytes() for b in batches for e in self.tokenizer.encode_batch_fast(b, add_special_tokens=False)]
-
-    def learn(self, fresh: list[str]) -> None:
-        plain, other = [], []
-        for word in fresh:
-            (plain if PLAIN.fullmatch(word) and SPECIAL not in word else other).append(word)
-        self.words.update(zip(other, self.encoded(other), strict=True))
-        cut = [PIECES.findall(word.lower()) for word in plain]
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces = {}
-        missing = list(set().union(*cut) - self.pieces.keys())
-        self.pieces.update(zip(missing, self.encoded(missing), strict=True))
-        for word, parts in zip(plain, cut, strict=True):
-            self.words[word] = b"".join(map(self.pieces.__getitem__, parts))
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def piece(self, text: str) -> bytes:
+        own = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(own)]).tobytes()
+
+    def odd(self, text: str) -> bytes:
+        words = WHITE.split(text)
+        fresh = [w for w in set(words) if w not in self.words]
+        for at in range(0, len(fresh), ENCODED):
+            some = fresh[at : at + ENCODED]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words[word] = array("I", e.ids).tobytes()
+        out = b"".join(map(self.words.__getitem__, words))
         if len(self.words) > CACHED_WORDS:
             self.words = {"": b""}
-        self.learn(list(set().union(*split) - self.words.keys()))
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        return out
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if ODD.search(text):
+                yield self.odd(text)
+                continue
+            cut = PIECES.findall(text.lower())
+            for piece in set(cut):
+                if piece not in self.pieces:
+                    self.pieces[piece] = self.piece(piece)
+            yield b"".join(map(self.pieces.__getitem__, cut))
+            if len(self.pieces) > CACHED_PIECES:
+                self.pieces = {}
 
 
 _tokens: dict[str, WordTokens] = {}
