@@ -22,12 +22,17 @@ class Signer:
             pair = self.jvm.java.security.KeyPairGenerator.getInstance(ALGORITHM).generateKeyPair()
             self.private, self.public = pair.getPrivate(), pair.getPublic()
 
+    def encoded(self, key, spec: str) -> bytes:
+        """A key's bytes, through its specification (the key's own class isn't public)."""
+        factory = self.jvm.java.security.KeyFactory.getInstance(ALGORITHM)
+        return bytes(factory.getKeySpec(key, self.jvm.java.lang.Class.forName(f"java.security.spec.{spec}")).getEncoded())
+
     def stored(self) -> tuple[str, str]:
         """(private, public) as base64."""
-        return base64.b64encode(bytes(self.private.getEncoded())).decode(), base64.b64encode(bytes(self.public.getEncoded())).decode()
+        return base64.b64encode(self.encoded(self.private, "PKCS8EncodedKeySpec")).decode(), base64.b64encode(self.encoded(self.public, "X509EncodedKeySpec")).decode()
 
     def public_hex(self) -> str:
-        return bytes(self.public.getEncoded())[-32:].hex()
+        return self.encoded(self.public, "X509EncodedKeySpec")[-32:].hex()
 
     def sign(self, message: str) -> str:
         own = self.jvm.java.security.Signature.getInstance(ALGORITHM)

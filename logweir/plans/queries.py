@@ -295,7 +295,7 @@ def _(spark, sf_dir):
     return flat(spark, sf_dir).orderBy(F.desc("event_id")).limit(50).select("event_id", "class_uid", "activity_name")
 
 
-@query("agg1_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, min(epoch_ms(ts)) AS first_ms, max(epoch_ms(ts)) AS last_ms FROM events")
+@query("agg1_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms FROM events")
 def _(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     return df.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("first_ms"), F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_ms"))

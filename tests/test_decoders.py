@@ -23,7 +23,7 @@ def one(spark, column, text):
         (decoders.cef, "<1>x CEF:0|V|P|1|7|Name|High|src=10.0.0.1 dpt=2", {"device_vendor": "V", "name": "Name", "extension": '{"src":"10.0.0.1","dpt":"2"}'}),
         (decoders.leef, "LEEF:1.0|V|P|1|7|src=10.0.0.1", {"vendor": "V", "event_id": "7", "extension": '{"src":"10.0.0.1"}'}),
         (decoders.json_object, 'head {"a": 1, "b": {"c": [1]}, "a": 2} tail', {"a": "2", "b": '{"c":[1]}'}),
-        (decoders.xml, "<E><D n='1'>x</D><D>y</D><F k='v'/></E>", {"E": '{"D": ["x", "y"], "F": {"@k": "v"}}'}),
+        (decoders.xml, "<E><D n='1'>x</D><D>y</D><F k='v'/></E>", {"E": '{"D":["x","y"],"F":{"@k":"v"}}'}),
     ],
 )
 def test_decoded(spark, decode, text, expected):
