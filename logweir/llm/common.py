@@ -101,8 +101,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def keys64(*columns: str):
-    """Stable 64-bit key of columns as a Spark expression."""
-    return F.xxhash64(*columns)
