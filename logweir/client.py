@@ -82,9 +82,9 @@ class Client:
         steps, top = merkle.proof(tree, "i", "fingerprint", at), merkle.root(tree, "i", "fingerprint")
         return {"event_id": event_id, "index": at, "fingerprint": row["fingerprint"], "root": top, "proof": steps}
 
-    def tamper_test(self, sequence: int, column: str = "src_ip", value: str = "203.0.113.99") -> DataFrame:
+    def tamper_test(self, sequence: int, member: str = "raw_data", value: str = "forged") -> DataFrame:
         """What verify says after one row has been changed (in memory only)."""
-        return chain.verify(chain.tampered(self.logs().withColumnRenamed("ocsf_json", "event_json"), sequence, column, value))
+        return chain.verify(chain.tampered(self.logs().withColumnRenamed("ocsf_json", "event_json"), sequence, member, value))
 
     def checkpoint(self, signer: keys.Signer, size: int = 1000, timestamp: int = 0) -> DataFrame:
         signed = keys.checkpoints(merkle.block_roots(self.logs(), size=size), signer, timestamp)

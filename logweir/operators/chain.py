@@ -101,8 +101,9 @@ def heads(df: DataFrame, chain: str = "chain_id") -> DataFrame:
     return df.groupBy(chain).agg(F.max("sequence").alias("sequence"), F.max_by("fingerprint", "sequence").alias("fingerprint"))
 
 
-def tampered(df: DataFrame, sequence: int, column: str, value: str) -> DataFrame:
-    """df with one row's column, and the like-named member of its event, changed: what verify must find."""
+def tampered(df: DataFrame, sequence: int, member: str = "raw_data", value: str = "forged", column: str | None = None) -> DataFrame:
+    """df with a text member of one row's event (and its flat column, if named) changed: what verify must find."""
     hit = F.col("sequence") == sequence
-    member = F.regexp_replace("event_json", rf'"{column}":"[^"]*"', f'"{column}":"{value}"')
-    return df.withColumn("event_json", F.when(hit, member).otherwise(F.col("event_json"))).withColumn(column, F.when(hit, F.lit(value)).otherwise(F.col(column)))
+    changed = F.regexp_replace("event_json", rf'"{member}":"(?:[^"\\]|\\.)*"', f'"{member}":"{value}"')
+    out = df.withColumn("event_json", F.when(hit, changed).otherwise(F.col("event_json")))
+    return out if column is None else out.withColumn(column, F.when(hit, F.lit(value)).otherwise(F.col(column)))
