@@ -93,7 +93,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", primes: Sequen
     # the real comparison, over members only
     count = members.count()
     ids = members.select(F.col("k").alias("k"), "fp", "n_bytes").distinct()
-    ids = F.broadcast(ids) if count * 40 <= BROADCAST_BYTES else ids
+    ids = F.broadcast(ids) if count * 100 <= BROADCAST_BYTES else ids
     seen = source.join(ids, source["k"].eqNullSafe(ids["k"])).select("fp", "n_bytes", "t").where(F.octet_length("t") == F.col("n_bytes"))
     step = chunk // 4  # characters, at most 4 bytes each
     pieces = seen.select("fp", "n_bytes", F.posexplode(F.expr(f"transform(sequence(0, greatest(0, (char_length(t) - 1) div {step})), i -> substring(t, cast(i * {step} + 1 as int), {step}))")).alias("no", "piece"))

@@ -204,7 +204,7 @@ class Join:
         """node, fragment and segment (the node's tokens there) of some nodes (k, sig), read from their texts again."""
         words, levels, fragments = self.words, self.levels, self.fragments
         nodes = nodes.select(F.col("k").alias("k2"), F.col("sig"))
-        nodes = F.broadcast(nodes) if nodes.count() * 24 <= BROADCAST_BYTES else nodes
+        nodes = F.broadcast(nodes) if nodes.count() * 80 <= BROADCAST_BYTES else nodes
         texts = self.docs.join(nodes, F.col("k").eqNullSafe(F.col("k2"))).select("sig", "t")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
