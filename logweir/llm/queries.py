@@ -85,6 +85,25 @@ SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM n
 """
 
 
+def term_sql(term: str) -> str:
+    return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+
+
+def op6_sql() -> str:
+    """Rules from the longest on; then one strict term or two distinct soft ones."""
+    rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in rules)
+    verdicts = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in rules)
+    strict = " OR ".join(map(term_sql, url_filter.STRICT_TERMS))
+    soft = " + ".join(f"CAST({term_sql(t)} AS INT)" for t in url_filter.SOFT_TERMS)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH p AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS u, {lower.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {fits} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN {strict} OR {soft} >= 2 THEN 'block' ELSE 'allow' END END AS verdict FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -92,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": op6_sql()}
