@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..client import aliased
 from ..functions import canonical, decoders, lookups, salvage, templates
 from ..operators import chain, clusters, detect, features, lake, matching, merkle, normalize, vault
 from ..sources import packs as sources
+from ..sources.tables import written
 from . import pipeline, rendered
 from .rendered import DPORT, DST, FORMATS, LINE, PACK, SPORT, SRC, USER, events, records
 
@@ -259,8 +261,6 @@ def _(spark, sf_dir):
 
 @query("vlt_round_trip", f"SELECT count(*) AS records, count(*) AS matching, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes FROM events")
 def _(spark, sf_dir):
-    from ..sources.tables import written
-
     placed = written(vault.place(records(spark, sf_dir), block_bytes=1 << 16), "placed")
     table = written(vault.blocks(placed), "blocks")
     return vault.audit(placed, table).crossJoin(table.agg(F.sum("ulen").alias("bytes")))  # one row each
@@ -276,16 +276,14 @@ LAKE = f"SELECT event_id, CAST(CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 3001 W
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lake-like rows without chain, for queries of the read side."""
+    """Lake-like rows without chain, written and read again as a lake is: conditions of the read side reach the scan."""
     e = F.col("event")
     rows = normalized(spark, sf_dir)
-    return rows.select("event_id", e["class_uid"].alias("class_uid"), F.coalesce(e["src_endpoint"]["ip"], F.lit("")).alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), e["dst_endpoint"]["port"].alias("dst_port"), F.coalesce(e["activity_name"], F.lit("")).alias("activity_name"))
+    return written(rows.select("event_id", e["class_uid"].alias("class_uid"), F.coalesce(e["src_endpoint"]["ip"], F.lit("")).alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), e["dst_endpoint"]["port"].alias("dst_port"), F.coalesce(e["activity_name"], F.lit("")).alias("activity_name")), "flat")
 
 
 @query("prd5_filter", f"SELECT event_id, src_ip, dst_port FROM ({LAKE}) WHERE class_uid = 4001 AND dst_port < 100 ORDER BY event_id")
 def _(spark, sf_dir):
-    from ..client import aliased
-
     return flat(spark, sf_dir).where(aliased("class_uid = 4001 AND dst_endpoint.port < 100")).orderBy("event_id").select("event_id", "src_ip", "dst_port")
 
 
