@@ -4,11 +4,14 @@ Tokens are opening and closing tags with the path of the containers around them.
 is kept as a fingerprint (XOR of mixed page hash and count), which partial aggregation combines, so a host of any size is one small
 group. Tokens with equal vectors form an equivalence class; a container is valid if its opening and closing tags share a class, and
 valid classes nest along their paths into the host's template. Slots of the template are then named: menus, adverts, footers and the
-like go, articles stay, and outside of articles blocks that repeat on the host's pages are template text. What the pages' tags leave
-open (hosts with one page, containers never closed) falls to the tags' own meaning.
+like go, articles stay. Outside of articles a block of text is template text if it is there on the very pages that have its container,
+that container is in the template, and other blocks of the page are not: a page never loses all of its text that way. What the pages'
+tags leave open (hosts with few pages, containers never closed) falls to the tags' own meaning.
 
-Defined cases: null html is empty and gives the empty text; a null or unparsable url belongs to the host ""; repeated rows are extracted
-alike; an empty table gives an empty table; further columns are ignored. Text outside of tags counts; entities are decoded after
+Vectors run over a host's distinct pages: copies of a page count once, whatever their urls.
+
+Defined cases: null html is empty and gives the empty text; pages with a null or unparsable url share no host, so nothing is deduced
+for them; repeated rows are extracted alike; an empty table gives an empty table; further columns are ignored. Text outside of tags counts; entities are decoded after
 tags are found; comments, scripts and styles never count, also when they are not closed.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, small_batches, written
+from .common import BROADCAST_BYTES, sized_broadcast, small_batches, written
 
 # fixed values: the meaning of tags and of words in class, id and role attributes
 CONTAINERS = set("html head body nav header footer aside article main section div form ul ol menu dialog table figure noscript".split())
@@ -37,8 +40,8 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 MASK = (1 << 64) - 1
-#: A container is in the template if this share of its host's pages (and two at least) has it.
-SUPPORT = 0.5
+#: A container is in the template if this share of its host's distinct pages, and so many of them at least, has it.
+SUPPORT, LEAST = 0.5, 3
 
 
 def mixed(a: int, b: int) -> int:
@@ -130,7 +133,7 @@ def named(token: str, tags: set[str], words: set[str]) -> bool:
 
 def content(page: str, template: dict[tuple[str, ...], bool], repeated: set[int]) -> list[str]:
     """Blocks of the main text. template: valid containers of the host (path -> closed on every page)."""
-    kept, rest = [], []
+    kept, rest, varying = [], [], []
     for path, text in blocks(page):
         main = next((i for i, t in enumerate(path) if named(t, MAIN_TAGS, set())), -1)
         if main < 0:  # a class may name the content if the host's template has that container
@@ -140,9 +143,11 @@ def content(page: str, template: dict[tuple[str, ...], bool], repeated: set[int]
             continue
         if main >= 0:
             kept.append(text)
-        elif hash_text(path, text) not in repeated:
+        else:
             rest.append(text)
-    return kept or rest
+            if hash_text(path, text) not in repeated:
+                varying.append(text)
+    return kept or varying or rest
 
 
 def hash_text(path: tuple[str, ...], text: str) -> int:
@@ -152,53 +157,55 @@ def hash_text(path: tuple[str, ...], text: str) -> int:
 
 
 def observed(df: DataFrame) -> DataFrame:
-    """Per host and token: pages, XOR fingerprints of the opening and closing tags' vectors; for blocks outside of articles: pages."""
+    """Per host and token: pages, XOR fingerprints of the vectors of the opening tags, of the closing tags and of presence (0 or 1).
+
+    A row with block 0 is a container; others are blocks outside of articles with their container's path. Path "" is the page itself.
+    df has distinct pages.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[tuple[str, str, int], list[int]] = {}
             for host, page_hash, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                opened, closed, texts, has_main = Counter(), Counter(), set(), False
+                opened, closed, texts = Counter(), Counter(), set()
                 for kind, _, path in walk(page):
                     if kind == "open":
                         opened[path] += 1
                     elif kind == "close":
                         closed[path] += 1
                 for path, text in blocks(page):
-                    if any(named(t, MAIN_TAGS, set()) for t in path):
-                        has_main = True
-                    elif not any(named(t, BOILER_TAGS, BOILER_WORDS) for t in path):
-                        texts.add(hash_text(path, text))
+                    if not any(named(t, MAIN_TAGS | BOILER_TAGS, BOILER_WORDS) for t in path):
+                        texts.add(("/".join(path), hash_text(path, text)))
+                there = mixed(page_hash, 1)
                 for path in opened.keys() | closed.keys():
-                    row = found.setdefault((host, "/".join(path), 0), [0, 0, 0])
-                    row[0] += 1
+                    row = found.setdefault((host, "/".join(path), 0), [0, 0, 0, 0])
                     row[1] ^= mixed(page_hash, opened[path])
                     row[2] ^= mixed(page_hash, closed[path])
-                if not has_main:
-                    for h in texts:
-                        found.setdefault((host, "", h), [0, 0, 0])[0] += 1
-                row = found.setdefault((host, "", 0), [0, 0, 0])
-                row[0] += 1
+                    row[0], row[3] = row[0] + 1, row[3] ^ there
+                for key in [("", 0), *texts]:
+                    row = found.setdefault((host, *key), [0, 0, 0, 0])
+                    row[0], row[3] = row[0] + 1, row[3] ^ there
             keys, values = list(found), list(found.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())] + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)],
-                names=["host", "path", "block", "pages", "opened", "closed"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)],
+                names=["host", "path", "block", "pages", "opened", "closed", "present"],
             )
 
-    rows = df.mapInArrow(count, "host string, path string, block long, pages long, opened long, closed long")
-    return rows.groupBy("host", "path", "block").agg(F.sum("pages").alias("pages"), F.bit_xor("opened").alias("opened"), F.bit_xor("closed").alias("closed"))
+    rows = df.mapInArrow(count, "host string, path string, block long, pages long, opened long, closed long, present long")
+    return rows.groupBy("host", "path", "block").agg(F.sum("pages").alias("pages"), *[F.bit_xor(c).alias(c) for c in ("opened", "closed", "present")])
 
 
 def templates(df: DataFrame) -> DataFrame:
-    """A row per host: its valid containers and its repeated blocks."""
-    seen = observed(df)
+    """A row per host: its lasting containers, each valid or not, and its repeated blocks. df: host, h (hash of the page), page."""
+    seen = written(observed(df.where("host <> ''").dropDuplicates(["host", "h"])), "tokens")
     totals = seen.where("path = '' and block = 0").select("host", F.col("pages").alias("total"))
-    lasting = seen.where("(path <> '' or block <> 0) and pages > 1").join(totals, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.col("total") * SUPPORT))
+    lasting = seen.where(F.col("pages") >= LEAST).join(sized_broadcast(totals, 128), "host").where(F.col("pages") >= F.col("total") * SUPPORT)
     # tokens of one class share the fingerprint; a container whose two tags differ in class isn't valid
-    return lasting.groupBy("host").agg(
-        F.collect_list(F.when(F.col("path") != "", F.struct("path", (F.col("opened") == F.col("closed")).alias("valid")))).alias("tokens"),
-        F.collect_list(F.when(F.col("path") == "", F.col("block"))).alias("repeated"),
-    )
+    containers = lasting.where("block = 0").select("host", "path", (F.col("opened") == F.col("closed")).alias("valid"), "present")
+    blocks_ = lasting.where("block <> 0").select("host", "path", "block", "present")
+    repeated = blocks_.join(containers.where("valid"), ["host", "path", "present"]).select("host", F.lit(None).cast("struct<path:string,valid:boolean>").alias("token"), "block")
+    tokens = containers.where("path <> ''").select("host", F.struct("path", "valid").alias("token"), F.lit(None).cast("long").alias("block"))
+    return tokens.unionByName(repeated).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("block").alias("repeated"))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -206,7 +213,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     small_batches(df.sparkSession)
     host = F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     pages = df.select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("page"))
-    found = written(templates(pages.select("host", F.xxhash64("k", "u", "page").alias("h"), "page")), "templates")
+    found = written(templates(pages.select("host", F.xxhash64("page").alias("h"), "page")), "templates")
     size = found.agg(F.sum(64 + F.octet_length("host") + 12 * F.size("repeated") + F.expr("aggregate(tokens, 0, (n, t) -> n + 32 + octet_length(t.path))"))).first()[0] or 0
     joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("k", "u", "page", "host", "tokens", "repeated")
 

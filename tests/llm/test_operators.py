@@ -325,6 +325,26 @@ def test_pages(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_repeated_text_is_template_only_with_evidence(spark):
+    page = "<html><body><div class='box'><p>{}</p></div></body></html>"
+    copies = [(i, f"http://copies.org/{i}", page.format("the same page")) for i in range(2)]
+    group = [(10 + i, f"http://group.org/{i}", page.format("hot copy" if i < 6 else f"own text {i}")) for i in range(8)]
+    shared = [(20 + i, f"http://shared.org/{i}", page.format(f"shared words</p><p>own {i}")) for i in range(2)]
+    hostless = [(30 + i, None, page.format(f"nobody's words</p><p>own {i}")) for i in range(4)]
+    # on five of six pages, so not in its container's class; the last line is on each page
+    partly = [(40 + i, f"http://partly.org/{i}", page.format(f"own {i}" + ("</p><p>often" if i else "") + "</p><p>each page has this")) for i in range(6)]
+    got = extracted(spark, copies + group + shared + hostless + partly)
+    assert [got[i] for i in range(2)] == ["the same page"] * 2
+    assert [got[10 + i] for i in range(8)] == ["hot copy"] * 6 + ["own text 6", "own text 7"]
+    assert [got[20 + i] for i in range(2)] == [f"shared words\n\nown {i}" for i in range(2)]
+    assert [got[30 + i] for i in range(4)] == [f"nobody's words\n\nown {i}" for i in range(4)]
+    assert [got[40 + i] for i in range(6)] == ["own 0", *[f"own {i}\n\noften" for i in range(1, 6)]]
+
+
 def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline as p
 
