@@ -2,11 +2,13 @@
 
 Tokens are opening and closing tags with the path of the containers around them. A token's occurrence vector over the pages of its host
 is kept as a fingerprint (XOR of mixed page hash and count), which partial aggregation combines, so a host of any size is one small
-group. Tokens with equal vectors form an equivalence class; a container is valid if its opening and closing tags share a class, and
-valid classes nest along their paths into the host's template. Slots of the template are then named: menus, adverts, footers and the
-like go, articles stay. Outside of articles a block of text is template text if it is there on the very pages that have its container,
-that container is in the template, and other blocks of the page are not: a page never loses all of its text that way. What the pages'
-tags leave open (hosts with few pages, containers never closed) falls to the tags' own meaning.
+group. Tokens with equal vectors form an equivalence class; a container is valid if its opening and closing tags share a class, and it
+is in the host's template if all containers around it are valid too. Slots are then named: menus, adverts, footers and the like go if
+their tags pair on the page, articles stay. A container around an article doesn't drop it unless other articles of the page have fewer
+such containers around them (comments are often articles); nor do body and a form that frames the page's parts. Outside of articles a
+block of text is template text if it is there on the very pages that have its container, that container is in the template, and other
+blocks of the page are not: a page never loses all of its text that way. So the tags' meaning decides on pages with an article, and the
+classes decide on the others; hosts with few pages have no classes.
 
 Vectors run over a host's distinct pages: copies of a page count once, whatever their urls.
 
@@ -21,7 +23,7 @@ import html as entities
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,10 @@ RAW = set("script style textarea title iframe xmp noembed noframes svg math temp
 BOILER_TAGS = set("head nav footer aside form menu dialog noscript".split())
 BOILER_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN_TAGS = {"article", "main"}
+#: Containers of all of a page: words of their classes say nothing about the text, and their tags may be left out.
+WHOLE = {"html", "body"}
+#: Parts of a page: a form that holds one of them is around the page, not in it.
+PARTS = MAIN_TAGS | set("nav header footer aside".split())
 MAIN_WORDS = set("article content entry main post story".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -99,7 +105,7 @@ def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             stack.append(label(name, rest))
             yield "open", "", tuple(stack)
         else:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].split(".", 1)[0] == name), -1)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if tag(stack[i]) == name), -1)
             if at >= 0:
                 yield "close", "", tuple(stack[: at + 1])
                 del stack[at:]
@@ -109,11 +115,11 @@ def squeezed(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path, text) of the page's non-empty blocks in order; a block ends at block tags and where the path changes."""
+def blocks(steps: Iterable[tuple[str, str, tuple[str, ...]]]) -> Iterator[tuple[tuple[str, ...], str]]:
+    """(path, text) of the non-empty blocks of a walk in order; a block ends at block tags and where the path changes."""
     parts: list[str] = []
     at: tuple[str, ...] = ()
-    for kind, raw, path in walk(page):
+    for kind, raw, path in steps:
         if kind == "text" and (path == at or not parts):
             parts.append(raw)
             at = path
@@ -126,28 +132,65 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         yield at, text
 
 
+def tag(token: str) -> str:
+    return token.split(".", 1)[0]
+
+
 def named(token: str, tags: set[str], words: set[str]) -> bool:
     name, *rest = token.split(".")
     return name in tags or not words.isdisjoint(rest)
 
 
-def content(page: str, template: dict[tuple[str, ...], bool], repeated: set[int]) -> list[str]:
-    """Blocks of the main text. template: valid containers of the host (path -> closed on every page)."""
-    kept, rest, varying = [], [], []
-    for path, text in blocks(page):
-        main = next((i for i, t in enumerate(path) if named(t, MAIN_TAGS, set())), -1)
+class Page:
+    """A page's walk, which of its containers close, and where its blocks are."""
+
+    def __init__(self, page: str):
+        self.steps = list(walk(page))
+        self.opened, self.closed = Counter(), Counter()
+        for kind, _, path in self.steps:
+            if kind == "open":
+                self.opened[path] += 1
+            elif kind == "close":
+                self.closed[path] += 1
+        self.frames = {p[: i + 1] for p in self.opened if tag(p[-1]) in PARTS for i, t in enumerate(p[:-1]) if tag(t) == "form"}
+
+    def place(self, path: tuple[str, ...], template: dict[tuple[str, ...], bool]) -> tuple[str, int]:
+        """("article" | "named" | "other" | "dropped", boilerplate containers around the article)."""
+        article = main = next((i for i, t in enumerate(path) if named(t, MAIN_TAGS, set())), -1)
         if main < 0:  # a class may name the content if the host's template has that container
-            main = next((i for i, t in enumerate(path) if named(t, set(), MAIN_WORDS) and not named(t, BOILER_TAGS, BOILER_WORDS) and template.get(path[: i + 1], True)), -1)
-        # a header belongs to the page unless an article holds it
-        if any(named(t, BOILER_TAGS | ({"header"} if main < 0 or i < main else set()), BOILER_WORDS) and not (i == main and named(t, MAIN_TAGS, set())) for i, t in enumerate(path)):
-            continue
-        if main >= 0:
-            kept.append(text)
-        else:
-            rest.append(text)
-            if hash_text(path, text) not in repeated:
-                varying.append(text)
-    return kept or varying or rest
+            main = next((i for i, t in enumerate(path) if tag(t) not in WHOLE and named(t, set(), MAIN_WORDS) and not named(t, BOILER_TAGS, BOILER_WORDS) and template.get(path[: i + 1], True)), -1)
+        around = 0
+        for i, t in enumerate(path):
+            # a header belongs to the page unless an article holds it
+            if i == article or not named(t, BOILER_TAGS | ({"header"} if main < 0 or i < main else set()), set() if tag(t) in WHOLE else BOILER_WORDS):
+                continue
+            at = path[: i + 1]
+            if self.opened[at] != self.closed[at] or at in self.frames:  # if never closed, what it holds is open
+                continue
+            if i > article:
+                return "dropped", 0
+            around += 1
+        return "article" if article >= 0 else "named" if main >= 0 else "other", around
+
+
+def content(page: str, template: dict[tuple[str, ...], bool], repeated: set[int]) -> list[str]:
+    """Blocks of the main text. template: lasting containers of the host (path -> in valid classes that nest)."""
+    own = Page(page)
+    places: dict[tuple[str, ...], tuple[str, int]] = {}
+    found = []
+    for path, text in blocks(own.steps):
+        if path not in places:
+            places[path] = own.place(path, template)
+        if places[path][0] != "dropped":
+            found.append((*places[path], path, text))
+    least = min((around for kind, around, _, _ in found if kind == "article"), default=0)
+    kept = [(kind, text) for kind, around, _, text in found if kind == "named" or kind == "article" and around == least]
+    if kept and not least:
+        return [text for _, text in kept]
+    # articles within boilerplate only: they don't stand for the text outside of them
+    by_name = any(kind == "named" for kind, _ in kept)
+    slots = [(kind != "other" or hash_text(path, text) not in repeated, text) for kind, around, path, text in found if (kind == "other" and not by_name) or kind == "named" or kind == "article" and around == least]
+    return [text for varies, text in slots if varies] or [text for _, text in slots]
 
 
 def hash_text(path: tuple[str, ...], text: str) -> int:
@@ -167,14 +210,12 @@ def observed(df: DataFrame) -> DataFrame:
         for b in batches:
             found: dict[tuple[str, str, int], list[int]] = {}
             for host, page_hash, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                opened, closed, texts = Counter(), Counter(), set()
-                for kind, _, path in walk(page):
-                    if kind == "open":
-                        opened[path] += 1
-                    elif kind == "close":
-                        closed[path] += 1
-                for path, text in blocks(page):
-                    if not any(named(t, MAIN_TAGS | BOILER_TAGS, BOILER_WORDS) for t in path):
+                own, texts, outside = Page(page), set(), {}
+                opened, closed = own.opened, own.closed
+                for path, text in blocks(own.steps):
+                    if path not in outside:
+                        outside[path] = own.place(path, {})[0] in ("named", "other")
+                    if outside[path]:
                         texts.add(("/".join(path), hash_text(path, text)))
                 there = mixed(page_hash, 1)
                 for path in opened.keys() | closed.keys():
@@ -200,11 +241,19 @@ def templates(df: DataFrame) -> DataFrame:
     seen = written(observed(df.where("host <> ''").dropDuplicates(["host", "h"])), "tokens")
     totals = seen.where("path = '' and block = 0").select("host", F.col("pages").alias("total"))
     lasting = seen.where(F.col("pages") >= LEAST).join(sized_broadcast(totals, 128), "host").where(F.col("pages") >= F.col("total") * SUPPORT)
-    # tokens of one class share the fingerprint; a container whose two tags differ in class isn't valid
-    containers = lasting.where("block = 0").select("host", "path", (F.col("opened") == F.col("closed")).alias("valid"), "present")
+    containers = lasting.where("block = 0").select("host", "path", "opened", "closed", "present")
+    # a host's tags by vector: a class; a container is valid if both its tags are in one class
+    vectors = containers.select("host", "path", "present", F.explode(F.array("opened", "closed")).alias("vector"))
+    paired = vectors.groupBy("host", "vector", "path", "present").agg(F.count("*").alias("tags"))
+    classes = paired.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "present", (F.col("tags") == 2).alias("valid"))).alias("members"))
+    # classes nest where all containers on a path are valid; the page itself (path "", html, body) always is
+    paths = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
+    paths = paths.withColumn("open", F.expr("array_distinct(transform(filter(members, m -> not m.valid and not m.path rlike '(^|/)(html|body)([.][^/]*)?$'), m -> m.path))"))
+    nests = "not exists(open, o -> o = m.path or startswith(m.path, o || '/'))"
+    paths = paths.select("host", F.explode(F.expr(f"array_distinct(transform(members, m -> named_struct('path', m.path, 'present', m.present, 'valid', {nests})))")).alias("m")).select("host", "m.*")
     blocks_ = lasting.where("block <> 0").select("host", "path", "block", "present")
-    repeated = blocks_.join(containers.where("valid"), ["host", "path", "present"]).select("host", F.lit(None).cast("struct<path:string,valid:boolean>").alias("token"), "block")
-    tokens = containers.where("path <> ''").select("host", F.struct("path", "valid").alias("token"), F.lit(None).cast("long").alias("block"))
+    repeated = blocks_.join(paths.where("valid"), ["host", "path", "present"]).select("host", F.lit(None).cast("struct<path:string,valid:boolean>").alias("token"), "block")
+    tokens = paths.where("path <> ''").select("host", F.struct("path", "valid").alias("token"), F.lit(None).cast("long").alias("block"))
     return tokens.unionByName(repeated).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("block").alias("repeated"))
 
 

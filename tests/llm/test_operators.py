@@ -345,6 +345,30 @@ def test_repeated_text_is_template_only_with_evidence(spark):
     assert [got[40 + i] for i in range(6)] == ["own 0", *[f"own {i}\n\noften" for i in range(1, 6)]]
 
 
+def test_boilerplate_words_need_containers_that_close(spark):
+    body = "<html><body{}>{}</body></html>"
+    article, comment = "<article><p>Text</p></article>", "<section id='comments'><article class='comment'><p>me too</p></article></section>"
+    pages = [
+        body.format("", "<div class='ad'>Buy<br>" + article),
+        body.format("", "<nav><ul><li>Menu</li></ul>" + article),
+        body.format("", "<form action='/'><nav>Menu</nav>" + article + comment + "</form>"),
+        body.format(" class='has-sidebar header'", "<nav>Menu</nav><p>Text</p>"),
+        body.format("", "<form action='/'><nav>Menu</nav><p>Text</p></form>"),
+        body.format("", "<div class='social'>" + article + "</div><nav>Menu</nav>"),
+        body.format("", "<div class='social'>" + article + "</div><p>More</p>"),
+        body.format("", "<nav>Menu</nav>" + article + comment),
+        body.format("", "<nav>Menu<p>Text</p>"),
+        body.format("", "<nav>Menu</nav><form>f</form>"),
+    ]
+    # the box is within a container that never closes, so it is in no class that nests
+    loose = [(20 + i, f"http://loose.org/{i}", body.format("", f"<div class='outer'><div class='box'><p>same</p></div><p>own {i}</p>")) for i in range(4)]
+    firm = [(30 + i, f"http://firm.org/{i}", f"<html><body><div class='outer'><div class='box'><p>same</p></div><p>own {i}</p></div>") for i in range(4)]
+    got = extracted(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)] + loose + firm)
+    assert [got[i] for i in range(len(pages))] == ["Text"] * 6 + ["Text\n\nMore", "Text", "Menu\n\nText", ""]
+    assert [got[20 + i] for i in range(4)] == [f"same\n\nown {i}" for i in range(4)]
+    assert [got[30 + i] for i in range(4)] == [f"own {i}" for i in range(4)]
+
+
 def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline as p
 
