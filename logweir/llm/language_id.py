@@ -5,7 +5,8 @@ text. The language that needs the fewest phrases, each weighing log2 of its trai
 (state, byte) -> next state, with the phrase ends as flags, so numpy steps many blocks of text at once: phrases end at block borders.
 
 Training reads labelled rows only, a sample bounded by `train_bytes` of normalised text per language and `table_bytes` for all tables
-(documented limits of the fit; every text is predicted whole). Rows are sampled by the hash of their text.
+(documented limits of the fit; every text is predicted whole). Distinct texts are sampled by their hash, so copies neither crowd a
+language out nor count twice.
 
 Defined cases: null, empty and letterless texts are "und" with score 0; ties go to the language first by name; without labelled rows
 every text is "und"; an empty table gives an empty table; copies get equal predictions; other columns are left out.
@@ -25,7 +26,7 @@ from .common import slices, small_batches, text_bytes
 
 TRAIN_BYTES = 32_768
 TABLE_BYTES = 200_000_000
-#: Labelled rows gathered per language, before the limit in bytes.
+#: Distinct labelled texts gathered per language, before the limit in bytes.
 TRAIN_ROWS = 400
 BLOCK = 256
 MARK = 1 << 30
@@ -119,13 +120,14 @@ class Parser:
 
 def sample(df: DataFrame, text: str, lang: str, rows: int, most: int) -> dict[str, bytes]:
     """Normalised labelled text by language: whole texts in the order of their hashes, up to `most` bytes (one text at least)."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("x"))
-    counts = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
+    counts = labelled.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return {}
-    share = F.coalesce(*[F.when(F.col("l") == name, min(1.0, rows / n)) for name, n in counts.items()])
-    some = labelled.withColumn("h", F.xxhash64("x")).where(F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 30)) < share * float(1 << 30))
-    some = some.select("l", "h", F.trim(letters("x")).alias("x")).where("x <> ''").dropDuplicates(["l", "h"])
+    share = F.coalesce(*[F.when(F.col("l") == r["l"], min(1.0, rows / r["n"])) for r in counts])
+    least = F.coalesce(*[F.when(F.col("l") == r["l"], r["least"]) for r in counts])
+    some = labelled.where((F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 30)) < share * float(1 << 30)) | (F.col("h") == least))
+    some = some.dropDuplicates(["l", "h"]).select("l", "h", F.trim(letters("x")).alias("x"))
     before = F.coalesce(F.sum(F.octet_length("x") + 1).over(Window.partitionBy("l").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     some = some.withColumn("before", before).where(F.col("before") < most).select("l", "h", F.substring("x", 1, most).alias("x"))
     out: dict[str, list[bytes]] = {}

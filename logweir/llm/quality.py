@@ -5,7 +5,7 @@ digits, each punctuation mark, ...) through a learned layer; gated attention wei
 logistic unit. Labels are known per document only. All weights are learned together with Adam in numpy.
 
 The fit reads a bounded sample: `train_rows` distinct labelled texts per class, none longer than `train_chars`, chosen by the hash of
-the key. Scoring runs over every text and whole, in slices of bounded bytes.
+the text; copies count once, with the label that most of them have. Scoring runs over every text and whole, in slices of bounded bytes.
 
 Defined cases: null, empty and blank texts are one empty passage and get that passage's score; copies get equal scores; without both
 labels in training every score is the share of label 1 (0.5 without labels); an empty table gives an empty table.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_bytes, word_spans
+from .common import sized_broadcast, slices, small_batches, text_bytes, word_spans, written
 
 PASSAGE = 64
 FEATURES, HIDDEN, GATE = 512, 32, 16
@@ -145,11 +145,15 @@ def fit(bags: Sequence[np.ndarray], labels: Sequence[int], epochs: int = EPOCHS)
 def training(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, chars: int) -> tuple[list[np.ndarray], list[int]]:
     """Encoded bags and labels of the sample."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    texts = docs.where(F.coalesce(F.char_length(text), F.lit(0)) <= chars).select(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    # copies are one text with the label that most of them have
+    votes = texts.join(sized_broadcast(known, 64), "k").groupBy("h", "y").count()
+    found = written(votes.groupBy("h").agg(F.max(F.struct("count", "y"))["y"].alias("y")), "labelled")
+    counts = found.groupBy("y").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return [], []
-    share = F.coalesce(*[F.when(F.col("y") == y, min(1.0, rows / n)) for y, n in counts.items()])
-    chosen = known.where(F.pmod(F.shiftrightunsigned(F.xxhash64("k"), 11), F.lit(1 << 30)) < share * float(1 << 30))
+    share = F.coalesce(*[F.when(F.col("y") == r["y"], min(1.0, rows / r["n"])) for r in counts])
+    chosen = found.where((F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 30)) < share * float(1 << 30)) | F.col("h").isin([r["least"] for r in counts]))
     chosen = chosen.limit(4 * rows)  # a bound for the broadcast; the expected number is 2 * rows at most
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +165,8 @@ def training(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
                 bags += [x.tobytes() for x in np.split(np.minimum(counts, 255).astype(np.uint8), np.cumsum(passages)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.binary())], names=["h", "y", "bag"])
 
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    texts = texts.where(F.coalesce(F.char_length("t"), F.lit(0)) <= chars).select(F.xxhash64("t").alias("h"), "y", "t")
-    bags = texts.mapInArrow(encoded, "h long, y int, bag binary").dropDuplicates(["h"]).orderBy("h").collect()
+    some = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("h", "y", "t")
+    bags = some.mapInArrow(encoded, "h long, y int, bag binary").orderBy("h").collect()
     return [np.frombuffer(r["bag"], np.uint8).reshape(-1, FEATURES) for r in bags], [r["y"] for r in bags]
 
 

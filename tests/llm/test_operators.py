@@ -369,6 +369,18 @@ def test_boilerplate_words_need_containers_that_close(spark):
     assert [got[30 + i] for i in range(4)] == [f"own {i}" for i in range(4)]
 
 
+def test_samples_count_distinct_texts(spark):
+    hot = [(f"word{c} " + "abc" * 3, c) for c in "abcdef" for _ in range(300)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(hot + [(f"{c}{d} few others", c) for c in "abcdef" for d in "uvw"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(df, "text", "lang", 4, 1000)
+    assert sorted(got) == list("abcdef") and all(len(t.split()) == 2 + 3 * 3 for t in got.values())
+    assert sorted(language_id.sample(df, "text", "lang", 0, 1000)) == list("abcdef")  # one text at least
+    labels = df.selectExpr("doc_id", "cast(lang < 'd' as int) quality")
+    bags, y = quality.training(df, labels, "doc_id", "text", "quality", 12, 1000)
+    assert len(bags) == 24 and sum(y) == 12
+
+
 def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline as p
 
