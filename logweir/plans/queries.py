@@ -44,6 +44,12 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.extract(detect.route(rows))
 
 
+def salvaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no pack claims, or that their pack can't decode."""
+    rows = extracted(spark, sf_dir).select("event_id", "raw_text", "pack")
+    return written(rows, "salvaged").where(F.col("pack") == detect.SALVAGE).select("event_id", "raw_text")  # a pushed filter would decode anew for each pack
+
+
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(extracted(spark, sf_dir), now_ms=0)
 
@@ -158,30 +164,30 @@ def _(spark, sf_dir):
 
 @query("sal5_ports", f"SELECT event_id, {DPORT} AS ports, {SRC} AS ips FROM events WHERE event_id % 6 = 5")
 def _(spark, sf_dir):
-    df = events(spark, sf_dir).where("event_id % 6 = 5").select("event_id", salvage.observables(F.col("line")).alias("o"))
+    df = salvaged(spark, sf_dir).select("event_id", salvage.observables(F.col("raw_text")).alias("o"))
     return df.select("event_id", F.array_join("o.ports", ",").alias("ports"), F.array_join("o.ip_addresses", ",").alias("ips"))
 
 
 @query("tpl2_tpl4_templates", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n, round(7.0 / 11, 3)::DOUBLE AS specificity,
   row_number() OVER (ORDER BY min(event_id)) AS cluster_id FROM events WHERE event_id % 6 = 5 GROUP BY event_type""")
 def _(spark, sf_dir):
-    found = clusters.summary(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id")
+    found = clusters.summary(salvaged(spark, sf_dir), "raw_text", "event_id")
     return found.select("template", F.col("count").alias("n"), "specificity", "cluster_id")
 
 
 @query("tpl5_cluster_sizes", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS cluster_size FROM events WHERE event_id % 6 = 5")
 def _(spark, sf_dir):
-    return clusters.assign(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id").select("event_id", "cluster_size")
+    return clusters.assign(salvaged(spark, sf_dir), "raw_text", "event_id").select("event_id", "cluster_size")
 
 
 @query("tpl6_top", """SELECT 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, count(*) AS n FROM events WHERE event_id % 6 = 5 GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 3""")
 def _(spark, sf_dir):
-    return clusters.top(events(spark, sf_dir).where("event_id % 6 = 5"), 3, "line", "event_id").select("template", F.col("count").alias("n"))
+    return clusters.top(salvaged(spark, sf_dir), 3, "raw_text", "event_id").select("template", F.col("count").alias("n"))
 
 
 @query("tpl1_refine")
 def _(spark, sf_dir):
-    known = clusters.summary(events(spark, sf_dir).where("event_id % 6 = 5"), "line", "event_id")
+    known = clusters.summary(salvaged(spark, sf_dir), "raw_text", "event_id")
     return clusters.refine(known).groupBy("merged").agg(F.sum("count").alias("n"))
 
 
@@ -194,8 +200,11 @@ def _(spark, sf_dir):
 
 @query("inf10_match", """SELECT * FROM (VALUES ('src_ip', 'AUTO_MAP', 'src_endpoint.ip', 1.0), ('dport', 'AUTO_MAP', 'dst_endpoint.port', 1.0), ('username', 'AUTO_MAP', 'actor.user.name', 0.94), ('log-level', 'AUTO_MAP', 'severity_id', 0.94)) t(key, decision, target_field, confidence)""")
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([("src_ip", ["10.0.0.1"], None), ("dport", ["443"], None), ("username", ["root"], None), ("log-level", ["high"], None)], "key string, samples array<string>, vendor string")
-    return matching.match(rows).select("key", "decision", "target_field", F.round("confidence", 2).alias("confidence"))
+    values = {"src_ip": F.expr(SRC), "dport": F.expr(DPORT), "username": F.expr(USER), "log-level": F.col("event_type")}
+    pairs = events(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.array(v).alias("samples")) for k, v in values.items()])).alias("p"))
+    rows = pairs.select("p.*", F.lit(None).cast("string").alias("vendor")).distinct()
+    # a row for each way that a key's values are matched
+    return matching.match(rows).select("key", "decision", "target_field", F.round("confidence", 2).alias("confidence")).distinct()
 
 
 SQL["inf10_match"] = SQL["inf10_match"].replace("SELECT * FROM", "SELECT key, decision, target_field, CAST(confidence AS DOUBLE) AS confidence FROM")
@@ -250,7 +259,8 @@ def _(spark, sf_dir):
 @query("att12_blocks", "SELECT max(event_id + 1) AS checkpoint_seq, count(*) AS events FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM events) GROUP BY event_id // 1000")
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"))
-    return merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)).select("checkpoint_seq", "events")
+    # the SQL has no roots; blocks count only with a root, so that all are folded
+    return merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)).where(F.length("merkle_root") == 64).select("checkpoint_seq", "events")
 
 
 @query("att1_att2_canonical", """SELECT event_id, sha256('{"a":"' || event_type || '","b":' || CAST(user_id AS VARCHAR) || '}') AS digest FROM events""")
