@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once; texts can be long.
-ARROW_ROWS = 512
+#: Rows and bytes that a Python worker gets at once; a longer text stands alone.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 #: Bytes of text that numpy code handles at once.
 SLICE_BYTES = 1 << 18
 #: Tables above this size are never broadcast.
@@ -22,9 +22,11 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small enough for a worker's memory. This lowers two settings of the session, and never raises them."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,36 +5,42 @@ shingles is, rare first, then their hash. A set's prefix in this order must meet
 (shingle, set) of prefixes give the candidates. For candidates the order is cut into fragments: each fragment counts the overlap of a
 pair apart, and the counts are summed per pair and compared with the exact threshold.
 
-Equal sets are one node from the start. Within a posting list pairs are not enumerated at first: each set is paired with the list's
-leaders only (least by several hashes), these pairs are verified, and sets so linked form components. Then only pairs of different
-components are enumerated, under bounds that lose no link (lengths, places, least number of shared prefix shingles), and verified.
-So groups of near copies of any size cost a few pairs per member, and the components are exact.
+Equal sets are one node from the start. Pairs are enumerated across components only. In each round a node meets one leader: the sets
+that share a least shingle under some hash form a group, its members are paired with the group's leader where both are in different
+components, and these pairs are verified. So a group of near copies of any size costs a pair per member and round, and what is left
+shrinks by the share of linked pairs in each. Rounds only save work: afterwards every posting list that still holds several components
+is enumerated, the members of its most frequent component against the others, under bounds that lose no link (lengths, places, least
+number of shared prefix shingles), and verified. The components are exact.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; fewer words than `words` are one shingle; repeated
 rows share a component; an empty table gives an empty table; null ids count as larger than all others; further columns are ignored.
-Shingles are told apart by 59 bits of hash, sets by 64 bits and their size.
+A text of any length is hashed in pieces of bounded size; its shingles (8 bytes each) are held at once. Shingles are told apart by 60
+bits of hash within a pair of sets, equal sets by 128 bits and their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, mix64, slices, small_batches, text_bytes, word_spans, written
+from .common import SLICE_BYTES, mix64, sized_broadcast, slices, small_batches, text_bytes, word_spans, written
 
 WORDS, PERCENT = 5, 75
-#: Buckets that count shingles, as a power of two: more only make the order sharper.
-BUCKET_BITS = 16
-CLASS_SHIFT = 59
+#: Bytes of text for each bucket that counts shingles, and the bounds of the buckets' number as powers of two.
+BUCKET_BYTES, BUCKET_BITS = 8192, (12, 24)
+CLASS_SHIFT = 60
 FRAGMENTS = 8
 SALTS = 64
-#: Leaders of a posting list. More of them leave fewer pairs to be enumerated; the result is the same.
-LEADERS = 6
+#: Hashes by which nodes meet leaders in each round, and how many of all a node and its leader must have in common.
+ROUNDS, AGREE = ((0,), (1, 2, 3), (4, 5, 6, 7)), 3
+#: A round that links fewer of its pairs is the last one before all pairs are enumerated.
+WORTH = 0.05
 BASE = 0x5851F42D4C957F2D
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,87 +54,106 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return make(BASE), make(pow(BASE, -1, 1 << 64))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    up, down = powers(1 << max(18, int(len(raw)).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    return mix64((total[stops] - total[starts]) * down[starts])
+def word_hashes(raw: np.ndarray, off: np.ndarray, piece: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of all lower-cased words. Bytes are read piece by piece; a word that goes over an edge is put together."""
+    up, down = powers(SLICE_BYTES)
+    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    length, last = 0, -1  # of the word that the piece before ended in: its length so far, its row (-1: none)
+    for at in range(0, len(raw), piece):
+        part = LOWER[raw[at : at + piece]]
+        lo, hi = int(np.searchsorted(off, at, side="right")) - 1, int(np.searchsorted(off, at + len(part), side="left"))
+        starts, stops, row = word_spans(part, np.clip(off[lo : hi + 1] - at, 0, len(part)))
+        if not len(starts):
+            last = -1
+            continue
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
+        value, row = (total[stops] - total[starts]) * down[starts], (row + lo).astype(np.int32)
+        ends, own = int(stops[-1]) == len(part), int(stops[-1] - starts[-1])
+        if last == row[0] and starts[0] == 0:
+            values[-1][-1:] += value[:1] * np.uint64(pow(BASE, length, 1 << 64))
+            own += length * (len(starts) == 1)
+            value, row = value[1:], row[1:]
+        length, last = (own, int(row[-1]) if len(row) else last) if ends else (0, -1)
+        values.append(value) if len(value) else None
+        rows.append(row) if len(row) else None
+    return mix64(np.concatenate(values)), np.concatenate(rows)
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, rows): all shingles of some texts, repeats included."""
-    starts, stops, row = word_spans(raw, off)
-    w = word_hashes(LOWER[raw], starts, stops)
+    """(hashes, edges of each text's): all shingles of some texts, repeats included."""
+    w, row = word_hashes(raw, off)
     counts = np.bincount(row, minlength=len(off) - 1)
-    h, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    made = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    edges, first = np.concatenate([[0], np.cumsum(made)]), np.cumsum(counts) - counts
+    h = np.zeros(edges[-1], np.uint64)
     if len(w) >= words:
-        whole = row[: len(w) - words + 1] == row[words - 1 :]
-        at = np.flatnonzero(whole)
-        h = np.zeros(len(at), np.uint64)
+        whole = np.flatnonzero(row[: len(w) - words + 1] == row[words - 1 :])
+        sums = np.zeros(len(w) - words + 1, np.uint64)
         for k in range(words):
-            h += w[at + k] * ODD[k % len(ODD)] * np.uint64(2 * (k // len(ODD)) + 1)
-        rows = row[at]
+            sums += w[k : len(w) - words + 1 + k] * (ODD[k % len(ODD)] * np.uint64(2 * (k // len(ODD)) + 1))
+        h[whole + (edges[:-1] - first)[row[whole]]] = sums[whole]
     few = np.flatnonzero((counts > 0) & (counts < words))
     if len(few):
-        first = np.cumsum(counts) - counts
-        short = np.full(len(few), 0, np.uint64)
+        short = counts[few].astype(np.uint64) * ODD[-1]
         for k in range(words - 1):
             has = counts[few] > k
             short[has] += w[first[few[has]] + k] * ODD[k % len(ODD)]
-        short += counts[few].astype(np.uint64) * ODD[-1]
-        h, rows = np.concatenate([h, short]), np.concatenate([rows, few])
-    return mix64(h), rows
-
-
-def distinct(h: np.ndarray, rows: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (tokens, rows) in row order, ascending within a row; the token's top bits are its class."""
-    token = h >> np.uint64(64 - CLASS_SHIFT)
-    if levels is not None:
-        bits = int(len(levels)).bit_length() - 1
-        token |= levels[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(CLASS_SHIFT)
-    order = np.lexsort((token, rows))
-    token, rows = token[order], rows[order]
+        h[edges[few]] = short
+    return mix64(h), edges
+
+
+def sets(raw: np.ndarray, off: np.ndarray, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens as signed integers, edges of each text's): distinct ones, ascending; the top bits of a token are its class."""
+    token, edges = shingles(raw, off, words)
+    bits = int(len(levels)).bit_length() - 1
+    level = levels[(token >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(CLASS_SHIFT)
+    token >>= np.uint64(64 - CLASS_SHIFT)
+    token |= level
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            token[a:b].sort()
     new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (rows[1:] != rows[:-1])
-    return token[new], rows[new]
+    new[1:] = token[1:] != token[:-1]
+    new[edges[:-1][np.diff(edges) > 0]] = True
+    return token[new].view(np.int64), np.concatenate([[0], np.cumsum(new)])[edges]
 
 
-def classes(counts: np.ndarray) -> np.ndarray:
+def classes(counts: np.ndarray, mean: float) -> np.ndarray:
     """Class of each bucket, 0 to 7: how far its count stands above what an even spread explains, in powers of four."""
-    mean = counts.mean() if len(counts) else 0.0
     above = counts - mean - 6 * np.sqrt(mean) - 32
     return np.where(above > 0, np.minimum(7, 1 + np.floor(np.log(1 + np.maximum(above, 0) / 64) / np.log(4))), 0).astype(np.uint8)
 
 
-def bucket_counts(docs: DataFrame, words: int, bits: int) -> np.ndarray:
-    """Shingles (each once per document) by bucket, over all documents."""
+def bucket_classes(docs: DataFrame, words: int) -> np.ndarray:
+    """Class of each bucket, from the count of all shingles of all documents."""
+    size = docs.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    bits = min(max(BUCKET_BITS[0], int(size // BUCKET_BYTES).bit_length()), BUCKET_BITS[1])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for b in batches:
             raw, off = text_bytes(b.column(0))
             for i, j in slices(off):
-                token, _ = distinct(*shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], words))
-                total += np.bincount((token >> np.uint64(CLASS_SHIFT - bits)).astype(np.int64), minlength=1 << bits)
+                h, _ = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], words)
+                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
 
+    counts = written(docs.select("t").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
     out = np.zeros(1 << bits, np.int64)
-    for r in docs.select("t").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 2^bits rows at most
+    for r in counts.where(F.col("n") > mean).toLocalIterator():  # some of the buckets, whose number is bounded
         out[r["bucket"]] = r["n"]
-    return out
-
-
-def signature(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """64-bit hash of each set: mixed sum of its mixed tokens and its size."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens + ODD[1]))])
-    return mix64(sums[edges[1:]] - sums[edges[:-1]] + np.diff(edges).astype(np.uint64) * ODD[2]).view(np.int64)
+    return classes(out, mean)
 
 
-def sets(raw: np.ndarray, off: np.ndarray, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens as signed integers, edges of each text's tokens, signatures)."""
-    token, rows = distinct(*shingles(raw, off, words), levels)
-    edges = np.searchsorted(rows, np.arange(len(off)))
-    return token.view(np.int64), edges, signature(token, edges)
+def signatures(tokens: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set: mixed sums of its mixed tokens and its size."""
+    out = []
+    for a, b in ((ODD[1], ODD[2]), (ODD[3], ODD[4])):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens.view(np.uint64) * (a | np.uint64(1)) + b))])
+        out.append(mix64(sums[edges[1:]] - sums[edges[:-1]] + np.diff(edges).astype(np.uint64) * b).view(np.int64))
+    return out
 
 
 def required(a: Column, b: Column, percent: int) -> Column:
@@ -169,129 +194,176 @@ def components(edges: DataFrame) -> DataFrame:
 class Join:
     """One join over the texts of df: what its steps share."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, words: int, percent: int, bits: int, fragments: int):
+    def __init__(self, df: DataFrame, key: str, text: str, words: int, percent: int, fragments: int):
         self.spark = df.sparkSession
         small_batches(self.spark)
-        self.docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+        self.docs = df.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
         self.kind = dict(self.docs.dtypes)["k"]
         self.words, self.percent, self.fragments = words, percent, fragments
-        self.repeats = True  # whether rows may share key and set
-        self.levels = self.spark.sparkContext.broadcast(classes(bucket_counts(self.docs, words, bits)))
+        self.levels = self.spark.sparkContext.broadcast(bucket_classes(self.docs, words))
+        #: (u, label) of each node that isn't its component's least
+        self.labels: DataFrame | None = None
 
     def signed(self) -> DataFrame:
-        """k, n, sig and prefix of each document."""
+        """k, h, n, both signatures and prefix of each document."""
         words, percent, levels = self.words, self.percent, self.levels
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                raw, off = text_bytes(b.column(1))
-                sizes, sigs, values, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+                raw, off = text_bytes(b.column(2))
+                sizes, first, second, values, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
                 for i, j in slices(off):
-                    token, edges, sig = sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], words, levels.value)
+                    token, edges = sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], words, levels.value)
                     n = np.diff(edges)
                     keep = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
                     take = np.arange(len(token)) - np.repeat(edges[:-1], n) < np.repeat(keep, n)
-                    sizes.append(n)
-                    sigs.append(sig)
-                    values.append(token[take])
-                    ends.append(ends[-1][-1] + np.cumsum(keep))
+                    one, two = signatures(token, edges)
+                    for to, what in ((sizes, n), (first, one), (second, two), (values, token[take]), (ends, ends[-1][-1] + np.cumsum(keep))):
+                        to.append(what)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sigs)), lists], names=["k", "n", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.concatenate(x)) for x in (sizes, first, second)), lists], names=["k", "h", "n", "one", "two", "prefix"])
 
-        return self.docs.mapInArrow(made, f"k {self.kind}, n long, sig long, prefix array<long>")
+        return self.docs.mapInArrow(made, f"k {self.kind}, h long, n long, one long, two long, prefix array<long>")
 
-    def segments(self, nodes: DataFrame) -> DataFrame:
-        """node, fragment and segment (the node's tokens there) of some nodes (k, sig), read from their texts again."""
+    def segments(self, nodes: DataFrame, short: bool) -> DataFrame:
+        """node, fragment and segment (the node's tokens there, and 16 bits of each if `short`) of nodes (id, k, h), from their texts."""
         words, levels, fragments = self.words, self.levels, self.fragments
-        nodes = nodes.select(F.col("k").alias("k2"), F.col("sig"))
-        nodes = F.broadcast(nodes) if nodes.count() * 80 <= BROADCAST_BYTES else nodes
-        texts = self.docs.join(nodes, F.col("k").eqNullSafe(F.col("k2"))).select("sig", "t")
+        asked = sized_broadcast(nodes.select("id", F.col("k").alias("k2"), F.col("h").alias("h2")), 80)
+        texts = self.docs.join(asked, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("id", "t")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # rare shingles are dealt evenly; those of higher classes share the last fragment
             edges_of = np.append(np.arange(1, fragments - 1) * (1 << CLASS_SHIFT) // max(1, fragments - 1), 1 << CLASS_SHIFT).astype(np.int64)
             for b in batches:
                 raw, off = text_bytes(b.column(1))
-                expected = b.column(0).to_numpy()
+                ids = b.column(0).to_numpy()
                 for i, j in slices(off):
-                    token, edges, sig = sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], words, levels.value)
-                    n = np.diff(edges)
-                    row = np.repeat(np.arange(j - i), n)
-                    good = (sig == expected[i:j])[row]
-                    token, row = token[good], row[good]
-                    part = row * fragments + np.searchsorted(edges_of, token, side="right")
+                    token, edges = sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], words, levels.value)
+                    part = np.repeat(np.arange(j - i), np.diff(edges)) * fragments + np.searchsorted(edges_of, token, side="right")
                     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(token))
-                    short = pa.ListArray.from_arrays(lists.offsets, pa.array(token.astype(np.uint16).view(np.int16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(expected[i:j][row[at]]), pa.array((part[at] % fragments).astype(np.int32)), lists, short], names=["node", "fragment", "segment", "short"])
+                    lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(x)) for x in (token, token.astype(np.uint16).view(np.int16))[: 1 + short]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][part[at] // fragments]), pa.array((part[at] % fragments).astype(np.int32)), *lists], names=["node", "fragment", "segment", "short"][: 3 + short])
 
-        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>, short array<smallint>")
+        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>" + ", short array<smallint>" * short)
         return out.dropDuplicates(["node", "fragment"]) if self.repeats else out
 
-    def linked(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (u, nu, v, nv) whose overlap, summed over fragments, reaches the threshold."""
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
-        cut = written(self.segments(nodes.join(ends, "sig", "left_semi")), "segments")
-        # a screen with 16 bits of each token never counts too little: what isn't among b's is surely not shared
-        near = self.overlaps(pairs, cut, "short", lambda a, b: F.size(a) - F.size(F.array_except(a, b)))
-        return self.overlaps(written(near, "screened"), cut, "segment", lambda a, b: F.size(F.array_intersect(a, b))).select("u", "v")
-
-    def overlaps(self, pairs: DataFrame, cut: DataFrame, column: str, count: Callable[[Column, Column], Column]) -> DataFrame:
+    def prepare(self) -> DataFrame:
+        """The postings (w, id, n, at) that several nodes share; sets up rows (of documents) and nodes (of distinct sets)."""
+        signed = written(self.signed().withColumn("rid", F.monotonically_increasing_id()), "signed")
+        first = F.min(F.struct(F.col("k").isNull().alias("z"), "k", "h", "rid"))
+        for seed in count():  # anew if different sets have one number
+            self.rows = signed.withColumn("id", F.xxhash64("one", "two", "n", F.lit(seed)))
+            nodes = self.rows.where("n > 0").groupBy("id", "one", "two", "n").agg(first.alias("f"), F.count("*").alias("copies"))
+            self.nodes = written(nodes.select("id", "n", "f.k", "f.h", "f.rid", "copies"), "nodes")
+            if self.nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+                break
+        # only one row of each set posts; most sets have one row, so that few are looked up
+        copied = self.nodes.where("copies > 1").select("id", F.col("rid").alias("own"))
+        self.repeats = not copied.isEmpty()
+        posting = self.rows.where("n > 0").select("id", "n", "rid", "prefix").join(sized_broadcast(copied, 64), "id", "left").where("own is null or own = rid")
+        posted = posting.select("id", "n", F.posexplode("prefix").alias("at", "w"))
+        # rare shingles meet in short lists; lists of frequent ones are counted first, as they can be of any length
+        near = Window.partitionBy("w").orderBy("id")
+        rare = posted.where(F.col("w") < 1 << CLASS_SHIFT).withColumns({"before": F.lag("id").over(near), "after": F.lead("id").over(near)})
+        often = posted.where(F.col("w") >= 1 << CLASS_SHIFT)
+        shared = often.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+        return written(rare.where("before is not null or after is not null").select("w", "id", "n", "at").unionByName(often.join(shared, "w", "left_semi").select("w", "id", "n", "at")), "postings")
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """df with the label of each id."""
+        if self.labels is None:
+            return df.withColumn("label", F.col("id"))
+        return df.join(sized_broadcast(self.labels.withColumnRenamed("u", "id"), 48), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Takes in links (lu, lv) between labels."""
+        more = components(links.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+        if self.labels is None:
+            self.labels = more
+            return
+        moved = self.labels.join(sized_broadcast(more.select(F.col("u").alias("label"), F.col("label").alias("to")), 48), "label", "left")
+        self.labels = written(moved.select("u", F.coalesce("to", "label").alias("label")).unionByName(more), "labels")
+
+    def linked(self, pairs: DataFrame, screen: bool) -> DataFrame:
+        """(lu, lv) of the pairs (u, nu, lu, v, nv, lv) whose overlap, summed over fragments, reaches the threshold."""
+        ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        cut = written(self.segments(self.nodes.join(ends, "id", "left_semi"), screen), "segments")
+        if screen:
+            # 16 bits of each token never count too little: what isn't among b's is surely not shared
+            pairs = written(self.overlaps(pairs, cut, "short", lambda a, b: F.size(a) - F.size(F.array_except(a, b))), "screened")
+        return self.overlaps(pairs, cut, "segment", lambda a, b: F.size(F.array_intersect(a, b))).select("lu", "lv")
+
+    def overlaps(self, pairs: DataFrame, cut: DataFrame, column: str, counted: Callable[[Column, Column], Column]) -> DataFrame:
         """The pairs whose counts, summed over fragments, reach the threshold."""
         left = pairs.join(cut.select(F.col("node").alias("u"), "fragment", F.col(column).alias("a")), "u")
         both = left.join(cut.select(F.col("node").alias("v"), "fragment", F.col(column).alias("b")), ["v", "fragment"])
-        partial = both.select("u", "v", "nu", "nv", count(F.col("a"), F.col("b")).cast("long").alias("overlap"))
-        whole = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
+        partial = both.select(*pairs.columns, counted(F.col("a"), F.col("b")).cast("long").alias("overlap"))
+        whole = partial.groupBy(*pairs.columns).agg(F.sum("overlap").alias("o"))
         return whole.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * self.percent).drop("o")
 
+    def rounds(self, shared: DataFrame) -> None:
+        """Links between nodes and the leaders of the groups that share a least shingle."""
+        hashes = [h for r in ROUNDS for h in r]
+        own = shared.select("id", "n", "w").repartition("id").groupBy("id", "n")
+        keys = written(own.agg(F.array(*[F.min(F.xxhash64("w", F.lit(h))) for h in hashes]).alias("keys")), "keys")
+        for some in ROUNDS:
+            met = self.labelled(keys).select("id", "n", "label", "keys", F.explode(F.array(*[F.struct(F.lit(h).alias("no"), F.col("keys")[h].alias("key")) for h in some])).alias("g")).select("*", "g.*").drop("g")
+            lead = met.groupBy("no", "key").agg(F.min(F.struct(F.xxhash64("id", "no").alias("first"), "id", "n", "label", "keys")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+            pairs = met.join(lead.select("no", "key", "lead"), ["no", "key"]).where((F.col("label") != F.col("lead.label")) & close(F.col("n"), F.col("lead.n"), self.percent))
+            alike = F.size(F.filter(F.arrays_zip("keys", F.col("lead.keys").alias("other")), lambda k: k["keys"] == k["other"]))
+            pairs = pairs.where(alike >= AGREE).select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("lead.id").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.label").alias("lv"))
+            pairs = written(pairs.distinct(), "round-pairs")
+            tried = pairs.count()
+            if not tried:
+                continue
+            links = written(self.linked(pairs, False), "round-links")
+            found = links.count()
+            if found:
+                self.merge(links)
+            if found < WORTH * tried:
+                break
+
+    def rest(self, shared: DataFrame) -> None:
+        """Links between all other nodes of different components that share a list."""
+        marked = written(self.labelled(shared), "marked")
+        by_label = marked.groupBy("w", "label").agg(F.count("*").alias("c"))
+        open_ = by_label.groupBy("w").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("w", "most")
+        open_ = written(marked.join(open_, "w").select("w", "id", "n", "at", "label", (F.col("label") == F.col("most")).alias("main")), "open-lists")
+        a = open_.where("not main").select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+        b = open_.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        # at a pair's c-th shared shingle, o - c + 1 more must fit behind it; what is shared before is at most the smaller place
+        fits = room + F.least("pa", "pb") >= required(F.col("na"), F.col("nb"), self.percent)
+        once = F.col("main") | (F.col("a") < F.col("b"))
+        met = a.join(b, "w").where(once & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"), self.percent) & fits)
+        turned = F.col("a") > F.col("b")
+        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("la", "lb", "lu"), ("b", "a", "v"), ("nb", "na", "nv"), ("lb", "la", "lv"))]
+        pairs = met.select(*ends).groupBy("u", "nu", "lu", "v", "nv", "lv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent)).drop("c")
+        pairs = written(pairs, "pairs")
+        if not pairs.isEmpty():
+            self.merge(self.linked(pairs, True))
+
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = BUCKET_BITS, fragments: int = FRAGMENTS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id (the least key reachable by links of Jaccard >= percent / 100)."""
-    join = Join(df, key, text, words, percent, bits, fragments)
-    signed = written(join.signed(), "signed")
-    salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("salt")
-    sized = signed.where("n > 0")
-    join.repeats = not sized.groupBy("k", "sig").count().where("count > 1").isEmpty()
-    # equal sets are one node; a set's copies are combined per task before they meet
-    nodes = written(sized.groupBy("sig", "n").agg(F.min("k").alias("k")), "nodes")
-    posted = sized.groupBy("sig", "n").agg(F.first("prefix").alias("prefix")).select("sig", "n", F.posexplode("prefix").alias("at", "w"))
-    near = Window.partitionBy("w").orderBy("sig")
-    lists = posted.select("w", "sig", "n", "at", F.lag(F.lit(1)).over(near).alias("before"), F.lead(F.lit(1)).over(near).alias("after"))
-    shared = written(lists.where("before is not null or after is not null").drop("before", "after"), "postings")
-
-    # first links: each set with the leaders (least by several hashes) of its lists, where they share as much as links must
-    lead = lambda r: F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "n"))
-    leaders = shared.groupBy("w").agg(*[lead(r).alias(f"l{r}") for r in range(LEADERS)])
-    leaders = leaders.select("w", F.array_distinct(F.array(*[F.struct(f"l{r}.sig", f"l{r}.n") for r in range(LEADERS)])).alias("leaders"))
-    named = shared.join(leaders, "w").select("sig", "n", F.explode("leaders").alias("o")).where(F.col("o.sig") != F.col("sig"))
-    named = named.where(close(F.col("n"), F.col("o.n"), percent)).groupBy("sig", "n", "o").agg(F.count("*").alias("c"))
-    named = named.where(F.col("c") >= support(F.col("n"), F.col("o.n"), percent))
-    named = named.select(F.least("sig", "o.sig").alias("u"), F.when(F.col("sig") < F.col("o.sig"), F.col("n")).otherwise(F.col("o.n")).alias("nu"), F.greatest("sig", "o.sig").alias("v"), F.when(F.col("sig") < F.col("o.sig"), F.col("o.n")).otherwise(F.col("n")).alias("nv")).distinct()
-    first = join.linked(named, nodes)
-    first = written(first, "first-links")
-    label = components(first)
-
-    # all other pairs: only lists that hold several components, only pairs of different ones
-    marked = shared.select("w", "sig", "n", "at").join(label.select(F.col("u").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    marked = written(marked, "marked")
-    mixed = marked.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("w")
-    open_ = marked.join(mixed, "w", "left_semi")
-    a = open_.select("w", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("at").alias("pu"), F.col("label").alias("lu"))
-    b = open_.select("w", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("at").alias("pv"), F.col("label").alias("lv"))
-    room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
-    o = required(F.col("nu"), F.col("nv"), percent)
-    # at a pair's c-th shared shingle, o - c + 1 more must fit behind it; what is shared before is at most the smaller place
-    fits = room + F.least("pu", "pv") >= o
-    pairs = a.join(b, "w").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & close(F.col("nu"), F.col("nv"), percent) & fits)
-    pairs = pairs.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), percent))
-    rest = join.linked(pairs.select("u", "nu", "v", "nv"), nodes)
-    label = components(first.unionByName(rest))
-
-    # least key of each component, then of each document's set; hot sets are spread by salt
-    linked = label.unionByName(label.select(F.col("label").alias("u"), "label").distinct()).withColumnRenamed("u", "sig")
-    own = nodes.join(linked, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    ids = own.join(own.groupBy("label").agg(F.min("k").alias("component")), "label").select("sig", "n", "component")
-    parts = sized.select("sig", "n", salt).distinct().join(ids, ["sig", "n"])
-    out = signed.select("k", "n", "sig", salt).join(parts, ["sig", "n", "salt"], "left")
+    join = Join(df, key, text, words, percent, fragments)
+    shared = join.prepare()
+    join.rounds(shared)
+    join.rest(shared)
+
+    # least key of each component, then of each document's set; hot labels and sets are spread by salt
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    own = join.nodes.select("id", "k")
+    if join.labels is not None:
+        known = join.labels.unionByName(join.labels.select(F.col("label").alias("u"), "label").distinct()).withColumnRenamed("u", "id")
+        marked = written(own.join(known, "id", "left").withColumn("salt", salt("id")), "components")
+        some = marked.where("label is not null")
+        least = some.groupBy("label", "salt").agg(F.min("k").alias("k")).groupBy("label").agg(F.min("k").alias("component"))
+        told = some.select("label", "salt").distinct().join(least, "label")
+        own = marked.where("label is null").select("id", F.col("k").alias("component")).unionByName(some.join(told, ["label", "salt"]).select("id", "component"))
+    else:
+        own = own.withColumnRenamed("k", "component")
+    rows = join.rows.select("k", "n", "id", salt("rid"))
+    parts = rows.where("n > 0").select("id", "salt").distinct().join(own, "id")
+    out = rows.join(parts, ["id", "salt"], "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))

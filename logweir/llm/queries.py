@@ -89,7 +89,7 @@ def term_sql(term: str) -> str:
     return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
 
 
-def op6_sql() -> str:
+def url_sql() -> str:
     """Rules from the longest on; then one strict term or two distinct soft ones."""
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in rules)
@@ -116,11 +116,14 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(z) AS component_
 """
 
 
+NUMBERED = (op1_quality, op2_language_id, op3_mixing, op4_exact_dedup, op5_permutation_index, op6_url_filter, op7_packing, op8_html_extraction, op9_sharding, op10_ngram_join)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in NUMBERED} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": op6_sql(), "op10_ngram_join": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": url_sql(), "op10_ngram_join": OP10_SQL}
