@@ -5,12 +5,13 @@ shingles is, rare first, then their hash. A set's prefix in this order must meet
 (shingle, set) of prefixes give the candidates. For candidates the order is cut into fragments: each fragment counts the overlap of a
 pair apart, and the counts are summed per pair and compared with the exact threshold.
 
-Equal sets are one node from the start. Pairs are enumerated across components only. In each round a node meets one leader: the sets
-that share a least shingle under some hash form a group, its members are paired with the group's leader where both are in different
-components, and these pairs are verified. So a group of near copies of any size costs a pair per member and round, and what is left
-shrinks by the share of linked pairs in each. Rounds only save work: afterwards every posting list that still holds several components
-is enumerated, the members of its most frequent component against the others, under bounds that lose no link (lengths, places, least
-number of shared prefix shingles), and verified. The components are exact.
+Equal sets are one node from the start. Pairs are enumerated across components only. In each round nodes that share a least shingle
+under some hash form a group, and its members meet the group's leader: of the pairs between two components the one is verified whose
+least shingles agree most, so a group of near copies of any size costs a pair per member and round, and each round leaves a share of
+the one before. Rounds only save work: afterwards every posting list that still holds several components is enumerated, the members of
+its most frequent component against the others, under bounds that lose no link (lengths, places, least number of shared prefix
+shingles). Of these pairs again the best of each two components is verified first, then all that are still between components. The
+components are exact.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; fewer words than `words` are one shingle; repeated
 rows share a component; an empty table gives an empty table; null ids count as larger than all others; further columns are ignored.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix64, sized_broadcast, slices, small_batches, text_bytes, word_spans, written
+from .common import SLICE_BYTES, discard, mix64, sized_broadcast, slices, small_batches, text_bytes, word_spans, written
 
 WORDS, PERCENT = 5, 75
 #: Bytes of text for each bucket that counts shingles, and the bounds of the buckets' number as powers of two.
@@ -37,8 +38,12 @@ BUCKET_BYTES, BUCKET_BITS = 8192, (12, 24)
 CLASS_SHIFT = 60
 FRAGMENTS = 8
 SALTS = 64
-#: Hashes by which nodes meet leaders in each round, and how many of all a node and its leader must have in common.
-ROUNDS, AGREE = ((0,), (1, 2, 3), (4, 5, 6, 7)), 3
+#: Least shingles kept of each node, and those by which nodes meet in each round.
+KEYS, ROUNDS = 32, ((0, 1), (2, 3, 4), (5, 6, 7, 8))
+#: Share of the prefix shingles that links must have in common which a node and its leader must have by their least shingles' estimate.
+LIKELY = 0.7
+#: Of the pairs between two components so many are verified before all others.
+SAMPLES = (1, 16)
 #: A round that links fewer of its pairs is the last one before all pairs are enumerated.
 WORTH = 0.05
 BASE = 0x5851F42D4C957F2D
@@ -165,11 +170,14 @@ def close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def prefix_length(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9).cast("long") + 1
+
+
 def support(a: Column, b: Column, percent: int) -> Column:
     """Least number of shingles that the prefixes of linked sets share."""
     o = required(a, b, percent)
-    kept = lambda n: n - F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9).cast("long") + 1  # noqa: E731  the prefix length
-    return F.greatest(F.lit(1), F.least(kept(a) - (a - o), kept(b) - (b - o)))
+    return F.greatest(F.lit(1), F.least(prefix_length(a, percent) - (a - o), prefix_length(b, percent) - (b - o)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,11 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: neighbours below u, and u itself, hang on the least of them
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(below.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "stars")
-        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if tuple(now) == state:
+        before, edges = edges, written(small.distinct(), "stars")
+        discard(before)
+        now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        if now == state:
             return edges.select("u", F.col("v").alias("label"))
-        state = tuple(now)
+        state = now
 
 
 class Join:
@@ -226,7 +235,7 @@ class Join:
         return self.docs.mapInArrow(made, f"k {self.kind}, h long, n long, one long, two long, prefix array<long>")
 
     def segments(self, nodes: DataFrame, short: bool) -> DataFrame:
-        """node, fragment and segment (the node's tokens there, and 16 bits of each if `short`) of nodes (id, k, h), from their texts."""
+        """node, fragment and segment (the node's tokens there; 16 bits of each if `short`) of nodes (id, k, h), from their texts."""
         words, levels, fragments = self.words, self.levels, self.fragments
         asked = sized_broadcast(nodes.select("id", F.col("k").alias("k2"), F.col("h").alias("h2")), 80)
         texts = self.docs.join(asked, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("id", "t")
@@ -241,10 +250,10 @@ class Join:
                     token, edges = sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], words, levels.value)
                     part = np.repeat(np.arange(j - i), np.diff(edges)) * fragments + np.searchsorted(edges_of, token, side="right")
                     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-                    lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(x)) for x in (token, token.astype(np.uint16).view(np.int16))[: 1 + short]]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][part[at] // fragments]), pa.array((part[at] % fragments).astype(np.int32)), *lists], names=["node", "fragment", "segment", "short"][: 3 + short])
+                    segment = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(token.astype(np.uint16).view(np.int16) if short else token))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][part[at] // fragments]), pa.array((part[at] % fragments).astype(np.int32)), segment], names=["node", "fragment", "segment"])
 
-        out = texts.mapInArrow(cut, "node long, fragment int, segment array<long>" + ", short array<smallint>" * short)
+        out = texts.mapInArrow(cut, f"node long, fragment int, segment array<{'smallint' if short else 'long'}>")
         return out.dropDuplicates(["node", "fragment"]) if self.repeats else out
 
     def prepare(self) -> DataFrame:
@@ -259,7 +268,8 @@ class Join:
                 break
         # only one row of each set posts; most sets have one row, so that few are looked up
         copied = self.nodes.where("copies > 1").select("id", F.col("rid").alias("own"))
-        self.repeats = not copied.isEmpty()
+        # equal rows give a set's segments several times
+        self.repeats = not self.rows.join(sized_broadcast(copied, 64), "id").groupBy("id", "k", "h").count().where("count > 1").isEmpty()
         posting = self.rows.where("n > 0").select("id", "n", "rid", "prefix").join(sized_broadcast(copied, 64), "id", "left").where("own is null or own = rid")
         posted = posting.select("id", "n", F.posexplode("prefix").alias("at", "w"))
         # rare shingles meet in short lists; lists of frequent ones are counted first, as they can be of any length
@@ -285,43 +295,67 @@ class Join:
         self.labels = written(moved.select("u", F.coalesce("to", "label").alias("label")).unionByName(more), "labels")
 
     def linked(self, pairs: DataFrame, screen: bool) -> DataFrame:
-        """(lu, lv) of the pairs (u, nu, lu, v, nv, lv) whose overlap, summed over fragments, reaches the threshold."""
-        ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        cut = written(self.segments(self.nodes.join(ends, "id", "left_semi"), screen), "segments")
-        if screen:
-            # 16 bits of each token never count too little: what isn't among b's is surely not shared
-            pairs = written(self.overlaps(pairs, cut, "short", lambda a, b: F.size(a) - F.size(F.array_except(a, b))), "screened")
-        return self.overlaps(pairs, cut, "segment", lambda a, b: F.size(F.array_intersect(a, b))).select("lu", "lv")
-
-    def overlaps(self, pairs: DataFrame, cut: DataFrame, column: str, counted: Callable[[Column, Column], Column]) -> DataFrame:
+        """The (written) pairs (u, nu, lu, v, nv, lv) whose overlap, summed over fragments, reaches the threshold."""
+        if not screen:
+            return self.overlaps(pairs, False, lambda a, b: F.size(F.array_intersect(a, b)))
+        # 16 bits of each token never count too little: what isn't among b's is surely not shared
+        near = self.overlaps(pairs, True, lambda a, b: F.size(a) - F.size(F.array_except(a, b)))
+        out = self.linked(near, False)
+        discard(near)
+        return out
+
+    def overlaps(self, pairs: DataFrame, short: bool, counted: Callable[[Column, Column], Column]) -> DataFrame:
         """The pairs whose counts, summed over fragments, reach the threshold."""
-        left = pairs.join(cut.select(F.col("node").alias("u"), "fragment", F.col(column).alias("a")), "u")
-        both = left.join(cut.select(F.col("node").alias("v"), "fragment", F.col(column).alias("b")), ["v", "fragment"])
-        partial = both.select(*pairs.columns, counted(F.col("a"), F.col("b")).cast("long").alias("overlap"))
+        ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        cut = written(self.segments(self.nodes.join(ends, "id", "left_semi"), short), "segments")
+        # pairs are slim: where they are few they go to the segments, so that those of u move once and those of v only to their pairs
+        left = cut.select(F.col("node").alias("u"), "fragment", F.col("segment").alias("a")).join(sized_broadcast(pairs, 96), "u")
+        asked = sized_broadcast(pairs.select(F.col("v").alias("node")).distinct(), 40)
+        right = cut.join(asked, "node", "left_semi").select(F.col("node").alias("v"), "fragment", F.col("segment").alias("b"))
+        partial = left.join(right, ["v", "fragment"]).select(*pairs.columns, counted(F.col("a"), F.col("b")).cast("long").alias("overlap"))
         whole = partial.groupBy(*pairs.columns).agg(F.sum("overlap").alias("o"))
-        return whole.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * self.percent).drop("o")
+        out = written(whole.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * self.percent).drop("o"), "overlaps")
+        discard(cut)
+        return out
 
     def rounds(self, shared: DataFrame) -> None:
         """Links between nodes and the leaders of the groups that share a least shingle."""
-        hashes = [h for r in ROUNDS for h in r]
         own = shared.select("id", "n", "w").repartition("id").groupBy("id", "n")
-        keys = written(own.agg(F.array(*[F.min(F.xxhash64("w", F.lit(h))) for h in hashes]).alias("keys")), "keys")
+        keys = own.agg(F.count("*").alias("posts"), F.array(*[F.min(F.xxhash64("w", F.lit(h))) for h in range(KEYS)]).alias("keys"))
+        # eighths of the prefix that no other set has: copies with few changes of their own lead
+        keys = written(keys.withColumn("own", F.floor(8 - 8 * F.col("posts") / prefix_length(F.col("n"), self.percent))), "keys")
+        bits = F.transform("keys", lambda k: (k % 32_768).cast("short"))
         for some in ROUNDS:
-            met = self.labelled(keys).select("id", "n", "label", "keys", F.explode(F.array(*[F.struct(F.lit(h).alias("no"), F.col("keys")[h].alias("key")) for h in some])).alias("g")).select("*", "g.*").drop("g")
-            lead = met.groupBy("no", "key").agg(F.min(F.struct(F.xxhash64("id", "no").alias("first"), "id", "n", "label", "keys")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+            chosen = F.explode(F.array(*[F.struct(F.lit(h).alias("no"), F.col("keys")[h].alias("key")) for h in some]))
+            met = self.labelled(keys).select("id", "n", "label", "own", chosen.alias("g")).select("id", "n", "label", "own", "g.no", "g.key")
+            lead = met.groupBy("no", "key").agg(F.min(F.struct("own", F.xxhash64("id", "no").alias("first"), "id", "n", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             pairs = met.join(lead.select("no", "key", "lead"), ["no", "key"]).where((F.col("label") != F.col("lead.label")) & close(F.col("n"), F.col("lead.n"), self.percent))
-            alike = F.size(F.filter(F.arrays_zip("keys", F.col("lead.keys").alias("other")), lambda k: k["keys"] == k["other"]))
-            pairs = pairs.where(alike >= AGREE).select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("lead.id").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.label").alias("lv"))
-            pairs = written(pairs.distinct(), "round-pairs")
-            tried = pairs.count()
-            if not tried:
-                continue
-            links = written(self.linked(pairs, False), "round-links")
+            pairs = written(pairs.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("lead.id").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.label").alias("lv")).distinct(), "met")
+            marks = lambda end, x, p: keys.select(F.col("id").alias(end), bits.alias(x), F.col("posts").alias(p))
+            alike = pairs.join(marks("u", "x", "pu"), "u").join(marks("v", "y", "pv"), "v")
+            equal = F.size(F.filter(F.arrays_zip("x", "y"), lambda k: k["x"] == k["y"]))
+            # of equal least shingles follows how many posted shingles both have
+            alike = alike.select(*pairs.columns, (equal * (F.col("pu") + F.col("pv")) / (equal + KEYS)).alias("c")).where(F.col("c") >= LIKELY * support(F.col("nu"), F.col("nv"), self.percent))
+            tried, found = self.best(alike)
+            discard(pairs)
+            if found < WORTH * tried:
+                break
+        discard(keys)
+
+    def best(self, pairs: DataFrame, among: int = 1, screen: bool = False) -> tuple[int, int]:
+        """Verifies the pair of each two components whose c is highest (in each of `among` parts), and takes in links: (pairs, links)."""
+        columns = ["u", "nu", "lu", "v", "nv", "lv"]
+        ends = F.least("lu", "lv").alias("x"), F.greatest("lu", "lv").alias("y"), F.pmod(F.xxhash64("u", "v"), F.lit(among)).alias("z")
+        top = written(pairs.groupBy(*ends).agg(F.max(F.struct("c", *columns)).alias("p")).select("p.*").select(*columns), "best-pairs")
+        tried, found = top.count(), 0
+        if tried:
+            links = self.linked(top, screen)
             found = links.count()
             if found:
                 self.merge(links)
-            if found < WORTH * tried:
-                break
+            discard(links)
+        discard(top)
+        return tried, found
 
     def rest(self, shared: DataFrame) -> None:
         """Links between all other nodes of different components that share a list."""
@@ -337,11 +371,24 @@ class Join:
         once = F.col("main") | (F.col("a") < F.col("b"))
         met = a.join(b, "w").where(once & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"), self.percent) & fits)
         turned = F.col("a") > F.col("b")
-        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("la", "lb", "lu"), ("b", "a", "v"), ("nb", "na", "nv"), ("lb", "la", "lv"))]
-        pairs = met.select(*ends).groupBy("u", "nu", "lu", "v", "nv", "lv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent)).drop("c")
+        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("b", "a", "v"), ("nb", "na", "nv"))]
+        pairs = met.select(*ends).groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent))
         pairs = written(pairs, "pairs")
+        discard(marked, open_)
+
+        def between() -> DataFrame:
+            """The pairs whose ends are in different components by now."""
+            ends = self.labelled(pairs.withColumnRenamed("u", "id")).withColumnsRenamed({"id": "u", "label": "lu", "v": "id"})
+            return self.labelled(ends).withColumnsRenamed({"id": "v", "label": "lv"}).where("lu <> lv")
+
         if not pairs.isEmpty():
-            self.merge(self.linked(pairs, True))
+            for among in SAMPLES:
+                self.best(between(), among, True)
+            left = written(between().select("u", "nu", "lu", "v", "nv", "lv"), "left-pairs")
+            links = self.linked(left, True)
+            self.merge(links)
+            discard(left, links)
+        discard(pairs)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
