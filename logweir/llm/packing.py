@@ -1,9 +1,13 @@
 """Best-fit packing by the configuration linear program over the histogram of piece lengths.
 
 Texts become token ids and end with an end id; only documents longer than a sequence are cut. The histogram has at most `capacity`
-entries whatever the corpus, so the program is solved on the driver: multiplicative weights hold a price per length, a knapsack dynamic
-program finds the configuration (lengths that share a sequence) worth most, and a share of what its lengths allow is used. Its fractional copies are rounded down and what remains is placed best-fit by decreasing length, in runs of equal lengths. Each
-piece then needs only its rank among the pieces of its length to know its sequence and offset; ranks come from counts per bucket.
+entries whatever the corpus, so the program is solved on the driver: multiplicative weights hold a price per length, which falls with
+the share of that length that is covered; a knapsack dynamic program finds the configurations (lengths that share a sequence) worth
+most, and each is used until one of its lengths runs out. Prices also give a dual bound: no packing needs fewer sequences. Rounds go on
+until every length is covered or no configuration without waste is left; if primal and dual are further apart than `GAP`, prices are
+renewed more often. Rounding down leaves less than one copy per configuration, and there are no more configurations than lengths; that
+remnant is placed best-fit by decreasing length, in runs of equal lengths. Each piece then needs only its rank among the pieces of its
+length to know its sequence and offset; ranks come from counts per bucket.
 
 Defined cases: null and empty texts are a piece with the end id alone; rows that share an id are documents of their own; an empty table
 gives an empty table; further columns are ignored. Words are cut at ASCII white space, which the tokenizer drops as well, so that a
@@ -35,10 +39,11 @@ CACHED_WORDS, CACHED_PIECES = 100_000, 700_000
 ENCODED = 2_000
 #: Rows ranked by one task at most, on average.
 BUCKET_ROWS = 50_000
-#: Pricing rounds of the linear program.
-ROUNDS = 250
-#: How much prices fall as a length is packed, the power of the length in its price, and the share of a configuration used at once.
-STEP, SKEW, SHARE = 0.3, 1.3, 0.3
+#: How much a price falls as its length is covered, the power of the length in its price; lengths per configuration used before prices are renewed; primal over dual that is
+#: good enough.
+STEP, SKEW, USED, GAP = 0.5, 1.6, (256, 1024), 0.002
+#: Tokens of 2048 that a configuration may waste, tried in turn when none without waste is left.
+WASTE = (0, 1, 2, 4, 8)
 
 #: A configuration: (length, copies of it in a sequence), long to short.
 Config = tuple[tuple[int, int], ...]
@@ -128,42 +133,68 @@ def best_values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple
     return value, item
 
 
-def configuration(item: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> copies of the priced configuration; a length that the histogram hasn't often enough is passed over."""
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0 and item[c] != -1:
-        k = int(item[c])
-        if k == -2 or left[k] < out.get(k, 0) + 1:
-            c -= 1
+def configuration(first: int, item: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """Index -> copies of the priced configuration around one length; a length that has run out is passed over."""
+    out, room = {first: 1}, capacity - int(lengths[first])
+    while room > 0 and item[room] != -1:
+        k = int(item[room])
+        if k == -2 or left[k] <= 0:
+            room -= 1
             continue
         out[k] = out.get(k, 0) + 1
-        c -= int(lengths[k])
+        room -= int(lengths[k])
     return out
 
 
-def linear_program(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """Copies of each configuration, fractional."""
+def covered(counts: dict[int, int], capacity: int, used: int) -> tuple[dict[Config, float], float]:
+    """(fractional copies of each configuration, dual bound) with prices renewed after `used` configurations at most."""
     out: dict[Config, float] = defaultdict(float)
     lengths = np.array(sorted(counts), np.int64)
     total = np.array([counts[n] for n in lengths.tolist()], float)
-    left = total.copy()
-    for _ in range(rounds):
-        live = np.flatnonzero(left >= 1)
+    left, bound, waste = total.copy(), float((lengths * total).sum()) / capacity, 0
+    while waste < len(WASTE):
+        live = np.flatnonzero(left > 0)
         if not len(live):
             break
-        # multiplicative weights: each packed share of a length divides its price by the same factor
-        prices = (lengths[live] / capacity) ** SKEW * np.exp(STEP * left[live] / total[live])
-        _, item = best_values(prices, lengths[live], capacity)
-        used = configuration(item, lengths[live], left[live], capacity)
-        if sum(int(lengths[live][k]) * a for k, a in used.items()) < capacity - capacity // 256:
-            break  # no full configuration is left: best-fit places the rest
-        most = min(left[live[k]] / a for k, a in used.items())
-        copies = max(SHARE * most, min(1.0, most))
-        for k, a in used.items():
-            left[live[k]] -= copies * a
-        out[tuple(sorted(((int(lengths[live[k]]), a) for k, a in used.items()), reverse=True))] += copies
-    return out
+        own, rest = lengths[live], left[live]
+        # multiplicative weights: each covered share of a length divides its price by the same factor
+        prices = (own / capacity) ** SKEW * np.exp(STEP * rest / total[live])
+        value, item = best_values(prices, own, capacity)
+        # prices that make no configuration worth more than 1 bound any packing from below
+        bound = max(bound, float((total[live] * prices).sum()) / value[capacity])
+        worth, taken = prices + value[capacity - own], 0
+        for first in np.argsort(-(worth + 1e-9 * own), kind="stable").tolist():
+            if taken == used:
+                break
+            if rest[first] <= 0:
+                continue
+            config = configuration(first, item, own, rest, capacity)
+            if capacity - sum(int(own[k]) * a for k, a in config.items()) > WASTE[waste] * capacity // 2048:
+                continue
+            copies = min(rest[k] / a for k, a in config.items())
+            for k, a in config.items():
+                rest[k] = rest[k] - copies * a if rest[k] - copies * a > 1e-9 * total[live[k]] else 0.0
+            out[tuple(sorted(((int(own[k]), a) for k, a in config.items()), reverse=True))] += copies
+            taken += 1
+        left[live] = rest
+        waste += not taken
+    return out, bound
+
+
+def linear_program(counts: dict[int, int], capacity: int) -> tuple[dict[Config, float], float]:
+    """(fractional copies of each configuration, dual bound); what they don't cover is less than the stated gap, or full of waste."""
+    best: tuple[float, dict[Config, float], float] | None = None
+    for used in USED:
+        out, bound = covered(counts, capacity, max(1, len(counts) // used))
+        over = sum(n * c for n, c in counts.items()) - sum(x * n * a for config, x in out.items() for n, a in config)
+        primal = sum(out.values()) + max(0.0, over) / capacity
+        bound = max(bound, best[2] if best else 0.0)
+        if best is None or primal < best[0]:
+            best = (primal, out, bound)
+        best = (*best[:2], bound)
+        if best[0] <= (1 + GAP) * bound + 1:
+            break
+    return best[1:] if best else ({}, 0.0)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -205,7 +236,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config,
     """(configuration, sequences) that hold exactly the counted pieces."""
     rest = {n: c for n, c in counts.items() if c > 0 and n < capacity}
     out: list[tuple[Config, int]] = [(((capacity, 1),), counts[capacity])] if counts.get(capacity) else []
-    for config, copies in linear_program(rest, capacity).items():
+    for config, copies in sorted(linear_program(rest, capacity)[0].items(), key=lambda x: (-x[1], x[0])):
         whole = int(copies + 1e-9)
         whole = min([whole, *(rest[n] // a for n, a in config)])
         if whole:
