@@ -2,7 +2,9 @@
 
 For each language a suffix automaton of labelled text is built; a text is parsed greedily into the longest phrases that occur in that
 text. The language that needs the fewest phrases, each weighing log2 of its training length, wins. The automaton is laid out as a table
-(state, byte) -> next state, with the phrase ends as flags, so numpy steps many blocks of text at once: phrases end at block borders.
+(state, byte) -> next state, with the phrase ends as flags, so numpy steps many blocks of text at once. Blocks begin in the state that
+the block before ends in: they are parsed from the root first, and again from the right state until all of them agree, which takes few
+passes as parses fall into step soon. So phrases are the longest matches of the whole text, whatever its length.
 
 Training reads labelled rows only, a sample bounded by `train_bytes` of normalised text per language and `table_bytes` for all tables
 (documented limits of the fit; every text is predicted whole). Distinct texts are sampled by their hash, so copies neither crowd a
@@ -28,7 +30,8 @@ TRAIN_BYTES = 32_768
 TABLE_BYTES = 200_000_000
 #: Distinct labelled texts gathered per language, before the limit in bytes.
 TRAIN_ROWS = 400
-BLOCK = 256
+#: Bytes of a block, and of a piece of a long text.
+BLOCK, PIECE_BYTES = 256, 4 << 20
 MARK = 1 << 30
 UNDETERMINED = "und"
 
@@ -83,19 +86,44 @@ class Parser:
 
     def table(self, text: bytes) -> np.ndarray:
         edges = suffix_automaton(text)
-        root = np.zeros(self.width, np.int32)
+        alone = len(edges)  # after a byte that the language's text doesn't hold, which is a phrase of its own
+        root = np.full(self.width, alone, np.int32)
         for c, to in edges[0].items():
             root[self.code[c]] = to
-        out = np.empty((len(edges), self.width), np.int32)
+        out = np.empty((alone + 1, self.width), np.int32)
         out[:] = root | MARK  # a phrase ends; the next begins with this byte
-        for s, e in enumerate(edges):
+        out[0] = root
+        for s, e in enumerate(edges[1:], 1):
             for c, to in e.items():
                 out[s, self.code[c]] = to
-        out[:, self.pad] = np.arange(len(edges))
+        out[:, self.pad] = np.arange(alone + 1)
         return out.ravel()
 
-    def phrases(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Phrases per text and language."""
+    def steps(self, table: np.ndarray, codes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end states, phrases ended) of blocks (columns of codes) that begin in given states."""
+        state, ends = state.copy(), np.zeros(len(state), np.int32)
+        for line in codes:
+            state *= self.width
+            state += line
+            state = table[state]
+            ends += state >> 30
+            state &= MARK - 1
+        return state, ends
+
+    def phrases(self, raw: np.ndarray, off: np.ndarray, piece: int = PIECE_BYTES) -> np.ndarray:
+        """Phrases per text and language. A single long text is read in pieces."""
+        n = np.diff(off)
+        if len(n) == 1 and n[0] > piece:
+            ends, states = np.zeros((1, len(self.names))), None
+            for at in range(0, len(raw), piece):
+                part = raw[at : at + piece]
+                more, states = self.parsed(part, np.array([0, len(part)]), states)
+                ends += more
+            return ends + 1
+        return self.parsed(raw, off, None)[0] + (n > 0)[:, None]
+
+    def parsed(self, raw: np.ndarray, off: np.ndarray, begin: list[int] | None) -> tuple[np.ndarray, list[int]]:
+        """(phrases that end within each text, end state of the last text), per language; texts begin in given states (None: roots)."""
         n = np.diff(off)
         lanes = -(-n // BLOCK)
         first = np.concatenate([[0], np.cumsum(lanes)])
@@ -103,19 +131,24 @@ class Parser:
         place = np.arange(len(raw)) - np.repeat(off[:-1], n) + np.repeat(first[:-1] * BLOCK, n)
         codes = np.full(int(first[-1]) * BLOCK, self.pad, np.uint8)
         codes[place] = self.code[raw]
-        steps = np.ascontiguousarray(codes.reshape(-1, BLOCK).T).astype(np.int32)
-        out = np.zeros((len(n), len(self.names)))
+        codes = np.ascontiguousarray(codes.reshape(-1, BLOCK).T).astype(np.int32)
+        heads = np.zeros(codes.shape[1], bool)
+        heads[first[:-1][lanes > 0]] = True
+        out, last = np.zeros((len(n), len(self.names))), []
         for k, table in enumerate(self.tables):
-            state = np.zeros(steps.shape[1], np.int32)
-            ends = np.ones(steps.shape[1], np.int32)
-            for t in range(BLOCK):
-                state *= self.width
-                state += steps[t]
-                state = table[state]
-                ends += state >> 30
-                state &= MARK - 1
+            start = np.zeros(codes.shape[1], np.int32)
+            start[heads] = begin[k] if begin else 0
+            state, ends = self.steps(table, codes, start)
+            while True:
+                due = np.where(heads, start, np.concatenate([[0], state[:-1]]).astype(np.int32))
+                wrong = np.flatnonzero(due != start)
+                if not len(wrong):
+                    break
+                start[wrong] = due[wrong]
+                state[wrong], ends[wrong] = self.steps(table, np.ascontiguousarray(codes[:, wrong]), due[wrong])
             out[:, k] = np.bincount(row, ends, minlength=len(n))
-        return out
+            last.append(int(state[-1]) if len(state) else 0)
+        return out, last
 
 
 def sample(df: DataFrame, text: str, lang: str, rows: int, most: int) -> dict[str, bytes]:
