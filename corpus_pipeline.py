@@ -1,8 +1,9 @@
 """From documents to packed sequences: language ID, exact and near deduplication, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents. Rows that share
-a doc_id count as one document where near duplicates are dropped; rows with a null doc_id are never dropped there. Further columns are
-left out. Empty tables pass through every stage.
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents. Near duplicates
+are decided row by row: of linked rows the one with the smallest doc_id stays (nulls count as largest; of equal ids the one whose text
+has the smaller hash), so rows that share an id don't answer for each other. Further columns are left out. Empty tables pass through
+every stage.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest doc_id stays."""
+    """Of linked rows the one with the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
-    found = ngram_join.near_duplicates(docs)
-    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(*COLUMNS)
+    row = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = ngram_join.near_duplicates(docs.select(row.alias("row"), "text"), key="row")
+    gone = written(found.where(F.col("row") != F.col("component_id")).select("row.id", "row.h").distinct(), "near-copies")
+    gone = sized_broadcast(gone, 64)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64("text") == gone["h"]), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ under some hash form a group, and its members meet the group's leader: of the pa
 least shingles agree most, so a group of near copies of any size costs a pair per member and round, and each round leaves a share of
 the one before. Rounds only save work: afterwards every posting list that still holds several components is enumerated, the members of
 its most frequent component against the others, under bounds that lose no link (lengths, places, least number of shared prefix
-shingles). Of these pairs again the best of each two components is verified first, then all that are still between components. The
-components are exact.
+shingles), and verified: first a sample of that component's members, then, where components are still apart, all. The components are
+exact.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; fewer words than `words` are one shingle; repeated
 rows share a component; an empty table gives an empty table; null ids count as larger than all others; further columns are ignored.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, discard, mix64, sized_broadcast, slices, small_batches, text_bytes, word_spans, written
 
 WORDS, PERCENT = 5, 75
-#: Bytes of text for each bucket that counts shingles, and the bounds of the buckets' number as powers of two.
-BUCKET_BYTES, BUCKET_BITS = 8192, (12, 24)
+#: Buckets that count shingles, as a power of two: more only make the order sharper.
+BUCKET_BITS = 16
 CLASS_SHIFT = 60
 FRAGMENTS = 8
 SALTS = 64
@@ -42,8 +42,8 @@ SALTS = 64
 KEYS, ROUNDS = 32, ((0, 1), (2, 3, 4), (5, 6, 7, 8))
 #: Share of the prefix shingles that links must have in common which a node and its leader must have by their least shingles' estimate.
 LIKELY = 0.7
-#: Of the pairs between two components so many are verified before all others.
-SAMPLES = (1, 16)
+#: One of so many members of each list's most frequent component meets the other members first; then all do.
+SHARES = (8, 1)
 #: A round that links fewer of its pairs is the last one before all pairs are enumerated.
 WORTH = 0.05
 BASE = 0x5851F42D4C957F2D
@@ -131,8 +131,7 @@ def classes(counts: np.ndarray, mean: float) -> np.ndarray:
 
 def bucket_classes(docs: DataFrame, words: int) -> np.ndarray:
     """Class of each bucket, from the count of all shingles of all documents."""
-    size = docs.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    bits = min(max(BUCKET_BITS[0], int(size // BUCKET_BYTES).bit_length()), BUCKET_BITS[1])
+    bits = BUCKET_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -342,14 +341,14 @@ class Join:
                 break
         discard(keys)
 
-    def best(self, pairs: DataFrame, among: int = 1, screen: bool = False) -> tuple[int, int]:
-        """Verifies the pair of each two components whose c is highest (in each of `among` parts), and takes in links: (pairs, links)."""
+    def best(self, pairs: DataFrame) -> tuple[int, int]:
+        """Verifies the pair of each two components whose c is highest, and takes in its link: (pairs, links)."""
         columns = ["u", "nu", "lu", "v", "nv", "lv"]
-        ends = F.least("lu", "lv").alias("x"), F.greatest("lu", "lv").alias("y"), F.pmod(F.xxhash64("u", "v"), F.lit(among)).alias("z")
+        ends = F.least("lu", "lv").alias("x"), F.greatest("lu", "lv").alias("y")
         top = written(pairs.groupBy(*ends).agg(F.max(F.struct("c", *columns)).alias("p")).select("p.*").select(*columns), "best-pairs")
         tried, found = top.count(), 0
         if tried:
-            links = self.linked(top, screen)
+            links = self.linked(top, False)
             found = links.count()
             if found:
                 self.merge(links)
@@ -358,37 +357,31 @@ class Join:
         return tried, found
 
     def rest(self, shared: DataFrame) -> None:
-        """Links between all other nodes of different components that share a list."""
-        marked = written(self.labelled(shared), "marked")
-        by_label = marked.groupBy("w", "label").agg(F.count("*").alias("c"))
-        open_ = by_label.groupBy("w").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("w", "most")
-        open_ = written(marked.join(open_, "w").select("w", "id", "n", "at", "label", (F.col("label") == F.col("most")).alias("main")), "open-lists")
-        a = open_.where("not main").select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
-        b = open_.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
-        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        # at a pair's c-th shared shingle, o - c + 1 more must fit behind it; what is shared before is at most the smaller place
-        fits = room + F.least("pa", "pb") >= required(F.col("na"), F.col("nb"), self.percent)
-        once = F.col("main") | (F.col("a") < F.col("b"))
-        met = a.join(b, "w").where(once & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"), self.percent) & fits)
-        turned = F.col("a") > F.col("b")
-        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("b", "a", "v"), ("nb", "na", "nv"))]
-        pairs = met.select(*ends).groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent))
-        pairs = written(pairs, "pairs")
-        discard(marked, open_)
-
-        def between() -> DataFrame:
-            """The pairs whose ends are in different components by now."""
-            ends = self.labelled(pairs.withColumnRenamed("u", "id")).withColumnsRenamed({"id": "u", "label": "lu", "v": "id"})
-            return self.labelled(ends).withColumnsRenamed({"id": "v", "label": "lv"}).where("lu <> lv")
-
-        if not pairs.isEmpty():
-            for among in SAMPLES:
-                self.best(between(), among, True)
-            left = written(between().select("u", "nu", "lu", "v", "nv", "lv"), "left-pairs")
-            links = self.linked(left, True)
-            self.merge(links)
-            discard(left, links)
-        discard(pairs)
+        """Links between all other nodes of different components that share a list; some members of large components go first."""
+        for share in SHARES:
+            marked = written(self.labelled(shared), "marked")
+            by_label = marked.groupBy("w", "label").agg(F.count("*").alias("c"))
+            open_ = by_label.groupBy("w").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("w", "most")
+            open_ = written(marked.join(open_, "w").select("w", "id", "n", "at", "label", (F.col("label") == F.col("most")).alias("main")), "open-lists")
+            a = open_.where("not main").select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+            b = open_.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
+            if share > 1:
+                b = b.where(F.col("main") & (F.pmod(F.xxhash64("b"), F.lit(share)) == 0))
+            room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+            # at a pair's c-th shared shingle, o - c + 1 more must fit behind it; what is shared before is at most the smaller place
+            fits = room + F.least("pa", "pb") >= required(F.col("na"), F.col("nb"), self.percent)
+            once = F.col("main") | (F.col("a") < F.col("b"))
+            met = a.join(b, "w").where(once & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"), self.percent) & fits)
+            turned = F.col("a") > F.col("b")
+            ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("la", "lb", "lu"), ("b", "a", "v"), ("nb", "na", "nv"), ("lb", "la", "lv"))]
+            pairs = met.select(*ends).groupBy("u", "nu", "lu", "v", "nv", "lv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent)).drop("c")
+            pairs = written(pairs, "pairs")
+            discard(marked, open_)
+            if not pairs.isEmpty():
+                links = self.linked(pairs, True)
+                self.merge(links)
+                discard(links)
+            discard(pairs)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:

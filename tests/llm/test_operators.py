@@ -170,6 +170,14 @@ def test_mixing_meets_its_targets(docs, texts, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_places_are_permutations():
+    for n in (1, 2, 3, 5, 64, 1000):
+        for key in (0, -5, 1 << 62):
+            got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))
+            assert sorted(got.tolist()) == list(range(n))
+    assert (mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 1)) != mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 2))).sum() > 900
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 100, 0, 100], [3, 1, 2, 3], 210, 2) == [20, 47.5, 0.0, 142.5]
 
@@ -276,6 +284,29 @@ def test_phrases_are_longest_matches():
     assert parser.phrases(raw, np.array([0, 7, 7])).tolist() == [[3, 7], [0, 0]]
 
 
+def test_phrases_go_over_blocks_and_pieces():
+    rng = np.random.default_rng(5)
+    some = lambda letters, n: rng.choice(np.frombuffer(letters, np.uint8), n).tobytes()
+    training = {"x": some(b"abc ", 300), "y": some(b"abd ", 300)}
+    parser = language_id.Parser(training)
+    texts = [some(b"abcdz ", n) for n in (0, 1, 255, 256, 257, 3000, 5)]
+
+    def naive(text, known):
+        at = count = 0
+        while at < len(text):
+            n = 1
+            while at + n < len(text) and text[at : at + n + 1] in known:
+                n += 1
+            at, count = at + n, count + 1
+        return count
+
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    expected = [[naive(t, training[name]) for name in parser.names] for t in texts]
+    assert parser.phrases(np.frombuffer(b"".join(texts), np.uint8), off).tolist() == expected
+    long = np.frombuffer(texts[5], np.uint8)
+    assert parser.phrases(long, np.array([0, len(long)]), piece=700).tolist() == [expected[5]]
+
+
 def test_quality_learns_and_handles_odd_texts(spark, none):
     rng = np.random.default_rng(4)
     good = lambda i: " ".join(rng.choice(LETTERS, 40)) + "."
