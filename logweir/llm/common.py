@@ -60,6 +60,24 @@ def sized_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None, limi
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+_kept: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that a Python worker keeps from task to task, for one operator."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def take_over(own: dict | None = None) -> None:
+    """Empties what other operators keep in this worker, whose memory all stages share."""
+    held = [d for d in _kept if d is not own and d]
+    for d in held:
+        d.clear()
+    if held:
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. offsets has a place more than rows."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_bytes
+from .common import slices, small_batches, take_over, text_bytes, worker_cache
 
 TRAIN_BYTES = 32_768
 TABLE_BYTES = 200_000_000
@@ -169,7 +169,7 @@ def sample(df: DataFrame, text: str, lang: str, rows: int, most: int) -> dict[st
     return {name: (b" " + b" ".join(parts) + b" ")[:most] for name, parts in out.items()}
 
 
-_parsers: dict[int, Parser] = {}
+_parsers: dict[int, Parser] = worker_cache()
 
 
 def identify(df: DataFrame, train: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -184,6 +184,7 @@ def identify(df: DataFrame, train: DataFrame | None = None, key: str = "doc_id",
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = hash(tuple(sorted(shared.value.items())))
+        take_over(_parsers)
         if mark not in _parsers:
             _parsers.clear()
             _parsers[mark] = Parser(shared.value)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, mix64, sized_broadcast, slices, small_batches, text_bytes, word_spans, written
+from .common import SLICE_BYTES, discard, mix64, sized_broadcast, slices, small_batches, take_over, text_bytes, word_spans, written
 
 WORDS, PERCENT = 5, 75
 #: Buckets that count shingles, as a power of two: more only make the order sharper.
@@ -134,6 +134,7 @@ def bucket_classes(docs: DataFrame, words: int) -> np.ndarray:
     bits = BUCKET_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over()
         total = np.zeros(1 << bits, np.int64)
         for b in batches:
             raw, off = text_bytes(b.column(0))

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, take_over, worker_cache, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words of odd texts, and pieces of the others, that a worker keeps between batches.
-CACHED_WORDS, CACHED_PIECES = 100_000, 700_000
+CACHED_WORDS, CACHED_PIECES = 60_000, 350_000
 #: Words that the tokenizer gets at once; its results take about a kilobyte each.
 ENCODED = 2_000
 #: Rows ranked by one task at most, on average.
@@ -108,11 +108,12 @@ class WordTokens:
                 self.pieces = {}
 
 
-_tokens: dict[str, WordTokens] = {}
+_tokens: dict[str, WordTokens] = worker_cache()
 
 
 def tokens_of(path: str) -> WordTokens:
     """The worker's tokenizer, kept from task to task."""
+    take_over(_tokens)
     if path not in _tokens:
         _tokens.clear()
         _tokens[path] = WordTokens(path)
