@@ -46,24 +46,24 @@ def process(args: argparse.Namespace, spark: SparkSession) -> int:
         return 4
     key = vault.key_of(config["passphrase"], b"logweir") if config.get("passphrase") else None
     into = lake.Lake(spark, f"{output}/lake")
-    run = pipeline.process(rows, known, int(began * 1000), key=key)
-    pipeline.commit(run, into, int(began * 1000))
+    run = pipeline.process(rows, known, int(began * 1000), key=key, **pipeline.resume(into))
+    events = pipeline.commit(run, into, int(began * 1000))
     from .client import Client
 
     client = Client(spark, into.path, key)
-    totals = features.counters(run.events).first().asDict()
-    good = run.events.where(valid(F.col("event"))).count()
-    lake.ndjson(run.events, f"{output}/ndjson")
+    totals = features.counters(events).first().asDict()
+    good = events.where(valid(F.col("event"))).count()
+    lake.ndjson(events, f"{output}/ndjson")
     summary = {"source": source, "format": shape_of([r["value"] for r in spark.read.text(source).limit(20).collect()]), **totals, "valid": good, "rejected": totals["records"] - good}
     if not args.no_integrity:
         told = client.verify().first()
-        audit = vault.audit(client.logs().select(F.col("raw_locator").alias("locator"), F.sha2(F.col("raw_payload"), 256).alias("raw_sha256")), spark.read.parquet(f"{into.path}/vault"), key).first()
-        summary |= {"chain_ok": told["ok"], "broken_sequence": told["broken_sequence"], "records_read_back": audit["records"]}
+        audit = vault.audit(events.select("locator", "raw_sha256"), spark.read.parquet(f"{into.path}/vault"), key).first()
+        summary |= {"chain_ok": told["ok"], "broken_sequence": told["broken_sequence"], "records_read_back": audit["records"], "records_matching": audit["matching"]}
     summary |= {"seconds": round(time.time() - began, 3), "events_per_second": round(totals["records"] / max(1e-9, time.time() - began), 1)}
     with open(f"{output}/metadata.json", "w", encoding="utf-8") as f:
         json.dump(summary, f, indent=2)
     print(json.dumps(summary) if args.json else "\n".join(f"{k}: {v}" for k, v in summary.items()))
-    return 5 if summary.get("chain_ok") is False else 0
+    return 5 if summary.get("chain_ok") is False or summary.get("records_matching") != summary.get("records_read_back") else 0
 
 
 def main(argv: list[str] | None = None) -> int:

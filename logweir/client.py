@@ -28,7 +28,7 @@ class Client:
         self.spark, self.lake, self.key = spark, lake.Lake(spark, path), key
 
     def logs(self) -> DataFrame:
-        return self.lake.appended("parsed_logs")
+        return self.lake.latest("parsed_logs")
 
     def query(self, where: str | None = None, select: str = "*", limit: int | None = None) -> DataFrame:
         """Rows in order of sequence; conditions and columns reach the Parquet scan. limit 0 or None: all."""
@@ -65,7 +65,7 @@ class Client:
         """event_id and lineage_json; events without a record get one of the stages that their row shows."""
         rows = self.logs() if event_ids is None else self.logs().join(event_ids, "event_id", "left_semi")
         short = F.to_json(F.struct("event_id", F.struct(F.col("raw_locator").alias("locator")).alias("stage_1_raw"), F.struct("class_uid").alias("stage_5_normalization"), F.struct("fingerprint", "prev_hash").alias("stage_6_attestation")))
-        return rows.join(self.lake.appended("lineage_log"), "event_id", "left").select("event_id", F.coalesce("lineage_json", short).alias("lineage_json"))
+        return rows.join(self.lake.latest("lineage_log"), "event_id", "left").select("event_id", F.coalesce("lineage_json", short).alias("lineage_json"))
 
     def verify(self, start: int | None = None, end: int | None = None) -> DataFrame:
         return chain.verify(self.logs().withColumnRenamed("ocsf_json", "event_json"), start, end)

@@ -8,13 +8,14 @@ from collections.abc import Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.canonical import digest, without
 from ..sources.tables import written
 
 GENESIS = "0" * 64
 MEMBER, SEAL = "prev_hash", "fingerprint"
+#: Sequence numbers that one task verifies.
+RANGE = 1 << 16
 
 
 def sequenced(df: DataFrame, *order: str, start: int = 1, parts: int = 64) -> DataFrame:
@@ -43,25 +44,29 @@ def parts(event: Column, members: list[str], more: Mapping[str, Column]) -> list
 def append(df: DataFrame, chain: str = "chain_id", heads: Mapping[str, str] | None = None) -> DataFrame:
     """Adds prev_hash, fingerprint and event_json (canonical) to rows with chain, sequence, event and event_id.
 
-    Every chain is one task's ordered pass over prepared text; chains run side by side, so a chain per source scales out.
+    Every chain is one task's ordered pass over the text to be hashed alone; chains run side by side, so a chain per source scales out.
     """
     first, middle, last = parts(F.col("event"), df.schema["event"].dataType.names, {"event_id": F.col("event_id"), "sequence": F.col("sequence")})
-    ready = df.withColumns({"_a": first, "_b": middle, "_c": last}).repartition(F.col(chain)).sortWithinPartitions(chain, "sequence")
+    ready = df.withColumns({"_a": first, "_b": middle, "_c": last})
+    # the ordered pass gets the hashed text only; everything else waits for its result
+    slim = ready.select(F.col(chain).alias("_chain"), F.col("sequence").alias("_sequence"), F.concat(F.lit("{"), "_a", F.lit(","), "_b", F.lit(f',"{MEMBER}":"')).alias("head"), F.concat(F.lit('",'), "_c", F.lit("}")).alias("tail"))
+    slim = slim.repartition("_chain").sortWithinPartitions("_chain", "_sequence")
     known = dict(heads or {})
-    at = [ready.columns.index(c) for c in (chain, "_a", "_b", "_c")]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends: dict[str, str] = {}
         for b in batches:
             prev, own = [], []
-            for c, x, y, z in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+            for c, head, tail in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p = ends.get(c) or known.get(c, GENESIS)
                 prev.append(p)
-                ends[c] = hashlib.sha256(f'{{{x},{y},"{MEMBER}":"{p}",{z}}}'.encode()).hexdigest()
+                ends[c] = hashlib.sha256((head + p + tail).encode()).hexdigest()
                 own.append(ends[c])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*b.schema.names, MEMBER, SEAL])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prev, pa.string()), pa.array(own, pa.string())], names=["_chain", "_sequence", MEMBER, SEAL])
 
-    out = ready.mapInArrow(linked, T.StructType([*ready.schema.fields, T.StructField(MEMBER, T.StringType()), T.StructField(SEAL, T.StringType())]))
+    kinds = dict(slim.dtypes)
+    links = written(slim.mapInArrow(linked, f"_chain {kinds['_chain']}, _sequence {kinds['_sequence']}, {MEMBER} string, {SEAL} string"), "links")
+    out = ready.join(links, F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("sequence") == F.col("_sequence"))).drop("_chain", "_sequence")
     text = F.concat(F.lit("{"), F.col("_a"), F.lit(f',"{SEAL}":"'), F.col(SEAL), F.lit('",'), F.col("_b"), F.lit(f',"{MEMBER}":"'), F.col(MEMBER), F.lit('",'), F.col("_c"), F.lit("}"))
     return out.withColumn("event_json", text).drop("_a", "_b", "_c")
 
@@ -72,17 +77,25 @@ def recomputed(text: Column, fingerprint: Column, prev: Column) -> Column:
     return digest(F.regexp_replace(body, F.lit(f'(?<=[,{{])"{MEMBER}":"[0-9a-f]*"'), F.concat(F.lit(f'"{MEMBER}":"'), prev, F.lit('"'))))
 
 
-def checked(df: DataFrame, chain: str | None = None) -> DataFrame:
+def checked(df: DataFrame, chain: str | None = None, size: int = RANGE) -> DataFrame:
     """Adds broken to rows with sequence, prev_hash, fingerprint, event_json: no fingerprint, a wrong link, or another content.
 
-    The first row of a range has no predecessor to compare with, so ranges can be verified apart.
+    Rows are checked in ranges of sequence numbers, each apart; a range's first row is compared with the last row of the range before.
+    The first row of all has no predecessor to compare with, so parts of a chain can be verified apart.
     """
-    by = Window.partitionBy(*([chain] if chain else [F.lit(0)])).orderBy("sequence")
-    before = F.lag(F.coalesce("fingerprint", F.lit(""))).over(by)
+    keys = [chain] if chain else []
     # the row's own hash needs no order: it is computed before the window's exchange, which then carries keys only
-    slim = df.select(*([chain] if chain else []), "sequence", MEMBER, "fingerprint", (recomputed(F.col("event_json"), F.col("fingerprint"), F.col(MEMBER)) == F.col("fingerprint")).alias("_same"))
+    slim = df.select(*keys, "sequence", MEMBER, "fingerprint", (recomputed(F.col("event_json"), F.col("fingerprint"), F.col(MEMBER)) == F.col("fingerprint")).alias("_same"))
+    slim = slim.withColumn("_range", F.floor((F.col("sequence") - 1) / size))
+    sealed = F.coalesce("fingerprint", F.lit(""))
+    ends = slim.groupBy(*keys, "_range").agg(F.max_by(sealed, "sequence").alias("_end"))
+    order = Window.partitionBy(*keys).orderBy("_range") if keys else Window.orderBy("_range")  # a row per range
+    ends = ends.select(*keys, "_range", F.lag("_end").over(order).alias("_end"))
+    within = F.lag(sealed).over(Window.partitionBy(*keys, "_range").orderBy("sequence"))
+    rows = slim.withColumn("_before", within).join(ends, [*keys, "_range"])
+    before = F.coalesce("_before", "_end")
     wrong = F.col("fingerprint").isNull() | (F.col("fingerprint") == "") | ~F.coalesce("_same", F.lit(False)) | (before.isNotNull() & ~F.col(MEMBER).eqNullSafe(before))
-    return slim.withColumn("broken", wrong)
+    return rows.withColumn("broken", wrong).drop("_range", "_before", "_end")
 
 
 def verify(df: DataFrame, start: int | None = None, end: int | None = None, chain: str | None = None) -> DataFrame:

@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import WILDCARD, specificity, template
+from .chain import sequenced
+
+
+#: Bits of the order within a stretch whose messages one task counts per template.
+STRETCH = 16
 
 
 def summary(df: DataFrame, text: str = "raw_text", order: str = "sequence") -> DataFrame:
@@ -14,16 +19,20 @@ def summary(df: DataFrame, text: str = "raw_text", order: str = "sequence") -> D
     own = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     found = df.select(template(F.col(text)).alias("template"), F.struct(F.col(order).alias("at"), own.alias("text")).alias("first"))
     found = found.groupBy("template").agg(F.count("*").alias("count"), F.min("first").alias("first"))
-    # templates are few next to messages; their first places are dense in one small sort
-    rank = F.row_number().over(Window.orderBy(F.col("first.at"), F.col("template")))
-    return found.select(rank.cast("long").alias("cluster_id"), "template", "count", specificity(F.col("template")).alias("specificity"), F.col("first.text").alias("sample"))
+    found = sequenced(found.withColumn("at", F.col("first.at")), "at", "template")  # free text has nearly a template a message
+    return found.select(F.col("sequence").alias("cluster_id"), "template", "count", specificity(F.col("template")).alias("specificity"), F.col("first.text").alias("sample"))
 
 
 def assign(df: DataFrame, text: str = "raw_text", order: str = "sequence") -> DataFrame:
     """Adds cluster_id, template, specificity, cluster_size (so far, by order) and sample to each message."""
     known = summary(df, text, order).select("cluster_id", "template", "specificity", "sample")
-    so_far = Window.partitionBy("template").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("template", template(F.col(text))).join(known, "template").withColumn("cluster_size", F.count("*").over(so_far))
+    # counts so far: within stretches of the order, and a running sum over the stretches of each template
+    rows = df.withColumn("template", template(F.col(text))).withColumn("_at", F.shiftright(F.col(order).cast("long"), STRETCH))
+    before = Window.partitionBy("template").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("template", "_at").agg(F.count("*").alias("_n")).select("template", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    so_far = Window.partitionBy("template", "_at").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = rows.withColumn("_own", F.count("*").over(so_far)).join(counts, ["template", "_at"]).withColumn("cluster_size", F.col("_first") + F.col("_own"))
+    return sized.join(known, "template").drop("_at", "_own", "_first")
 
 
 def top(df: DataFrame, limit: int = 10, text: str = "raw_text", order: str = "sequence") -> DataFrame:

@@ -41,6 +41,12 @@ class Lake:
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("r"))
         return last.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in rows.columns if c != "_batch"])
 
+    def latest(self, table: str) -> DataFrame:
+        """As read(); where no key was written twice, which narrow columns tell, filters and columns reach the scan."""
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        twice = rows.groupBy(self.KEYS[table]).count().where("count > 1")
+        return self.appended(table) if twice.isEmpty() else self.read(table)
+
     def appended(self, table: str) -> DataFrame:
         """The table as written, for tables whose keys are known to be unique: filters and columns reach the scan."""
         return self.spark.read.parquet(f"{self.path}/{table}").drop("_batch")

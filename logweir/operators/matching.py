@@ -113,7 +113,7 @@ def infer(df: DataFrame, id_column: str = "event_id", text: str = "raw_text") ->
     pairs = df.select(id_column, F.explode(candidates(F.col(text))).alias("key", "value")).withColumn("samples", F.array(F.coalesce("value", F.lit(""))))
     known = match(pairs.select("key", "samples", F.lit(None).cast("string").alias("vendor")).distinct())
     back = pairs.join(known, ["key", "samples"])
-    taken = F.when(F.col("decision") == "AUTO_MAP", F.struct("key", "target_field"))
+    taken = F.when(F.col("decision") != "HUMAN_REVIEW", F.struct("key", "target_field"))  # fallbacks name a custom field
     asked = F.when(F.col("decision") == "HUMAN_REVIEW", F.struct("key", "target_field", "confidence", "inferred_type", "samples"))
     return back.groupBy(id_column).agg(F.map_from_entries(F.array_sort(F.collect_list(taken))).alias("mappings"), F.min("confidence").alias("confidence"), F.array_sort(F.collect_list(asked)).alias("review"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import salvage
 from ..operators import chain, clusters, detect, lake, matching, normalize, vault
 from ..sources.packs import BUILT_IN, Pack
 from ..sources.tables import written
@@ -39,7 +40,10 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
         mined = clusters.assign(lost.select("event_id", "sequence", "raw_text"))
         guessed = written(matching.infer(lost.select("event_id", "raw_text")), "inferred")
         review = matching.review_queue(guessed, mined, created_at=now_ms)
-        some = lost.drop("fields").join(guessed.select("event_id", "mappings", "confidence"), "event_id", "left").withColumn("fields", matching.candidates(F.col("raw_text")))
+        some = lost.drop("fields").join(guessed.select("event_id", "mappings", "confidence"), "event_id", "left").join(mined.select("event_id", "cluster_id", "template", "specificity"), "event_id", "left")
+        found = {"observables": F.to_json(salvage.observables(F.col("raw_text"))), "cluster_id": F.col("cluster_id").cast("string"), "cluster_template": F.col("template"), "specificity": F.col("specificity").cast("string")}
+        own = F.map_filter(F.coalesce(matching.candidates(F.col("raw_text")), normalize.empty_map()), lambda k, v: ~k.isin(*found))
+        some = some.withColumn("fields", F.map_concat(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), own)).drop("cluster_id", "template", "specificity")
         none = rows.where(F.col("pack") != detect.SALVAGE).withColumns({"mappings": F.lit(None).cast("map<string,string>"), "confidence": F.lit(None).cast("double")})
         rows = none.unionByName(some)
     rows = normalize.normalize(rows, packs, now_ms)
@@ -47,11 +51,29 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
     return Run(normalize.lineage(chain.append(rows, heads=heads)), table, review)
 
 
-def commit(run: Run, into: lake.Lake, batch: int = 0) -> None:
-    """Events, lineage, blocks and review entries as tables of the lake; the events are computed once."""
+def resume(into: lake.Lake) -> dict:
+    """First free sequence, head of the chain and first free segment of a lake: what process() needs to go on from it."""
+    out: dict = {"start": 1, "heads": {}, "first_segment": 0}
+    if into.exists("parsed_logs"):
+        last = into.appended("parsed_logs").agg(F.max_by(F.struct("sequence", "fingerprint"), "sequence")).first()[0]
+        if last:
+            out |= {"start": last["sequence"] + 1, "heads": {"main": last["fingerprint"]}}
+    if into.exists("vault"):
+        at = vault.latest(into.spark.read.parquet(f"{into.path}/vault"))
+        out["first_segment"] = at[0] + 1 if at else 0
+    return out
+
+
+def commit(run: Run, into: lake.Lake, batch: int = 0) -> DataFrame:
+    """Blocks, lineage, review entries and at last events as tables of the lake; returns the events, which are computed once.
+
+    Events come last: a batch counts as committed once it has events. What a batch that failed before has left in the other tables
+    belongs to no event; its segments are passed over by resume().
+    """
     events = written(run.events, "events")
-    into.write(lake.flat(events), "parsed_logs", batch)
-    into.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", batch)
     run.blocks.write.mode("append").partitionBy("seg").parquet(f"{into.path}/vault")
+    into.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", batch)
     if run.review is not None:
         into.write(run.review, "review_queue", batch)
+    into.write(lake.flat(events), "parsed_logs", batch)
+    return events

@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import client
 from ..client import aliased
 from ..functions import canonical, decoders, lookups, salvage, templates
-from ..operators import chain, clusters, detect, features, lake, matching, merkle, normalize, vault
+from ..operators import chain, clusters, detect, features, keys, lake, matching, merkle, normalize, vault
+from ..sources import lines
 from ..sources import packs as sources
-from ..sources.tables import written
+from ..sources.tables import fresh, written
+from ..streaming import ingest
 from . import pipeline, rendered
 from .rendered import DPORT, DST, FORMATS, LINE, PACK, SPORT, SRC, USER, events, records
 
@@ -185,7 +188,7 @@ def _(spark, sf_dir):
     return clusters.top(salvaged(spark, sf_dir), 3, "raw_text", "event_id").select("template", F.col("count").alias("n"))
 
 
-@query("tpl1_refine")
+@query("tpl1_refine", """SELECT 'job <*> of <*> took <*> ms at <*> port <*>' AS merged, count(*) AS n FROM events WHERE event_id % 6 = 5""")
 def _(spark, sf_dir):
     known = clusters.summary(salvaged(spark, sf_dir), "raw_text", "event_id")
     return clusters.refine(known).groupBy("merged").agg(F.sum("count").alias("n"))
@@ -341,6 +344,172 @@ def _(spark, sf_dir):
     return chained(spark, sf_dir).select("event_id", "sequence", "class_uid", "src_ip", "fingerprint")
 
 
+@query("src1_text_files", f"SELECT count(*) AS records, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, count(*) AS last_line FROM events")
+def _(spark, sf_dir):
+    at = fresh(spark, "lines")
+    events(spark, sf_dir).select("line").coalesce(1).write.text(at)
+    return lines.files(spark, at).agg(F.count("*").alias("records"), F.sum(F.octet_length("raw_bytes")).cast("long").alias("bytes"), F.max("line_no").alias("last_line"))
+
+
+@query("snk3_ndjson", f"SELECT CAST(class_uid AS BIGINT) AS class_uid, count(*) AS n FROM ({LAKE}) GROUP BY ALL")
+def _(spark, sf_dir):
+    at = fresh(spark, "ndjson")
+    lake.ndjson(pipeline.process(records(spark, sf_dir), inference=False).events, at)
+    text = spark.read.text(at)
+    return text.groupBy(F.get_json_object("value", "$.class_uid").cast("long").alias("class_uid")).agg(F.count("*").alias("n"))
+
+
+@query("snk4_parquet_days", "SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    at = fresh(spark, "days")
+    lake.parquet(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts"), at, F.col("ts"))
+    back = spark.read.parquet(at).groupBy(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")])
+    return back.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("snk1_upsert", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'second' ELSE 'first' END AS lineage_json FROM events")
+def _(spark, sf_dir):
+    into = lake.Lake(spark, fresh(spark, "upsert"))
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    into.write(ids.withColumn("lineage_json", F.lit("first")), "lineage_log", 0)
+    into.write(ids.where("event_id % 2 = 0").withColumn("lineage_json", F.lit("second")), "lineage_log", 1)
+    return into.latest("lineage_log").select("event_id", "lineage_json")
+
+
+@query("snk5_lineage", f"SELECT {PACK} AS pack, count(*) AS n, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    into = lake.Lake(spark, fresh(spark, "lake"))
+    pipeline.commit(pipeline.process(records(spark, sf_dir), inference=False), into)
+    json = lambda path: F.get_json_object("lineage_json", path)
+    return client.Client(spark, into.path).lineage().groupBy(json("$.stage_2_detection.pack").alias("pack")).agg(F.count("*").alias("n"), F.sum(json("$.stage_1_raw.byte_length").cast("long")).alias("bytes"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> client.Client:
+    """A client over a lake with the flat rows, numbered by event."""
+    into = lake.Lake(spark, fresh(spark, "asked"))
+    into.write(flat(spark, sf_dir).withColumn("sequence", F.col("event_id")), "parsed_logs")
+    return client.Client(spark, into.path)
+
+
+@query("prj1_srt2_query", f"SELECT event_id, src_ip, dst_port FROM ({LAKE}) WHERE class_uid = 4001 AND dst_port < 500 AND src_ip <> 'src_endpoint.ip' ORDER BY event_id LIMIT 25")
+def _(spark, sf_dir):
+    return asked(spark, sf_dir).query("class_uid = 4001 AND dst_endpoint.port < 500 AND src_endpoint.ip <> 'src_endpoint.ip'", "event_id, src_endpoint.ip, dst_endpoint.port", 25)
+
+
+@query("prd7_lookup", f"SELECT event_id, class_uid, activity_name FROM ({LAKE}) WHERE event_id = 7")
+def _(spark, sf_dir):
+    return asked(spark, sf_dir).query("event_id = 7", "event_id, class_uid, activity_name")
+
+
+@query("prd4_strict", "SELECT count(*) AS n, count(*) AS valid, count(*) AS strictly FROM events")
+def _(spark, sf_dir):
+    e = F.col("event")
+    return normalized(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(normalize.valid(e)).alias("valid"), F.count_if(normalize.strictly_valid(e)).alias("strictly"))
+
+
+@query("att6_range", "SELECT true AS ok, count(*) AS events, CAST(NULL AS BIGINT) AS broken_sequence FROM (SELECT row_number() OVER (ORDER BY event_id) AS s FROM events) WHERE s BETWEEN 100 AND 899")
+def _(spark, sf_dir):
+    return chain.verify(chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json"), 100, 899)
+
+
+@query("srt4_heads", "SELECT 'main' AS chain_id, count(*) AS sequence, true AS last_seal FROM events")
+def _(spark, sf_dir):
+    rows = written(pipeline.process(records(spark, sf_dir), inference=False).events.select("chain_id", "sequence", "fingerprint"), "heads")
+    last = rows.orderBy(F.desc("sequence")).limit(1).select("chain_id", F.col("fingerprint").alias("own"))
+    return chain.heads(rows).join(last, "chain_id").select("chain_id", "sequence", (F.col("fingerprint") == F.col("own")).alias("last_seal"))
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fp"))
+    return written(chain.sequenced(rows, "event_id", start=0, parts=16), "leaves")
+
+
+@query("att7_leaves", r"SELECT event_id, sha256('\x00'::BLOB || encode(sha256(CAST(event_id AS VARCHAR)))) AS leaf FROM events")
+def _(spark, sf_dir):
+    return leaves(spark, sf_dir).select("event_id", merkle.leaf(F.col("fp")).alias("leaf"))
+
+
+TREE = r"""WITH RECURSIVE l(level, pos, hash) AS (
+  SELECT 0, row_number() OVER (ORDER BY event_id) - 1, sha256('\x00'::BLOB || encode(sha256(CAST(event_id AS VARCHAR)))) FROM events
+  UNION ALL SELECT level + 1, pos // 2, sha256('\x01'::BLOB || unhex(arg_min(hash, pos)) || unhex(arg_max(hash, pos))) FROM l GROUP BY level, pos // 2 HAVING (SELECT count(*) FROM l) > 1)"""
+
+
+@query("att8_nodes", f"{TREE} SELECT CAST(level AS INT) AS level, CAST(pos AS BIGINT) AS place, hash FROM l")
+def _(spark, sf_dir):
+    return merkle.levels(leaves(spark, sf_dir), "sequence", "fp").select("level", F.col("at").alias("place"), "hash")
+
+
+@query("att9_att10_proof", f"{TREE}, w AS (SELECT level, count(*) AS n FROM l GROUP BY level), s AS (SELECT level, n, 100 // (1 << level) AS own FROM w WHERE n > 1) SELECT CAST(s.level AS INT) AS step, CASE WHEN own % 2 = 1 THEN 'left' ELSE 'right' END AS direction, hash, true AS proved FROM s JOIN l ON l.level = s.level AND l.pos = CASE WHEN own % 2 = 1 THEN own - 1 WHEN own + 1 < n THEN own + 1 ELSE own END")
+def _(spark, sf_dir):
+    rows = leaves(spark, sf_dir)
+    steps, top = merkle.proof(rows, "sequence", "fp", 100), merkle.root(rows, "sequence", "fp")
+    found = spark.createDataFrame([(i, s["direction"], s["hash"]) for i, s in enumerate(steps)], "step int, direction string, hash string")
+    path = F.array(*[F.struct(F.lit(s["direction"]).alias("direction"), F.lit(s["hash"]).alias("hash")) for s in steps])
+    proved = rows.where("sequence = 100").select(merkle.proved_at(F.col("fp"), F.lit(100), F.lit(rows.count()), path, F.lit(top)).alias("proved"))
+    return found.crossJoin(proved)  # one row
+
+
+@query("att13_att14_signed", "SELECT max(event_id + 1) AS checkpoint_seq, true AS genuine, false AS forged FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM events) GROUP BY event_id // 1000")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"))
+    signer = keys.Signer(spark)
+    signed = keys.checkpoints(merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)), signer).collect()  # a row per 1,000 events
+    told = [(r["checkpoint_seq"], keys.genuine(r, signer), keys.genuine(r.asDict() | {"merkle_root": merkle.EMPTY}, signer)) for r in signed]
+    return spark.createDataFrame(told, "checkpoint_seq long, genuine boolean, forged boolean")
+
+
+@query("vlt8_index", f"SELECT CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, true AS dense, count(*) AS in_bounds FROM events")
+def _(spark, sf_dir):
+    placed = written(vault.place(records(spark, sf_dir), block_bytes=1 << 16, segment_bytes=1 << 18), "placed")
+    index = vault.headers(written(vault.blocks(placed), "blocks"))
+    inside = placed.join(index, ["seg", "block"]).where("off + len <= ulen").agg(F.count("*").alias("in_bounds"))
+    whole = index.agg(F.sum("ulen").alias("bytes"), (F.count("*") == F.max(F.col("seg") * 4 + F.col("block")) + 1).alias("dense"))
+    return whole.crossJoin(inside)  # one row each
+
+
+@query("vlt9_encrypted", "SELECT count(*) AS records, count(*) AS matching, CAST(3 AS INT) AS flags FROM events")
+def _(spark, sf_dir):
+    key = vault.key_of("a passphrase", b"a salt of its own")
+    placed = written(vault.place(records(spark, sf_dir), block_bytes=1 << 16), "placed")
+    table = written(vault.blocks(placed, key=key), "blocks")
+    return vault.audit(placed, table, key).crossJoin(table.agg(F.max("flags").alias("flags")))  # one row each
+
+
+@query("sal3_urls", f"SELECT page_id, {duck(salvage.URL).replace('text,', 'html,')} AS urls FROM pages")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.size(salvage.found(F.col("html"), salvage.URL)), F.lit(0)).alias("urls"))
+
+
+@query("fea2_ratios", f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(DISTINCT coalesce(dst_port, -1)) AS ports, avg(CAST(contains(lower(activity_name), 'fail') OR contains(lower(activity_name), 'deny') AS INT)) AS failed_ratio, avg(CAST(class_uid = 0 AS INT)) AS unknown_ratio FROM ({LAKE}) GROUP BY 1")
+def _(spark, sf_dir):
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+    rows = flat(spark, sf_dir).join(times, "event_id").withColumn("dst_port", F.coalesce("dst_port", F.lit(-1)))
+    return features.windows(rows, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("dst_ports").alias("ports"), "failed_ratio", "unknown_ratio")
+
+
+@query("agg5_rates", "SELECT avg(CAST(event_id % 6 = 5 AS INT)) AS salvage_rate, avg(CAST(event_id % 6 < 5 AS INT)) AS mapped FROM events")
+def _(spark, sf_dir):
+    return features.counters(normalized(spark, sf_dir)).select("salvage_rate", "mapped")
+
+
+@query("sal7_salvaged_events", f"""SELECT event_id, '["' || {SRC} || '"]' AS ips, '[' || {DPORT} || ']' AS ports, 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, '0.636' AS specificity FROM events WHERE event_id % 6 = 5""")
+def _(spark, sf_dir):
+    rows = pipeline.process(records(spark, sf_dir)).events.where(F.col("pack") == detect.SALVAGE)
+    rest = lambda k: F.try_element_at(F.col("event.unmapped"), F.lit(k))
+    seen = lambda k: F.get_json_object(rest("observables"), f"$.{k}")
+    return rows.select(F.col("line_no").alias("event_id"), seen("ip_addresses").alias("ips"), seen("ports").alias("ports"), rest("cluster_template").alias("template"), rest("specificity").alias("specificity"))
+
+
+@query("snk2_att16_stream", "SELECT true AS ok, count(*) AS events, CAST(NULL AS BIGINT) AS broken_sequence FROM events")
+def _(spark, sf_dir):
+    at, where = fresh(spark, "stream"), fresh(spark, "streamed")
+    raw = records(spark, sf_dir).select("source", "line_no", "raw_bytes")
+    raw.repartition(2, "line_no").write.parquet(at)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    ingest.ingest(stream, where, f"{where}-progress").awaitTermination()
+    return client.Client(spark, where).verify()  # each batch goes on where the one before ended
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

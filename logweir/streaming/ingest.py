@@ -8,25 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import lake, vault
+from ..operators import lake
 from ..plans import pipeline
 from ..sources import lines
 from ..sources.packs import BUILT_IN, Pack
 
 
-def resume(spark: SparkSession, into: lake.Lake) -> dict:
-    """First free sequence, head of the chain and first free segment."""
-    out: dict = {"start": 1, "heads": {}, "first_segment": 0}
-    if into.exists("parsed_logs"):
-        last = into.appended("parsed_logs").agg(F.max_by(F.struct("sequence", "fingerprint"), "sequence")).first()[0]
-        if last:
-            out |= {"start": last["sequence"] + 1, "heads": {"main": last["fingerprint"]}}
-    if into.exists("vault"):
-        at = vault.latest(spark.read.parquet(f"{into.path}/vault"))
-        out["first_segment"] = at[0] + 1 if at else 0
-    return out
-
-
 def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = False, forward: dict | None = None, **trigger) -> StreamingQuery:
     """Writes a stream of (source, line_no, raw_bytes) into the lake at path.
 
@@ -42,7 +29,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack]
         if into.exists("parsed_logs") and not spark.read.parquet(f"{path}/parsed_logs").where(F.col("_batch") == number).isEmpty():
             return
         rows = lines.shaped(df.withColumn("source", F.concat("source", F.lit(f"#{number}"))))
-        pipeline.commit(pipeline.process(rows, packs, now_ms, inference, **resume(spark, into)), into, number)
+        pipeline.commit(pipeline.process(rows, packs, now_ms, inference, **pipeline.resume(into)), into, number)
         if forward:
             rows.select("raw_text").write.format("udp").mode("append").options(**forward).save()
 
