@@ -38,7 +38,7 @@ CACHED_WORDS, CACHED_PIECES = 60_000, 350_000
 #: Words that the tokenizer gets at once; its results take about a kilobyte each.
 ENCODED = 2_000
 #: Rows ranked by one task at most, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 #: How much a price falls as its length is covered, the power of the length in its price; lengths per configuration used before prices are renewed; primal over dual that is
 #: good enough.
 STEP, SKEW, USED, GAP = 0.5, 1.6, (256, 1024), 0.002

@@ -426,3 +426,13 @@ def test_pipeline_stages(spark, docs, none):
     assert p.STAGES[-1][1](spark, rows, "").count() >= rows.count()
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, none, "").count() == 0
+
+
+def test_registry_names_eleven_queries():
+    import inspect
+
+    from logweir.llm.queries import oracle_sql, queries
+
+    known = queries()
+    assert sorted(known) == sorted([*(f.__name__ for f in __import__("logweir.llm.queries", fromlist=["NUMBERED"]).NUMBERED), "pipeline"]) and len(known) == 11
+    assert all(len(inspect.signature(f).parameters) == 2 for f in known.values()) and set(oracle_sql()) <= set(known)
