@@ -9,8 +9,8 @@ Equal sets are one node from the start. Pairs are enumerated across components o
 under some hash form a group, and its members meet the group's leader: of the pairs between two components the one is verified whose
 least shingles agree most, so a group of near copies of any size costs a pair per member and round, and each round leaves a share of
 the one before. Rounds only save work: afterwards every posting list that still holds several components is enumerated, the members of
-its most frequent component against the others, under bounds that lose no link (lengths, places, least number of shared prefix
-shingles), and verified: first a sample of that component's members, then, where components are still apart, all. The components are
+its most frequent component against the others, under bounds that lose no link (lengths, and a least number of shared shingles
+within prefixes that follow from both lengths), and verified: first a sample of that component's members, then, where components are still apart, all. The components are
 exact.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; fewer words than `words` are one shingle; repeated
@@ -44,6 +44,8 @@ KEYS, ROUNDS = 32, ((0, 1), (2, 3, 4), (5, 6, 7, 8))
 LIKELY = 0.7
 #: One of so many members of each list's most frequent component meets the other members first; then all do.
 SHARES = (8, 1)
+#: Share of the prefix shingles that links must have in common by which pairs are found: less of it shortens both prefixes.
+FIRST = 0.5
 #: A round that links fewer of its pairs is the last one before all pairs are enumerated.
 WORTH = 0.05
 BASE = 0x5851F42D4C957F2D
@@ -368,14 +370,15 @@ class Join:
             b = open_.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), "main")
             if share > 1:
                 b = b.where(F.col("main") & (F.pmod(F.xxhash64("b"), F.lit(share)) == 0))
+            # the first c shingles that linked sets share have at most n - o others before them in either set
+            least = lambda x, y: F.ceil(support(F.col(x), F.col(y), self.percent) * F.lit(FIRST)).cast("long")
             room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-            # at a pair's c-th shared shingle, o - c + 1 more must fit behind it; what is shared before is at most the smaller place
-            fits = room + F.least("pa", "pb") >= required(F.col("na"), F.col("nb"), self.percent)
+            fits = room + least("na", "nb") > required(F.col("na"), F.col("nb"), self.percent)
             once = F.col("main") | (F.col("a") < F.col("b"))
             met = a.join(b, "w").where(once & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb"), self.percent) & fits)
             turned = F.col("a") > F.col("b")
             ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "u"), ("na", "nb", "nu"), ("la", "lb", "lu"), ("b", "a", "v"), ("nb", "na", "nv"), ("lb", "la", "lv"))]
-            pairs = met.select(*ends).groupBy("u", "nu", "lu", "v", "nv", "lv").agg(F.count("*").alias("c")).where(F.col("c") >= support(F.col("nu"), F.col("nv"), self.percent)).drop("c")
+            pairs = met.select(*ends).groupBy("u", "nu", "lu", "v", "nv", "lv").agg(F.count("*").alias("c")).where(F.col("c") >= least("nu", "nv")).drop("c")
             pairs = written(pairs, "pairs")
             discard(marked, open_)
             if not pairs.isEmpty():

@@ -108,6 +108,14 @@ def test_near_duplicates_match_brute_force(spark, docs, texts, none):
             for _ in range(int(rng.integers(0, 3))):
                 w[int(rng.integers(len(w)))] = f"e{rng.integers(99)}"
             rows.append((len(rows), " ".join(w)))
+    passage = words(60, 7).split()  # a large group of near copies, and strangers that share its shingles
+    for _ in range(120):
+        w = list(passage)
+        w[int(rng.integers(len(w)))] = f"n{rng.integers(9)}"
+        rows.append((len(rows), " ".join(w)))
+    for k in range(60):
+        own = [f"own{k}x{i}" for i in range(int(rng.integers(5, 40)))]
+        rows.append((len(rows), " ".join(passage[: int(rng.integers(20, 60))] + own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
     assert ngram_join.near_duplicates(none).count() == 0
