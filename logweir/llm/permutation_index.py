@@ -10,7 +10,7 @@ exactly equal vectors the k + 1 smallest ids suffice, as the others can't be amo
 (`pivots` distinct vectors, by hash).
 
 Defined cases: vectors that are null, zero, of another than the most frequent dimension, or hold null or non-finite components, and
-rows with a null id take no part; ties go to the smaller id; repeated ids keep one row per id; an empty table gives an empty table.
+rows with a null id take no part; ties go to the smaller id; of repeated ids the row with the least vector counts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     out = "query_id long, rank int, id long, score double"
     if dims is None:
         return spark.createDataFrame([], out).withColumnRenamed("id", key)
-    rows = rows.where(F.size("v") == dims["d"]).dropDuplicates(["id"])
+    rows = rows.where(F.size("v") == dims["d"]).groupBy("id").agg(F.min(F.struct("v", "asks")).alias("own")).select("id", "own.*")
     radius, total, asked = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), F.count("*"), F.count_if("asks")).first()
     chosen = rows.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["v"]).orderBy("h").limit(pivots).collect()
     centre = np.array([r["v"] for r in chosen], np.float64)
