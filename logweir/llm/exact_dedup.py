@@ -6,7 +6,7 @@ fingerprint and length are then compared for real, chunk by chunk: each distinct
 in which some chunk has two variants is told apart by its digests. Only keys are shuffled for rows whose fingerprint is unique.
 
 Defined cases: null counts as the empty text; equal rows keep exactly one row (of equal doc_ids, any one); an empty table gives an
-empty table; further columns are ignored. Null doc_ids sort last, so they stay only if all ids of the group are null.
+empty table; further columns are ignored, and kept_rows returns them whatever their names. Null doc_ids sort last, so they stay only if all ids of the group are null.
 """
 
 from __future__ import annotations
@@ -76,29 +76,31 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", primes: Sequen
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fingerprints(b.column(3), primes, chunk)], names=["k", "n_bytes", "sha", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), fingerprints(b.column(4), primes, chunk)], names=["k", "h", "n_bytes", "sha", "fp"])
 
-    source = df.select(F.col(key).alias("k"), normalised(text).alias("t"))
-    slim = source.select("k", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2(F.col("t").cast("binary"), 256).alias("sha"), "t")
+    # rows are found again by key and a hash of their text, so rows of one key (or without any) don't meet each other's texts
+    source = df.select(F.col(key).alias("k"), normalised(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    slim = source.select("k", "h", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2(F.col("t").cast("binary"), 256).alias("sha"), "t")
     kind = dict(source.dtypes)["k"]
-    slim = slim.mapInArrow(hashed, f"k {kind}, n_bytes long, sha string, fp long").withColumn("rid", F.monotonically_increasing_id())
+    slim = slim.mapInArrow(hashed, f"k {kind}, h long, n_bytes long, sha string, fp long").withColumn("rid", F.monotonically_increasing_id())
     slim = written(slim, "fingerprints")
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
     # groups are counted per salt first, so a group of copies of any size meets in few rows
     parts = written(slim.groupBy("fp", "n_bytes", salt.alias("salt")).agg(F.count("*").alias("c")), "counts")
     repeated = parts.groupBy("fp", "n_bytes").agg(F.sum("c").alias("c")).where("c > 1").select("fp", "n_bytes")
     spread = written(parts.join(repeated, ["fp", "n_bytes"], "left_semi").select("fp", "n_bytes", "salt"), "repeated")
-    members = written(slim.withColumn("salt", salt).join(spread, ["fp", "n_bytes", "salt"], "left_semi").select("k", "fp", "n_bytes", "sha", "rid"), "members")
+    members = written(slim.withColumn("salt", salt).join(spread, ["fp", "n_bytes", "salt"], "left_semi").select("k", "h", "fp", "n_bytes", "sha", "rid"), "members")
 
     # the real comparison, over members only
     count = members.count()
-    ids = members.select(F.col("k").alias("k"), "fp", "n_bytes").distinct()
+    ids = members.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "fp", "n_bytes").distinct()
     ids = F.broadcast(ids) if count * 100 <= BROADCAST_BYTES else ids
-    seen = source.join(ids, source["k"].eqNullSafe(ids["k"])).select("fp", "n_bytes", "t").where(F.octet_length("t") == F.col("n_bytes"))
-    step = chunk // 4  # characters, at most 4 bytes each
-    pieces = seen.select("fp", "n_bytes", F.posexplode(F.expr(f"transform(sequence(0, greatest(0, (char_length(t) - 1) div {step})), i -> substring(t, cast(i * {step} + 1 as int), {step}))")).alias("no", "piece"))
+    seen = source.join(ids, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("fp", "n_bytes", "t").where(F.octet_length("t") == F.col("n_bytes"))
+    # bytes are bound once, so that a text of any length is cut in one pass
+    cut = f"transform(array(cast(t as binary)), b -> transform(sequence(0, greatest(0, (octet_length(b) - 1) div {chunk})), i -> substring(b, cast(i * {chunk} + 1 as int), {chunk})))[0]"
+    pieces = seen.select("fp", "n_bytes", F.posexplode(F.expr(cut)).alias("no", "piece"))
     variants = pieces.groupBy("fp", "n_bytes", "no", "piece").agg(F.lit(1).alias("one"))
-    # a row whose id is shared by texts of several groups can add variants: that only sends its group to the digest comparison below
+    # a row met by the hash of another text can add variants: that only sends its group to the digest comparison below
     clashes = variants.groupBy("fp", "n_bytes", "no").agg(F.count("*").alias("v")).where("v > 1").select("fp", "n_bytes").distinct()
     clashes = written(clashes, "clashes")
 
@@ -124,14 +126,14 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", primes: Sequen
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay, with all columns: of rows that share key and text, any one."""
     told = written(dedup(df, key, text), "told")
-    marked = df.withColumn("_sha", F.sha2(normalised(text).cast("binary"), 256))
-    pairs = told.groupBy(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
-    pairs = written(pairs.where("not _kept or _n > 1"), "pairs")
+    # the row travels in a column of its own, so that no name of df clashes
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("k"), F.sha2(normalised(text).cast("binary"), 256).alias("s"))
+    pairs = told.groupBy(F.col(key).alias("k2"), F.col("text_sha256").alias("s2")).agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
+    pairs = written(pairs.where("not stays or n > 1"), "pairs")
     n = pairs.count()
     pairs = F.broadcast(pairs) if n * 120 <= BROADCAST_BYTES else pairs
-    joined = marked.join(pairs, marked[key].eqNullSafe(pairs["_k"]) & (F.col("_sha") == F.col("_s")), "left")
-    once = joined.where("_n is null")
+    joined = marked.join(pairs, F.col("k").eqNullSafe(F.col("k2")) & (F.col("s") == F.col("s2")), "left")
+    once = joined.where("n is null").select("row.*")
     if not n:
-        return once.select(*df.columns)
-    repeated = joined.where("_kept and _n > 1").dropDuplicates(["_k", "_s"])
-    return once.select(*df.columns).unionByName(repeated.select(*df.columns))
+        return once
+    return once.unionByName(joined.where("stays and n > 1").dropDuplicates(["k2", "s2"]).select("row.*"))

@@ -56,6 +56,19 @@ def test_dedup_matches_brute_force(docs, texts, none):
     assert kept.columns == docs.columns and kept.count() == len(set(norm))
 
 
+def test_dedup_keeps_rows_without_ids_and_clashing_names(spark):
+    rows = [(None, f"text {i % 30} " + "é" * (i % 30), i) for i in range(90)] + [(7, "text 3 ééé", 90), (7, "other", 91), (7, "text 4 " + "é" * 4, 92), (8, "z" * 300_000, 93), (9, "z" * 300_000, 94)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long").withColumns({"_sha": F.lit(1), "row": F.lit(2), "k": F.lit(3), "n": F.col("h")})
+    got = exact_dedup.dedup(df).collect()
+    size = {t: sum(x[1] == t for x in rows) for _, t, _ in rows}
+    assert sorted((r["text_sha256"], r["group_size"]) for r in got) == sorted((hashlib.sha256(t.encode()).hexdigest(), size[t]) for _, t, _ in rows)
+    assert sum(r["kept"] for r in got) == len(size)
+    assert {r["keep_id"] for r in got if r["text_sha256"] == hashlib.sha256(rows[90][1].encode()).hexdigest()} == {7}
+    kept = exact_dedup.kept_rows(df)
+    assert kept.columns == df.columns
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept.collect()) == sorted((t, {rows[90][1]: 7, rows[92][1]: 7, "other": 7, "z" * 300_000: 8}.get(t, 0)) for t in size)
+
+
 def test_dedup_tells_clashing_fingerprints_apart(docs, texts):
     weak = exact_dedup.dedup(docs, primes=(3, 2), chunk=8).collect()  # nearly all fingerprints clash
     assert sorted(map(tuple, weak)) == sorted(map(tuple, exact_dedup.dedup(docs).collect()))
@@ -196,6 +209,31 @@ def test_split_is_exact():
     assert (out == mixing.split([7, 0, 100, 3], 8)).all()
 
 
+def test_sharding_is_rendezvous_by_brute_force(spark, docs):
+    """Every shard's hash of the key is computed apart, as rows, and the least weighted one wins; slots are gapless."""
+    weights = [1.0, 2.0, 0.0, 1.5, 1.0]
+    df = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    pairs = df.select("doc_id").distinct().crossJoin(spark.range(len(weights)).withColumnRenamed("id", "i"))
+    hashes = pairs.select("doc_id", "i", F.xxhash64("doc_id", F.concat(F.lit("shard-"), F.col("i"))).alias("h")).collect()
+    best = {}
+    for r in hashes:
+        if weights[r["i"]] > 0:
+            u = ((r["h"] % (1 << 64) >> 12) + 0.5) / (1 << 52)
+            best[r["doc_id"]] = min(best.get(r["doc_id"], (math.inf, 0)), (-math.log(u) / weights[r["i"]], r["i"]))
+    rows = sharding.shard(df, weights=weights, bucket_rows=3).collect()
+    assert len(rows) == df.count() and all(r["shard"] == best[r["doc_id"]][1] for r in rows)
+    text = {}
+    for d in df.collect():
+        text.setdefault(d["doc_id"], []).append((len((d["text"] or "").encode()) + 16, zlib.crc32((d["text"] or "").encode())))
+    own = {}
+    for r in rows:
+        own.setdefault(r["doc_id"], []).append((r["size"], r["text_crc32"]))
+    assert {k: sorted(v) for k, v in own.items()} == {k: sorted(v) for k, v in text.items()}
+    for s in range(len(weights)):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_sharding_moves_only_into_the_new_shard(spark, docs, texts, none):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(docs.select("doc_id", "text")).unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string"))
     rows = sharding.shard(df, weights=[1.0] * 8, bucket_rows=50).collect()
