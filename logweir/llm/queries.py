@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, html_extraction, language_id, mixing, ngram_join, packing, permutation_index, quality, sharding, url_filter
+from . import divergence, exact_dedup, html_extraction, language_id, mixing, ngram_join, packing, permutation_index, prefix_trie, quality, sharding, url_filter
 
 # fixed values: the site rules of op6
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -77,6 +77,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns), turns.select("conv_id").distinct())
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -119,6 +124,25 @@ r(doc_id, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(z) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+#: CRC-32 of a decimal number, bit by bit
+CRC = "xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)), lambda a, x: list_reduce(range(8), lambda b, i: xor(b // 2, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, x)), 4294967295), 4294967295)"
+OP12_SQL = f"""
+WITH s AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS i FROM s),
+n AS (SELECT c, c - c % 100 AS b, {CRC} % 6 AS h FROM (SELECT DISTINCT c FROM s)),
+z AS (SELECT c, count(*) AS turns FROM o GROUP BY c),
+m AS (SELECT n.c, n.b, n.h, least(n.h, coalesce(z.turns, 0)) AS t FROM n LEFT JOIN z ON z.c = n.b),
+r AS (SELECT m.c, i AS d, role, text FROM m JOIN o ON o.c = m.b WHERE i <= t UNION ALL SELECT m.c, i - h + t, role, text FROM m JOIN o ON o.c = m.c WHERE i > h),
+p AS (SELECT c, d, length(text) AS chars, list(role || chr(0) || text) OVER (PARTITION BY c ORDER BY d) AS path FROM r UNION ALL SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM n),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+u AS (SELECT path, any_value(d) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM p GROUP BY path),
+e AS (SELECT path, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids FROM p JOIN l ON p.c = l.c AND p.d = l.d GROUP BY path),
+k AS (SELECT path[:-2] AS path, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY 1),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved FROM u LEFT JOIN k ON k.path = u.path),
+a AS (SELECT above, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT n_children, saved, unnest(list_transform(range(depth + 1), lambda i: path[:i])) AS above FROM w) GROUP BY above)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN a ON a.above = w.path LEFT JOIN e ON e.path = w.path LEFT JOIN u q ON w.depth > 0 AND q.path = w.path[:-2]
+"""
 OP13_SQL = r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS ts FROM documents),
 k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
@@ -135,7 +159,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
-NUMBERED = (op1_quality, op2_language_id, op3_mixing, op4_exact_dedup, op5_permutation_index, op6_url_filter, op7_packing, op8_html_extraction, op9_sharding, op10_ngram_join, op13_divergence)
+NUMBERED = (op1_quality, op2_language_id, op3_mixing, op4_exact_dedup, op5_permutation_index, op6_url_filter, op7_packing, op8_html_extraction, op9_sharding, op10_ngram_join, op12_prefix_trie, op13_divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -145,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": url_sql(), "op10_ngram_join": OP10_SQL, "op13_divergence": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": url_sql(), "op10_ngram_join": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_divergence": OP13_SQL}
