@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, html_extraction, language_id, mixing, ngram_join, packing, permutation_index, prefix_trie, quality, sharding, url_filter
+from . import divergence, exact_dedup, html_extraction, language_id, maxscore, mixing, ngram_join, packing, permutation_index, prefix_trie, quality, sharding, url_filter
 
 # fixed values: the site rules of op6
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -77,6 +77,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.rebuilt(turns), turns.select("conv_id").distinct())
@@ -124,6 +128,11 @@ r(doc_id, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(z) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p) WHERE rank <= 5
+"""
 #: CRC-32 of a decimal number, bit by bit
 CRC = "xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)), lambda a, x: list_reduce(range(8), lambda b, i: xor(b // 2, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, x)), 4294967295), 4294967295)"
 OP12_SQL = f"""
@@ -159,7 +168,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
-NUMBERED = (op1_quality, op2_language_id, op3_mixing, op4_exact_dedup, op5_permutation_index, op6_url_filter, op7_packing, op8_html_extraction, op9_sharding, op10_ngram_join, op12_prefix_trie, op13_divergence)
+NUMBERED = (op1_quality, op2_language_id, op3_mixing, op4_exact_dedup, op5_permutation_index, op6_url_filter, op7_packing, op8_html_extraction, op9_sharding, op10_ngram_join, op11_maxscore, op12_prefix_trie, op13_divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": url_sql(), "op10_ngram_join": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_divergence": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": url_sql(), "op10_ngram_join": OP10_SQL, "op11_maxscore": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_divergence": OP13_SQL}
