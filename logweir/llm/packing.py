@@ -34,9 +34,9 @@ from .common import small_batches, take_over, worker_cache, written
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words of odd texts, and pieces of the others, that a worker keeps between batches.
-CACHED_WORDS, CACHED_PIECES = 60_000, 350_000
-#: Words that the tokenizer gets at once; its results take about a kilobyte each.
-ENCODED = 2_000
+CACHED_WORDS, CACHED_PIECES = 40_000, 150_000
+#: Words that the tokenizer gets at once; its results take about a kilobyte each. Characters of a text that are cut into pieces at once.
+ENCODED, SLICE = 2_000, 1 << 16
 #: Rows ranked by one task at most, on average.
 BUCKET_ROWS = 1_000
 #: How much a price falls as its length is covered, the power of the length in its price; lengths per configuration used before prices are renewed; primal over dual that is
@@ -55,6 +55,16 @@ ODD = re.compile("[^\\t-\\r -~\u00c0-\u00ff]|<\\|")
 WHITE = re.compile("[\\t-\\r ]+")
 
 
+def slices(text: str) -> Iterator[str]:
+    """Parts of a text, cut at white space; longer than SLICE only where there is none."""
+    at = 0
+    while at < len(text):
+        white = WHITE.search(text, at + SLICE)
+        end = white.end() if white else len(text)
+        yield text[at:end]
+        at = end
+
+
 def byte_letters() -> dict[int, str]:
     """The vocabulary's letter for each byte: itself if it is printable in Latin-1, else the next one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,18 +104,20 @@ class WordTokens:
             self.words = {"": b""}
         return out
 
+    def plain(self, text: str) -> bytes:
+        cut = PIECES.findall(text.lower())
+        for piece in set(cut):
+            if piece not in self.pieces:
+                self.pieces[piece] = self.piece(piece)
+        out = b"".join(map(self.pieces.__getitem__, cut))
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces = {}
+        return out
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if ODD.search(text):
-                yield self.odd(text)
-                continue
-            cut = PIECES.findall(text.lower())
-            for piece in set(cut):
-                if piece not in self.pieces:
-                    self.pieces[piece] = self.piece(piece)
-            yield b"".join(map(self.pieces.__getitem__, cut))
-            if len(self.pieces) > CACHED_PIECES:
-                self.pieces = {}
+            own = self.odd if ODD.search(text) else self.plain
+            yield own(text) if len(text) <= SLICE else b"".join(map(own, slices(text)))
 
 
 _tokens: dict[str, WordTokens] = worker_cache()
@@ -286,7 +298,7 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
                 for k, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     row.append(i)
-                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b""))
             n, start, length, crc, ids = zip(*out, strict=True) if out else ((),) * 5
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=["k", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])

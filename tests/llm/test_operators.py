@@ -482,3 +482,13 @@ def test_registry_names_eleven_queries():
     known = queries()
     assert sorted(known) == sorted([*(f.__name__ for f in __import__("logweir.llm.queries", fromlist=["NUMBERED"]).NUMBERED), "pipeline"]) and len(known) == 11
     assert all(len(inspect.signature(f).parameters) == 2 for f in known.values()) and set(oracle_sql()) <= set(known)
+
+
+def test_long_texts_are_tokenized_in_slices(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SLICE", 16)
+    path = vocabulary("word_bpe_49k.json")
+    own, plain = packing.WordTokens(path), Tokenizer.from_file(path)
+    for text in ("It's a long été text, with  spaces\n and 3.14 numbers " * 9, "odd 日本 text <|x|> with\tmarks " * 9, "unbroken" * 40, " " * 100):
+        assert np.frombuffer(next(own.ids([text])), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
