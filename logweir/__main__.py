@@ -57,7 +57,7 @@ def process(args: argparse.Namespace, spark: SparkSession) -> int:
     summary = {"source": source, "format": shape_of([r["value"] for r in spark.read.text(source).limit(20).collect()]), **totals, "valid": good, "rejected": totals["records"] - good}
     if not args.no_integrity:
         told = client.verify().first()
-        audit = vault.audit(events.select("locator", "raw_sha256"), spark.read.parquet(f"{into.path}/vault"), key).first()
+        audit = vault.audit(events.select("locator", "raw_sha256"), client.vault(), key).first()
         summary |= {"chain_ok": told["ok"], "broken_sequence": told["broken_sequence"], "records_read_back": audit["records"], "records_matching": audit["matching"]}
     summary |= {"seconds": round(time.time() - began, 3), "events_per_second": round(totals["records"] / max(1e-9, time.time() - began), 1)}
     with open(f"{output}/metadata.json", "w", encoding="utf-8") as f:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import chain, features, keys, lake, matching, merkle, vault
@@ -30,9 +30,21 @@ class Client:
     def logs(self) -> DataFrame:
         return self.lake.latest("parsed_logs")
 
+    def vault(self) -> DataFrame:
+        return self.lake.appended("vault")
+
+    def only(self, where: str) -> Column | None:
+        """The bucket that a condition needs, if one of its parts, all joined by AND, asks for a single event_id."""
+        plain = re.split(r"('(?:[^'\\]|\\.|'')*')", where)
+        if re.search(r"(?i)\b(or|not|case)\b", " ".join(plain[::2])) or "(" in "".join(plain[::2]):
+            return None
+        asked = re.search(r"(?i)(?:^|\band)\s*event_id\s*=\s*('(?:[^'\\]|\\.|'')*'|\d+)\s*(?=$|\band\b)", where)
+        kind = dict(self.lake.appended("parsed_logs").dtypes)["event_id"]
+        return F.col("_bucket") == self.lake.bucket(F.expr(asked[1]).cast(kind)) if asked else None
+
     def query(self, where: str | None = None, select: str = "*", limit: int | None = None) -> DataFrame:
         """Rows in order of sequence; conditions and columns reach the Parquet scan. limit 0 or None: all."""
-        df = self.logs()
+        df = self.lake.latest("parsed_logs", within=self.only(where) if where else None)
         df = df.where(aliased(where)) if where else df
         df = df.orderBy("sequence")
         df = df.limit(limit) if limit else df
@@ -57,8 +69,8 @@ class Client:
 
     def raw(self, event_id: str) -> bytes | None:
         """The bytes that an event came from; None if it is unknown or its block is damaged."""
-        asked = self.logs().where(F.col("event_id") == event_id).select(F.col("raw_locator").alias("locator"))
-        row = vault.read(asked, self.spark.read.parquet(f"{self.lake.path}/vault"), key=self.key).select("raw", "intact").first()
+        asked = self.lake.lookup("parsed_logs", event_id).select(F.col("raw_locator").alias("locator"))
+        row = vault.read(asked, self.vault(), key=self.key).select("raw", "intact").first()
         return bytes(row["raw"]) if row and row["intact"] else None
 
     def lineage(self, event_ids: DataFrame | None = None) -> DataFrame:
@@ -67,8 +79,17 @@ class Client:
         short = F.to_json(F.struct("event_id", F.struct(F.col("raw_locator").alias("locator")).alias("stage_1_raw"), F.struct("class_uid").alias("stage_5_normalization"), F.struct("fingerprint", "prev_hash").alias("stage_6_attestation")))
         return rows.join(self.lake.latest("lineage_log"), "event_id", "left").select("event_id", F.coalesce("lineage_json", short).alias("lineage_json"))
 
-    def verify(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        return chain.verify(self.logs().withColumnRenamed("ocsf_json", "event_json"), start, end)
+    def chained(self) -> DataFrame:
+        """The rows as chain.verify wants them."""
+        rows = self.lake.latest("parsed_logs", technical=True).withColumnRenamed("ocsf_json", "event_json")
+        return rows if "_chain" in rows.columns else rows.withColumn("_chain", F.lit("main"))
+
+    def links(self) -> DataFrame | None:
+        return self.lake.latest("chain_links") if self.lake.exists("chain_links") else None
+
+    def verify(self, start: int | None = None, end: int | None = None, size: int = chain.RANGE) -> DataFrame:
+        """Both levels of all chains, or what of them lies between two sequence numbers."""
+        return chain.verify(self.chained(), start, end, "_chain", size, self.links())
 
     def prove(self, event_id: str) -> dict | None:
         """Inclusion proof of an event in the tree over all fingerprints by sequence."""
@@ -84,7 +105,7 @@ class Client:
 
     def tamper_test(self, sequence: int, member: str = "raw_data", value: str = "forged") -> DataFrame:
         """What verify says after one row has been changed (in memory only)."""
-        return chain.verify(chain.tampered(self.logs().withColumnRenamed("ocsf_json", "event_json"), sequence, member, value))
+        return chain.verify(chain.tampered(self.chained(), sequence, member, value), chain="_chain", links=self.links())
 
     def checkpoint(self, signer: keys.Signer, size: int = 1000, timestamp: int = 0) -> DataFrame:
         signed = keys.checkpoints(merkle.block_roots(self.logs(), size=size), signer, timestamp)
@@ -95,8 +116,8 @@ class Client:
         return features.rows(self.logs(), *keep)
 
     def review_queue(self) -> DataFrame:
-        return matching.pending(self.lake.read("review_queue"))
+        return matching.pending(self.lake.latest("review_queue"))
 
     def approve(self, review_id: str, batch: int = 1) -> None:
         """Marks an entry as approved: its row is written again and counts from now on."""
-        self.lake.write(self.lake.read("review_queue").where(F.col("review_id") == review_id).withColumn("status", F.lit("APPROVED")), "review_queue", batch)
+        self.lake.write(self.lake.latest("review_queue").where(F.col("review_id") == review_id).withColumn("status", F.lit("APPROVED")), "review_queue", batch)

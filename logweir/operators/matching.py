@@ -108,11 +108,12 @@ def candidates(text: Column) -> Column:
 def infer(df: DataFrame, id_column: str = "event_id", text: str = "raw_text") -> DataFrame:
     """Per salvaged row: id, mappings (key -> canonical field, where taken over), confidence (the least of its keys), review (entries).
 
-    Each distinct (key, value) is matched once, then joined back.
+    Each distinct (key, value, vendor_hint) is matched once, then joined back. Rows may have a vendor_hint, which names their custom fields.
     """
-    pairs = df.select(id_column, F.explode(candidates(F.col(text))).alias("key", "value")).withColumn("samples", F.array(F.coalesce("value", F.lit(""))))
-    known = match(pairs.select("key", "samples", F.lit(None).cast("string").alias("vendor")).distinct())
-    back = pairs.join(known, ["key", "samples"])
+    hint = F.col("vendor_hint").cast("string") if "vendor_hint" in df.columns else F.lit(None).cast("string")
+    pairs = df.select(id_column, hint.alias("vendor"), F.explode(candidates(F.col(text))).alias("key", "value")).withColumn("samples", F.array(F.coalesce("value", F.lit(""))))
+    known = match(pairs.select("key", "samples", "vendor").distinct()).withColumnRenamed("vendor", "_vendor")
+    back = pairs.join(known, ["key", "samples"]).where(F.col("vendor").eqNullSafe(F.col("_vendor")))
     taken = F.when(F.col("decision") != "HUMAN_REVIEW", F.struct("key", "target_field"))  # fallbacks name a custom field
     asked = F.when(F.col("decision") == "HUMAN_REVIEW", F.struct("key", "target_field", "confidence", "inferred_type", "samples"))
     return back.groupBy(id_column).agg(F.map_from_entries(F.array_sort(F.collect_list(taken))).alias("mappings"), F.min("confidence").alias("confidence"), F.array_sort(F.collect_list(asked)).alias("review"))

@@ -41,12 +41,14 @@ def picked(fields: Column, keys: Sequence[str]) -> Column:
 def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Column = 0) -> DataFrame:
     """Adds event (a struct whose members are in alphabetical order, as canonical JSON wants them).
 
-    df has raw_text, raw_sha256, locator, claimed, pack, decoder, fields and, if inference ran, mappings (key -> canonical field).
+    df has raw_text, raw_sha256, locator, claimed, pack, decoder, fields and, if inference ran, mappings (key -> canonical field); a
+    vendor_hint, if there is one, stands for the vendor of lines that no pack claims.
     Precedence: a key's mapping (inferred before the pack's), then the families above, else the key stays under unmapped. What families
     find in endpoints, user and host replaces what mappings put there; an extension's pairs replace both.
     """
     now = F.lit(now_ms).cast("long") if isinstance(now_ms, int) else now_ms
     claimed = F.col("claimed")
+    hinted = F.coalesce(F.nullif(F.col("vendor_hint"), F.lit("")), F.lit("Generic")) if "vendor_hint" in df.columns else F.lit("Generic")
     texts = lambda value, default: by_pack(claimed, packs, lambda p: F.lit(value(p)), F.lit(default))
     maps = by_pack(claimed, packs, lambda p: F.create_map(*[F.lit(x) for pair in p.mappings.items() for x in pair]) if p.mappings else empty_map(), empty_map())
     inferred = F.coalesce(F.col("mappings"), empty_map()) if "mappings" in df.columns else empty_map()
@@ -87,7 +89,7 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     time_text = F.coalesce(F.try_element_at(fields, F.lit("time")), F.try_element_at(fields, F.lit("timestamp")), now.cast("string"))
     product = F.struct(
         F.coalesce(m("metadata.product.name"), F.try_element_at(fields, F.lit("device_product")), texts(lambda p: p.product, "Unknown")).alias("name"),
-        F.coalesce(m("metadata.product.vendor_name"), F.try_element_at(fields, F.lit("device_vendor")), texts(lambda p: p.vendor, "Generic")).alias("vendor_name"),
+        F.coalesce(m("metadata.product.vendor_name"), F.try_element_at(fields, F.lit("device_vendor")), by_pack(claimed, packs, lambda p: F.lit(p.vendor), hinted)).alias("vendor_name"),
         F.coalesce(m("metadata.product.version"), texts(lambda p: p.version, "1.0")).alias("version"),
     )
     labels = by_pack(claimed, packs, lambda p: F.array(*map(F.lit, p.labels)).cast("array<string>"), F.array(*map(F.lit, UNPARSED)))

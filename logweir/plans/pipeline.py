@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,29 +16,36 @@ from ..sources.tables import written
 
 @dataclass
 class Run:
-    """What a batch yields: events (with all working columns), the block table, and the review entries (None: inference was off)."""
+    """What a batch yields: events (with all working columns), the block table, and review entries and clusters (None: inference was off)."""
 
     events: DataFrame
     blocks: DataFrame
     review: DataFrame | None
+    clusters: DataFrame | None = None
 
 
-def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = True, chain_by: str | None = None, start: int = 1, heads: Mapping[str, str] | None = None, first_segment: int = 0, key: bytes | None = None) -> Run:
+def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = True, chain_by: str | None = None, start: int = 1, heads: DataFrame | None = None, first_segment: int = 0, key: bytes | None = None, chain_size: int = chain.RANGE, vendor_hint: str | None = None, clusters_before: DataFrame | None = None) -> Run:
     """Vault, routing, extraction, salvage and inference, normalisation, sequence, chain and lineage of records (sources.lines).
 
     Event ids derive from locators and the batch time is a parameter, so a rerun yields the same fingerprints. chain_by names a column
-    whose values are chains of their own (None: one chain). Inference runs over salvaged rows only.
+    whose values are chains of their own (None: one chain); heads are the chains' last events so far. Inference runs over salvaged rows
+    only; clusters_before are the clusters of earlier batches. vendor_hint (or a column of that name) helps to name fields and the vendor
+    of lines that no pack claims.
     """
+    lines = lines if vendor_hint is None else lines.withColumn("vendor_hint", F.lit(vendor_hint))
     placed = written(vault.place(lines, first_segment=first_segment), "placed")
     table = vault.blocks(placed, key=key)
     rows = chain.sequenced(placed, "source", "line_no", start=start).withColumn("event_id", F.sha2("locator", 256))
     rows = detect.extract(detect.route(rows, packs), packs)
-    review = None
+    review, told = None, None
+    hint = ["vendor_hint"] * ("vendor_hint" in rows.columns)
     if inference:
         rows = written(rows, "extracted")
         lost = rows.where(F.col("pack") == detect.SALVAGE)
-        mined = clusters.assign(lost.select("event_id", "sequence", "raw_text"))
-        guessed = written(matching.infer(lost.select("event_id", "raw_text")), "inferred")
+        said = lost.select("event_id", "sequence", "raw_text")
+        told = written(clusters.summary(said, known=clusters_before), "clusters")
+        mined = clusters.assign(said, known=clusters_before, told=told)
+        guessed = written(matching.infer(lost.select("event_id", "raw_text", *hint)), "inferred")
         review = matching.review_queue(guessed, mined, created_at=now_ms)
         some = lost.drop("fields").join(guessed.select("event_id", "mappings", "confidence"), "event_id", "left").join(mined.select("event_id", "cluster_id", "template", "specificity"), "event_id", "left")
         found = {"observables": F.to_json(salvage.observables(F.col("raw_text"))), "cluster_id": F.col("cluster_id").cast("string"), "cluster_template": F.col("template"), "specificity": F.col("specificity").cast("string")}
@@ -48,32 +55,35 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
         rows = none.unionByName(some)
     rows = normalize.normalize(rows, packs, now_ms)
     rows = rows.withColumn("chain_id", F.lit("main") if chain_by is None else F.col(chain_by).cast("string"))
-    return Run(normalize.lineage(chain.append(rows, heads=heads)), table, review)
+    return Run(normalize.lineage(chain.append(rows, heads=heads, size=chain_size)), table, review, told)
 
 
 def resume(into: lake.Lake) -> dict:
-    """First free sequence, head of the chain and first free segment of a lake: what process() needs to go on from it."""
-    out: dict = {"start": 1, "heads": {}, "first_segment": 0}
-    if into.exists("parsed_logs"):
-        last = into.appended("parsed_logs").agg(F.max_by(F.struct("sequence", "fingerprint"), "sequence")).first()[0]
-        if last:
-            out |= {"start": last["sequence"] + 1, "heads": {"main": last["fingerprint"]}}
+    """First free sequence, heads of all chains and first free segment of a lake: what process() needs to go on from it."""
+    out: dict = {"start": 1, "heads": None, "first_segment": 0}
+    if into.exists("chain_links"):
+        out["heads"] = chain.heads(into.latest("chain_links"))
+        out["start"] = out["heads"].agg(F.max("sequence")).first()[0] + 1
+    if into.exists("clusters"):
+        out["clusters_before"] = into.latest("clusters")
     if into.exists("vault"):
-        at = vault.latest(into.spark.read.parquet(f"{into.path}/vault"))
+        at = vault.latest(into.appended("vault"))
         out["first_segment"] = at[0] + 1 if at else 0
     return out
 
 
-def commit(run: Run, into: lake.Lake, batch: int = 0) -> DataFrame:
-    """Blocks, lineage, review entries and at last events as tables of the lake; returns the events, which are computed once.
-
-    Events come last: a batch counts as committed once it has events. What a batch that failed before has left in the other tables
-    belongs to no event; its segments are passed over by resume().
-    """
+def commit(run: Run, into: lake.Lake, batch: int = 0, chain_size: int = chain.RANGE) -> DataFrame:
+    """Blocks, lineage, review entries, links and events as one commit of the lake; returns the events, which are computed once."""
     events = written(run.events, "events")
-    run.blocks.write.mode("append").partitionBy("seg").parquet(f"{into.path}/vault")
-    into.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", batch)
+    before = into.latest("chain_links") if into.exists("chain_links") else None
+    own = into.begin(batch)
+    own.write(run.blocks, "vault", upsert=False, by="seg")
+    own.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", upsert=False)
     if run.review is not None:
-        into.write(run.review, "review_queue", batch)
-    into.write(lake.flat(events), "parsed_logs", batch)
+        own.write(run.review, "review_queue", upsert=False)
+    if run.clusters is not None:
+        own.write(run.clusters, "clusters")
+    own.write(chain.linked(chain.ranges(events, size=chain_size), before), "chain_links", upsert=before is not None)
+    own.write(lake.flat(events), "parsed_logs", upsert=False)
+    own.commit()
     return events

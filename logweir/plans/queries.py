@@ -194,6 +194,34 @@ def _(spark, sf_dir):
     return clusters.refine(known).groupBy("merged").agg(F.sum("count").alias("n"))
 
 
+def orders_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which masks see one template for each status, priority and clerk, the tree one for each status and token count."""
+    said = F.expr("""CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'opened' ELSE 'changed' END || ' order ' || CAST(o_orderkey AS STRING) || ' for customer ' || CAST(o_custkey AS STRING) || ' priority ' || replace(o_orderpriority, ' ', '_')
+      || ' id 0f8fad5b-d9cb-469f-a165-' || lpad(CAST(o_orderkey AS STRING), 12, '0') || CASE WHEN o_custkey % 2 = 0 THEN ' at 0x1f' ELSE '' END""")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", said.alias("raw_text"))
+
+
+@query("tpl1_drain", """WITH m AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'opened' ELSE 'changed' END AS verb, CASE WHEN o_custkey % 2 = 0 THEN ' at <HEX>' ELSE '' END AS tail, replace(o_orderpriority, ' ', '_') AS priority, o_orderkey FROM orders)
+SELECT row_number() OVER (ORDER BY min(o_orderkey)) AS cluster_id, verb || ' order <NUM> for customer <NUM> priority ' || CASE WHEN count(DISTINCT priority) > 1 THEN '<*>' ELSE '<NUM>' || substr(any_value(priority), 2) END || ' id <UUID>' || tail AS template, count(*) AS count,
+  CAST(round(CASE WHEN tail = '' THEN 6.0 / 10 ELSE 7.0 / 12 END, 3) AS DOUBLE) AS specificity FROM m GROUP BY verb, tail""")
+def _(spark, sf_dir):
+    return clusters.mine(orders_said(spark, sf_dir), order="o_orderkey").select("cluster_id", "template", F.col("count"), "specificity")
+
+
+@query("tpl3_tpl5_batches", "SELECT event_id, dense_rank() OVER (ORDER BY f) AS cluster_id, cluster_size FROM (SELECT event_id, min(event_id) OVER (PARTITION BY event_type) AS f, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS cluster_size FROM events WHERE event_id % 6 = 5)")
+def _(spark, sf_dir):
+    """Two batches, the second one going on from the clusters that the first has left in the lake, give what one gives."""
+    rows = written(salvaged(spark, sf_dir), "two-batches")
+    half = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    into, out, known = lake.Lake(spark, fresh(spark, "clusters")), [], None
+    for n, some in enumerate((rows.where(F.col("event_id") <= half), rows.where(F.col("event_id") > half))):
+        told = written(clusters.summary(some, "raw_text", "event_id", known), "told")
+        out.append(clusters.assign(some, "raw_text", "event_id", known, told).select("event_id", "cluster_id", "cluster_size"))
+        into.write(told, "clusters", n)
+        known = into.latest("clusters")
+    return out[0].unionByName(out[1])
+
+
 @query("inf1_types", """SELECT event_id, 'ip' AS a, 'port' AS b, 'url' AS c, 'email' AS d, 'bool' AS e, 'timestamp' AS f, 'string' AS g FROM events""")
 def _(spark, sf_dir):
     df = events(spark, sf_dir)
@@ -238,18 +266,50 @@ def _(spark, sf_dir):
 
 
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lake rows of the rendered lines."""
-    return lake.flat(pipeline.process(records(spark, sf_dir), inference=False).events)
+    """Lake rows of the rendered lines, with names as verification wants them."""
+    return written(lake.flat(pipeline.process(records(spark, sf_dir), inference=False).events).withColumnRenamed("ocsf_json", "event_json"), "chained")
+
+
+def both_levels(rows: DataFrame, links: DataFrame, *within: int) -> DataFrame:
+    return chain.verify(rows, *within, chain="_chain", links=links)
 
 
 @query("att4_att5_chain", "SELECT true AS ok, count(*) AS events, CAST(NULL AS BIGINT) AS broken_sequence FROM events")
 def _(spark, sf_dir):
-    return chain.verify(chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json"))
+    rows = chained(spark, sf_dir)
+    return both_levels(rows, chain.linked(chain.ranges(rows, "_chain")))
 
 
 @query("att15_tamper", "SELECT false AS ok, count(*) AS events, CAST(500 AS BIGINT) AS broken_sequence FROM events")
 def _(spark, sf_dir):
-    return chain.verify(chain.tampered(chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json"), 500))
+    rows = chained(spark, sf_dir)
+    return both_levels(chain.tampered(rows, 500), chain.linked(chain.ranges(rows, "_chain")))
+
+
+def small_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with two members, chained per type in ranges of 64 numbers: what SQL can chain again."""
+    rows = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("chain_id"), F.struct("event_type", "user_id").alias("event"), F.col("event_id").alias("at"))
+    return written(chain.append(chain.sequenced(rows, "at", parts=16).drop("at"), size=64), "small-chain")
+
+
+#: every step of a range takes one row of each range, all ranges at once
+CHAINED = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY event_type, r ORDER BY s) AS k FROM (SELECT *, (s - 1) // 64 AS r FROM (SELECT event_id, event_type, user_id, row_number() OVER (ORDER BY event_id) AS s FROM events))),
+c(event_type, r, k, s, prev, fp) AS (SELECT event_type, r, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', sha256(event_type || '#' || r) FROM e WHERE k = 1
+  UNION ALL SELECT e.event_type, e.r, e.k, e.s, c.fp, sha256('{"event_id":"' || e.event_id || '","event_type":"' || e.event_type || '","prev_hash":"' || c.fp || '","sequence":' || e.s || ',"user_id":' || e.user_id || '}')
+  FROM c JOIN e ON e.event_type = c.event_type AND e.r = c.r AND e.k = c.k + 1)"""
+
+
+@query("att4_ranges", f"{CHAINED} SELECT event_type AS chain_id, s AS sequence, prev AS prev_hash, fp AS fingerprint FROM c WHERE k > 0")
+def _(spark, sf_dir):
+    return small_chain(spark, sf_dir).select("chain_id", "sequence", "prev_hash", "fingerprint")
+
+
+@query("att4_links", f"""{CHAINED}, h AS (SELECT event_type, r, max(k) AS events, min(s) AS first, max(s) AS last, arg_max(fp, k) AS head, row_number() OVER (PARTITION BY event_type ORDER BY r) AS i FROM c WHERE k > 0 GROUP BY event_type, r),
+l(chain_id, i, range, events, first, last, head, prev_link, link) AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', repeat('0', 64) FROM h
+  UNION ALL SELECT h.event_type, h.i, h.r, h.events, h.first, h.last, h.head, l.link, sha256(l.link || ':' || h.r || ':' || h.events || ':' || h.last || ':' || h.head) FROM l JOIN h ON h.event_type = l.chain_id AND h.i = l.i + 1)
+SELECT chain_id, range, events, first, last, head, prev_link, link FROM l WHERE i > 0""")
+def _(spark, sf_dir):
+    return chain.linked(chain.ranges(small_chain(spark, sf_dir), size=64))
 
 
 @query("att8_merkle_levels", "WITH RECURSIVE l(level, n) AS (SELECT 0, count(*) FROM events UNION ALL SELECT level + 1, (n + 1) // 2 FROM l WHERE n > 1) SELECT CAST(level AS INT) AS level, n FROM l")
@@ -387,7 +447,7 @@ def _(spark, sf_dir):
 def asked(spark: SparkSession, sf_dir: str) -> client.Client:
     """A client over a lake with the flat rows, numbered by event."""
     into = lake.Lake(spark, fresh(spark, "asked"))
-    into.write(flat(spark, sf_dir).withColumn("sequence", F.col("event_id")), "parsed_logs")
+    into.write(flat(spark, sf_dir).withColumn("sequence", F.col("event_id")), "parsed_logs", upsert=False)
     return client.Client(spark, into.path)
 
 
@@ -409,14 +469,15 @@ def _(spark, sf_dir):
 
 @query("att6_range", "SELECT true AS ok, count(*) AS events, CAST(NULL AS BIGINT) AS broken_sequence FROM (SELECT row_number() OVER (ORDER BY event_id) AS s FROM events) WHERE s BETWEEN 100 AND 899")
 def _(spark, sf_dir):
-    return chain.verify(chained(spark, sf_dir).withColumnRenamed("ocsf_json", "event_json"), 100, 899)
+    rows = chained(spark, sf_dir)
+    return both_levels(rows, chain.linked(chain.ranges(rows, "_chain")), 100, 899)
 
 
 @query("srt4_heads", "SELECT 'main' AS chain_id, count(*) AS sequence, true AS last_seal FROM events")
 def _(spark, sf_dir):
     rows = written(pipeline.process(records(spark, sf_dir), inference=False).events.select("chain_id", "sequence", "fingerprint"), "heads")
     last = rows.orderBy(F.desc("sequence")).limit(1).select("chain_id", F.col("fingerprint").alias("own"))
-    return chain.heads(rows).join(last, "chain_id").select("chain_id", "sequence", (F.col("fingerprint") == F.col("own")).alias("last_seal"))
+    return chain.heads(chain.linked(chain.ranges(rows))).join(last, "chain_id").select("chain_id", "sequence", (F.col("fingerprint") == F.col("own")).alias("last_seal"))
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,4 +33,4 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines as records, numbered by event."""
-    return lines.texts(events(spark, sf_dir), "line", "events", "event_id")
+    return lines.texts(lines.spread(events(spark, sf_dir)), "line", "events", "event_id")

@@ -16,6 +16,13 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.withColumn("raw_text", text).where("raw_text <> ''").select("source", "line_no", "raw_bytes", "raw_text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than there are cores, dealt to all of them: decoding a line costs far more than moving it.
+    Tables of more splits stay as they are. df must be a plain scan, as its partitions are counted."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files. line_no follows the order in each file: block start, then place in the block's rows.
 

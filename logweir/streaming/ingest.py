@@ -26,7 +26,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack]
     def batch(df: DataFrame, number: int) -> None:
         if df.isEmpty():
             return
-        if into.exists("parsed_logs") and not spark.read.parquet(f"{path}/parsed_logs").where(F.col("_batch") == number).isEmpty():
+        if into.committed(number):
             return
         rows = lines.shaped(df.withColumn("source", F.concat("source", F.lit(f"#{number}"))))
         pipeline.commit(pipeline.process(rows, packs, now_ms, inference, **pipeline.resume(into)), into, number)

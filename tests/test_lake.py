@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.__main__ import main
-from logweir.operators import chain, clusters
+from logweir.client import Client
+from logweir.operators import clusters, lake
 from logweir.plans.queries import queries
 
 LINES = [
@@ -22,24 +23,40 @@ def test_a_second_run_goes_on_from_the_first(spark, tmp_path):
         assert main(["process", str(source), "--output", str(output)]) == 0
         told = json.loads((output / "metadata.json").read_text())
         assert told["chain_ok"] and told["records_read_back"] == told["records_matching"] == told["records"] == 3
-        rows = spark.read.parquet(f"{output}/lake/parsed_logs").select("sequence", "event_id").collect()
+        rows = lake.Lake(spark, f"{output}/lake").latest("parsed_logs").select("sequence", "event_id").collect()
         assert sorted(r["sequence"] for r in rows) == list(range(1, 3 * run + 1)) and len({r["event_id"] for r in rows}) == 3 * run
 
 
-def chained(spark, n):
-    rows = spark.range(1, n + 1).select(F.col("id").alias("sequence"), F.col("id").cast("string").alias("event_id"), F.lit("c").alias("chain_id"), F.struct(F.concat(F.lit("e"), "id").alias("activity_name"), F.lit("raw").alias("raw_data")).alias("event"))
-    return chain.append(rows).select("sequence", "prev_hash", "fingerprint", "event_json").cache()
+def test_last_commit_counts_and_only_what_the_manifest_names(spark, tmp_path):
+    into = lake.Lake(spark, str(tmp_path / "lake"), buckets=4)
+    made = lambda rows: spark.createDataFrame(rows, "event_id string, lineage_json string")
+    into.write(made([(str(i), "first") for i in range(40)]), "lineage_log", batch=7, upsert=False)
+    lost = into.begin(8)
+    lost.write(made([("1", "lost"), ("99", "lost")]), "lineage_log")  # its writer fails before the commit
+    assert into.latest("lineage_log").where("lineage_json = 'lost'").isEmpty() and not into.committed(8)
+    into.write(made([("1", "second"), ("50", "second")]), "lineage_log", batch=8)
+    got = {r["event_id"]: r["lineage_json"] for r in into.latest("lineage_log").collect()}
+    assert len(got) == 41 and got["1"] == got["50"] == "second" and got["2"] == "first" and into.committed(8)
+    assert into.lookup("lineage_log", "1").first()["lineage_json"] == "second" and into.lookup("lineage_log", "x").isEmpty()
+    with pytest.raises(Exception, match="exist"):
+        lost.commit()
+    assert lake.Lake(spark, into.path, buckets=9).buckets == 4
+    into.compact("lineage_log")
+    assert len(into.seen("lineage_log")) == 1 and into.vacuum() == 2
+    assert {r["event_id"]: r["lineage_json"] for r in into.latest("lineage_log").collect()} == got
 
 
-@pytest.mark.parametrize("size", [4, 7, 1000])
-def test_verification_by_ranges_finds_the_first_break(spark, size):
-    rows = chained(spark, 20)
-    broken = lambda df: [r["sequence"] for r in chain.checked(df, size=size).where("broken").orderBy("sequence").collect()]
-    assert broken(rows) == []
-    assert broken(rows.where("sequence > 6")) == []
-    assert broken(rows.where("sequence not in (8, 9)")) == [10]
-    assert broken(rows.where("sequence not between 5 and 12")) == [13]
-    assert broken(chain.tampered(rows, 8)) == [8]
+def test_lookups_read_one_bucket(spark, tmp_path):
+    into = lake.Lake(spark, str(tmp_path / "lake"), buckets=8)
+    into.write(spark.range(200).select(F.col("id").alias("event_id"), F.col("id").alias("sequence"), F.lit("x").alias("src_ip")), "parsed_logs", upsert=False)
+    client = Client(spark, into.path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for where in ("event_id = 7", "src_ip = 'x or y' AND event_id = 7", "event_id = 7 and sequence < 9"):
+        assert "_bucket" in plan(client.query(where)).split("PartitionFilters: [")[1].split("]")[0], where
+    assert client.query("event_id = 7").count() == 1
+    for where in ("event_id = 7 OR sequence = 8", "event_id = 3 + 4", "NOT event_id = 7", "src_ip = 'event_id = 7'", "(event_id = 7)"):
+        assert client.only(where) is None, where
+    assert client.query("event_id = 7 OR sequence = 8").count() == 2 and client.query("event_id = 3 + 4").count() == 1
 
 
 def test_running_sizes_go_over_stretches(spark):
