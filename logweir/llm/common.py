@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,15 +70,32 @@ def worker_cache() -> dict:
     return _kept[-1]
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def take_over(own: dict | None = None) -> None:
     """Empties what other operators keep in this worker, whose memory all stages share, and gives freed memory back to the system."""
     held = [d for d in _kept if d is not own and d]
     for d in held:
         d.clear()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-    if trim:
-        trim(0)
+    release()
+
+
+def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's work over batches, after which its worker, which waits for other tasks, gives freed memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WHITE, small_batches, text_bytes, written
+from .common import BROADCAST_BYTES, WHITE, freed, small_batches, text_bytes, written
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 998_244_353)
@@ -82,7 +82,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", primes: Sequen
     source = df.select(F.col(key).alias("k"), normalised(text).alias("t")).withColumn("h", F.xxhash64("t"))
     slim = source.select("k", "h", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2(F.col("t").cast("binary"), 256).alias("sha"), "t")
     kind = dict(source.dtypes)["k"]
-    slim = slim.mapInArrow(hashed, f"k {kind}, h long, n_bytes long, sha string, fp long").withColumn("rid", F.monotonically_increasing_id())
+    slim = slim.mapInArrow(freed(hashed), f"k {kind}, h long, n_bytes long, sha string, fp long").withColumn("rid", F.monotonically_increasing_id())
     slim = written(slim, "fingerprints")
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
     # groups are counted per salt first, so a group of copies of any size meets in few rows

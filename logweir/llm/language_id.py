@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, take_over, text_bytes, worker_cache
+from .common import freed, slices, small_batches, take_over, text_bytes, worker_cache
 
 TRAIN_BYTES = 32_768
 TABLE_BYTES = 200_000_000
@@ -211,4 +211,4 @@ def identify(df: DataFrame, train: DataFrame | None = None, key: str = "doc_id",
     # one space on both sides marks word ends; a text of one space has no letter
     source = df.select(key, *keep, F.when(F.trim(letters(text)) == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.trim(letters(text)), F.lit(" "))).alias("_letters"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(freed(predicted), f"{schema}, lang_pred string, score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, mix64, sized_broadcast, slices, small_batches, take_over, text_bytes, word_spans, written
+from .common import SLICE_BYTES, discard, freed, mix64, sized_broadcast, slices, small_batches, take_over, text_bytes, word_spans, written
 
 WORDS, PERCENT = 5, 75
 #: Buckets that count shingles, as a power of two: more only make the order sharper.
@@ -146,7 +146,7 @@ def bucket_classes(docs: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
 
-    counts = written(docs.select("t").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    counts = written(docs.select("t").mapInArrow(freed(counted), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
     out = np.zeros(1 << bits, np.int64)
     for r in counts.where(F.col("n") > mean).toLocalIterator():  # some of the buckets, whose number is bounded
@@ -234,7 +234,7 @@ class Join:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(values)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.concatenate(x)) for x in (sizes, first, second)), lists], names=["k", "h", "n", "one", "two", "prefix"])
 
-        return self.docs.mapInArrow(made, f"k {self.kind}, h long, n long, one long, two long, prefix array<long>")
+        return self.docs.mapInArrow(freed(made), f"k {self.kind}, h long, n long, one long, two long, prefix array<long>")
 
     def segments(self, nodes: DataFrame, short: bool) -> DataFrame:
         """node, fragment and segment (the node's tokens there; 16 bits of each if `short`) of nodes (id, k, h), from their texts."""
@@ -255,7 +255,7 @@ class Join:
                     segment = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), pa.array(token.astype(np.uint16).view(np.int16) if short else token))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][part[at] // fragments]), pa.array((part[at] % fragments).astype(np.int32)), segment], names=["node", "fragment", "segment"])
 
-        out = texts.mapInArrow(cut, f"node long, fragment int, segment array<{'smallint' if short else 'long'}>")
+        out = texts.mapInArrow(freed(cut), f"node long, fragment int, segment array<{'smallint' if short else 'long'}>")
         return out.dropDuplicates(["node", "fragment"]) if self.repeats else out
 
     def prepare(self) -> DataFrame:

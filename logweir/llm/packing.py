@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, take_over, worker_cache, written
+from .common import freed, small_batches, take_over, worker_cache, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -304,7 +304,7 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=["k", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     source = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return source.mapInArrow(cut, f"k {dict(source.dtypes)['k']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("k", key)
+    return source.mapInArrow(freed(cut), f"k {dict(source.dtypes)['k']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("k", key)
 
 
 def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -328,4 +328,4 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(freed(placed), f"{schema}, sequence_id long, offset long")
