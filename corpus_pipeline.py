@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from logweir.llm.common import sized_broadcast, written
+from logweir.llm.common import ARROW_BYTES, sized_broadcast, written
 from logweir.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches of a quarter of what an operator alone takes: the stages' workers and the JVM's buffers share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES // 4))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter go; a missing language is filled in."""
+    bounded(spark)
     docs = docs.select(*COLUMNS)
     known = language_id.identify(docs, keep=tuple(COLUMNS[1:]))
     return known.where(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -32,6 +38,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked rows the one with the smallest doc_id stays."""
+    bounded(spark)
     docs = docs.select(*COLUMNS)
     row = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     found = ngram_join.near_duplicates(docs.select(row.alias("row"), "text"), key="row")
@@ -48,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 2048 tokens."""
+    bounded(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
