@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import chain, features, keys, lake, matching, merkle, vault
+from .sources.tables import written
 
 # fixed values: nested names that queries may use for flat columns
 ALIASES = {"src_endpoint.ip": "src_ip", "dst_endpoint.ip": "dst_ip", "src_endpoint.port": "src_port", "dst_endpoint.port": "dst_port", "actor.user.name": "user_name", "device.hostname": "hostname"}
@@ -91,24 +92,51 @@ class Client:
         """Both levels of all chains, or what of them lies between two sequence numbers."""
         return chain.verify(self.chained(), start, end, "_chain", size, self.links())
 
+    def grow_tree(self, batch: int = 0) -> int:
+        """Brings the stored tree over all fingerprints up to the lake's last sequence number; returns its number of leaves. Only new
+        leaves and a bounded number of nodes are read."""
+        before = self.tree()
+        end = self.logs().agg(F.max("sequence")).first()[0] or 0
+        if end == before:
+            return end
+        first = before >> merkle.HEIGHT << merkle.HEIGHT
+        leaves = self.logs().where(F.col("sequence") > first).select((F.col("sequence") - 1).alias("at"), merkle.leaf(F.col("fingerprint")).alias("hash"))
+
+        def kept(level: int, start: int, stop: int) -> DataFrame:
+            return self.lake.appended("nodes").where((F.col("tree") == 0) & (F.col("level") == level) & F.col("at").between(start, stop - 1)).select("at", "hash")
+
+        own = self.lake.begin(batch)
+        own.write(merkle.grown(leaves, before, end, kept), "nodes", upsert=False)
+        own.write(self.spark.createDataFrame([(end,)], "leaves long"), "trees", upsert=False)
+        own.commit()
+        return end
+
+    def tree(self) -> int:
+        """Leaves of the stored tree, 0 if there is none."""
+        return self.lake.appended("trees").agg(F.max("leaves")).first()[0] if self.lake.exists("trees") else 0
+
+    def nodes(self, places: list[tuple[int, int, int]]) -> DataFrame:
+        """Stored nodes by tree, level and place."""
+        return self.lake.lookups("nodes", places)
+
     def prove(self, event_id: str) -> dict | None:
-        """Inclusion proof of an event in the tree over all fingerprints by sequence."""
-        rows = self.logs().select("event_id", "fingerprint", "sequence")
-        first = rows.agg(F.min("sequence")).first()[0]
-        row = rows.where(F.col("event_id") == event_id).first()
-        if row is None:
+        """Inclusion proof of an event in the stored tree (None: unknown, or later than the tree): point reads of an event, and of a node
+        a level."""
+        row = self.lake.lookup("parsed_logs", event_id).select("sequence", "fingerprint").first()
+        n = self.tree()
+        if row is None or row["sequence"] > n:
             return None
-        tree = rows.select((F.col("sequence") - first).alias("i"), "fingerprint")
-        at = row["sequence"] - first
-        steps, top = merkle.proof(tree, "i", "fingerprint", at), merkle.root(tree, "i", "fingerprint")
-        return {"event_id": event_id, "index": at, "fingerprint": row["fingerprint"], "root": top, "proof": steps}
+        at = row["sequence"] - 1
+        wanted = merkle.path(at, n)
+        rows = {(r["tree"], r["level"], r["at"]): r["hash"] for r in self.nodes([p for _, p in wanted] + [merkle.top_of(n)]).collect()}  # a row a level
+        return {"event_id": event_id, "index": at, "leaves": n, "fingerprint": row["fingerprint"], "root": rows[merkle.top_of(n)], "proof": [{"direction": d, "hash": rows[p]} for d, p in wanted]}
 
     def tamper_test(self, sequence: int, member: str = "raw_data", value: str = "forged") -> DataFrame:
         """What verify says after one row has been changed (in memory only)."""
         return chain.verify(chain.tampered(self.chained(), sequence, member, value), chain="_chain", links=self.links())
 
     def checkpoint(self, signer: keys.Signer, size: int = 1000, timestamp: int = 0) -> DataFrame:
-        signed = keys.checkpoints(merkle.block_roots(self.logs(), size=size), signer, timestamp)
+        signed = written(keys.checkpoints(merkle.block_roots(self.logs(), size=size), signer, timestamp), "signed")
         self.lake.write(signed, "checkpoints", timestamp)
         return signed
 

@@ -151,24 +151,35 @@ def json_object(text: Column) -> Column:
     return F.from_json(embedded(text, "{", "}"), STRINGS)
 
 
-def xml_value(node: ElementTree.Element):
-    """A leaf's text, else its children by tag (repeated ones as a list), #text and @attributes."""
-    out: dict = {}
-    for child in node:
-        tag, value = child.tag.rpartition("}")[2], xml_value(child)
-        out[tag] = value if tag not in out else [*(out[tag] if isinstance(out[tag], list) else [out[tag]]), value]
-    own = (node.text or "").strip()
-    if own and not out:
-        return own
-    return out | ({"#text": own} if own else {}) | {f"@{k}": v for k, v in node.attrib.items()}
-
-
 def xml_json(text: str | None) -> str | None:
+    """JSON text of one member, the root element; null if the text isn't XML.
+
+    Elements are shaped as they close, when all their children are known by tag: text alone stands for itself (attributes are dropped);
+    otherwise a member for each tag, a list where it repeats, then #text and the attributes as @name. Namespaces are dropped.
+    """
+    if not text:
+        return None
+    reader = ElementTree.XMLPullParser(("start", "end"))
+    levels: list[dict[str, list]] = [{}]
     try:
-        root = ElementTree.fromstring(text) if text else None
-        return None if root is None else json.dumps({root.tag.rpartition("}")[2]: xml_value(root)}, ensure_ascii=False)
+        reader.feed(text)
+        reader.close()
+        for event, node in reader.read_events():
+            if event == "start":
+                levels.append({})
+                continue
+            below, said = levels.pop(), (node.text or "").strip()
+            if below or not said:
+                value = {tag: found if len(found) > 1 else found[0] for tag, found in below.items()}
+                value.update({"#text": said} if said else {})
+                value.update(("@" + name, v) for name, v in node.attrib.items())
+            else:
+                value = said
+            levels[-1].setdefault(node.tag.rpartition("}")[2], []).append(value)
+            node.clear()
     except ElementTree.ParseError:
         return None
+    return json.dumps({tag: found[0] for tag, found in levels[0].items()}, ensure_ascii=False)
 
 
 @pandas_udf(T.StringType())

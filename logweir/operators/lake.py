@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ class Lake:
     that were only added to are scanned as they are.
     """
 
-    KEYS = {"parsed_logs": ("event_id",), "lineage_log": ("event_id",), "checkpoints": ("checkpoint_seq",), "review_queue": ("review_id",), "chain_links": ("chain_id", "range"), "nodes": ("tree", "level", "at"), "clusters": ("template",)}
+    KEYS = {"parsed_logs": ("event_id",), "lineage_log": ("event_id",), "checkpoints": ("checkpoint_seq",), "review_queue": ("review_id",), "chain_links": ("chain_id", "range"), "nodes": ("tree", "level", "at"), "trees": ("leaves",), "clusters": ("template",)}
     BUCKETS = 16
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -138,12 +139,20 @@ class Lake:
 
     def lookup(self, table: str, *key) -> DataFrame:
         """The rows of a key, from one bucket."""
+        return self.lookups(table, [key])
+
+    def lookups(self, table: str, keys: Sequence[tuple]) -> DataFrame:
+        """The rows of a few keys, from their buckets."""
         kinds = dict(self.appended(table, technical=True).dtypes)
-        values = [F.lit(v).cast(kinds[k]) for k, v in zip(self.KEYS[table], key, strict=True)]
-        found = F.col("_bucket") == self.bucket(*values)
-        for k, v in zip(self.KEYS[table], values, strict=True):
-            found = found & (F.col(k) == v)
-        return self.latest(table, within=found)
+        buckets, rows = F.lit(False), F.lit(False)
+        for key in keys:
+            values = [F.lit(v).cast(kinds[k]) for k, v in zip(self.KEYS[table], key, strict=True)]
+            buckets = buckets | (F.col("_bucket") == self.bucket(*values))
+            own = F.lit(True)
+            for k, v in zip(self.KEYS[table], values, strict=True):
+                own = own & (F.col(k) == v)
+            rows = rows | own
+        return self.latest(table, within=buckets & rows)
 
     def compact(self, table: str) -> None:
         """Writes the last rows of a keyed table as one commit that replaces all before; vacuum() then removes the old folders."""

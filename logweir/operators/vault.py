@@ -1,15 +1,17 @@
 """The vault: raw bytes in checked, compressed blocks of about 1 MiB, addressed by locators.
 
 Blocks are rows of a Parquet table partitioned by segment. A record's block follows from the running sum of bytes before it, so blocks
-fill side by side; locators are given out after packing and never go stale.
+fill side by side; locators are given out after packing and never go stale. A read opens each block that is asked for once, where the
+distinct places asked of it meet it, and only the bytes asked for leave.
 """
 
 from __future__ import annotations
 
 import hashlib
+import hmac
+import json
+import os
 import zlib
-from collections.abc import Iterator
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,34 @@ def key_of(passphrase: str, salt: bytes) -> bytes:
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=1 << 14, r=8, p=1, dklen=32)
 
 
+def key_in(into, passphrase: str) -> bytes:
+    """The key of a lake's vault: from its salt, which the first run draws and stores beside the vault together with a check of the key.
+    A passphrase that doesn't fit the check is refused."""
+    fs, at = into.located(f"{into.path}/_vault_key.json")
+    if fs.exists(at):
+        stream = fs.open(at)
+        try:
+            stored = json.loads(into.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        key = key_of(passphrase, bytes.fromhex(stored["salt"]))
+        if not hmac.compare_digest(check_of(key), stored["check"]):
+            raise ValueError("the passphrase doesn't fit this vault")
+        return key
+    salt = os.urandom(16)
+    key = key_of(passphrase, salt)
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(json.dumps({"salt": salt.hex(), "check": check_of(key)}).encode()))
+    finally:
+        out.close()
+    return key
+
+
+def check_of(key: bytes) -> str:
+    return hmac.new(key, b"vault", hashlib.sha256).hexdigest()
+
+
 def locator(seg: Column, block: Column, off: Column, length: Column, scheme: str = SCHEME) -> Column:
     return F.format_string(f"{scheme}:raw:%d:%d:%d:%d", seg, block, off, length)
 
@@ -75,28 +105,33 @@ def blocks(placed: DataFrame, raw: str = "raw_bytes", key: bytes | None = None)
     return out.withColumn("payload", sealed_).withColumns({"clen": F.octet_length("payload").cast("long"), "flags": (F.col("flags").bitwiseOR(ENCRYPTED))})
 
 
-def opened(table: DataFrame, key: bytes | None = None) -> DataFrame:
-    """seg, block, data and whether the checksum holds."""
-    payload = F.col("payload") if key is None else F.when(F.col("flags").bitwiseAND(ENCRYPTED) > 0, F.aes_decrypt("payload", F.lit(key), F.lit("GCM"))).otherwise(F.col("payload"))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = zstandard.ZstdDecompressor()
-        for b in batches:
-            for i in range(b.num_rows):  # a block at a time bounds memory
-                packed, size = b.column(3)[i].as_py(), b.column(4)[i].as_py()
-                data = reader.decompress(packed, max_output_size=size) if b.column(5)[i].as_py() & ZSTD else packed
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], b.column(1)[i : i + 1], pa.array([data], pa.binary()), pa.array([zlib.crc32(data) == b.column(2)[i].as_py()])], names=["seg", "block", "data", "intact"])
-
-    return table.select("seg", "block", "crc", payload.alias("payload"), "ulen", "flags").mapInArrow(unpacked, "seg int, block int, data binary, intact boolean")
-
-
 def read(locators: DataFrame, table: DataFrame, column: str = "locator", key: bytes | None = None) -> DataFrame:
-    """Adds raw (the addressed bytes) and intact. Only the blocks that are asked for are decompressed."""
+    """Adds raw (the addressed bytes) and intact; both are null where the locator is none or its block is missing.
+
+    Only blocks that are asked for are shuffled, compressed, and opened, each once; the places asked of a block are at most as many as it
+    has records, however often each is asked for.
+    """
+    place = ["seg", "block", "off", "len"]
     asked = locators.withColumn("_l", parse_locator(F.col(column)))
-    wanted = asked.select(F.col("_l.seg").alias("seg"), F.col("_l.block").alias("block")).distinct()
-    data = opened(table.join(wanted, ["seg", "block"], "left_semi"), key)
-    found = asked.join(data, (F.col("_l.seg") == data["seg"]) & (F.col("_l.block") == data["block"]), "left")
-    return found.withColumn("raw", F.substring(F.col("data"), (F.col("_l.off") + 1).cast("int"), F.col("_l.len"))).drop("_l", "data", "seg", "block")
+    wanted = asked.where("_l is not null").select(*[F.col(f"_l.{c}").alias(c) for c in place]).distinct()
+    payload = F.col("payload") if key is None else F.when(F.col("flags").bitwiseAND(ENCRYPTED) > 0, F.try_aes_decrypt("payload", F.lit(key), F.lit("GCM"))).otherwise(F.col("payload"))
+    some = table.join(wanted.select("seg", "block").distinct(), ["seg", "block"], "left_semi").select("seg", "block", "crc", payload.alias("payload"), "ulen", "flags")
+
+    def sliced(places: pa.Table, found: pa.Table) -> pa.Table:
+        if not found.num_rows or not places.num_rows:
+            return pa.schema([("seg", pa.int32()), ("block", pa.int32()), ("off", pa.int64()), ("len", pa.int32()), ("raw", pa.binary()), ("intact", pa.bool_())]).empty_table()
+        packed, size = found["payload"][0].as_py(), found["ulen"][0].as_py()
+        data = packed or b""
+        if packed and found["flags"][0].as_py() & ZSTD:
+            data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=size)
+        intact = packed is not None and zlib.crc32(data) == found["crc"][0].as_py()
+        raw = [data[o : o + n] for o, n in zip(places["off"].to_pylist(), places["len"].to_pylist(), strict=True)]
+        return places.select(place).append_column("raw", pa.array(raw, pa.binary())).append_column("intact", pa.array([intact] * len(raw)))
+
+    slices = wanted.groupBy("seg", "block").cogroup(some.groupBy("seg", "block")).applyInArrow(sliced, "seg int, block int, off long, len int, raw binary, intact boolean")
+    slices = slices.select(*[F.col(c).alias(f"_{c}") for c in place], "raw", "intact")
+    same = [F.col(f"_l.{c}") == F.col(f"_{c}") for c in place]
+    return asked.join(slices, same[0] & same[1] & same[2] & same[3], "left").drop("_l", *[f"_{c}" for c in place])
 
 
 def headers(table: DataFrame) -> DataFrame:

@@ -514,9 +514,23 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"))
     signer = keys.Signer(spark)
-    signed = keys.checkpoints(merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)), signer).collect()  # a row per 1,000 events
-    told = [(r["checkpoint_seq"], keys.genuine(r, signer), keys.genuine(r.asDict() | {"merkle_root": merkle.EMPTY}, signer)) for r in signed]
-    return spark.createDataFrame(told, "checkpoint_seq long, genuine boolean, forged boolean")
+    signed = written(keys.checkpoints(merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)), signer), "signed")
+    told = keys.verified(signed, signer).select("checkpoint_seq", "genuine")
+    forged = keys.verified(signed.withColumn("merkle_root", F.lit(merkle.EMPTY)), signer).select("checkpoint_seq", F.col("genuine").alias("forged"))
+    return told.join(forged, "checkpoint_seq")
+
+
+@query("att9_stored_nodes", f"{TREE}, w AS (SELECT count(*) AS n FROM events) SELECT CASE WHEN (pos + 1) * (CAST(1 AS BIGINT) << level) <= n THEN 0 ELSE n END AS tree, CAST(level AS INT) AS level, CAST(pos AS BIGINT) AS place, hash FROM l, w")
+def _(spark, sf_dir):
+    """The nodes of a tree that grew twice, without those of its earlier right edge."""
+    rows = leaves(spark, sf_dir).select(F.col("sequence").alias("at"), merkle.leaf(F.col("fp")).alias("hash"))
+    n, into, before = rows.count(), lake.Lake(spark, fresh(spark, "nodes")), 0
+    kept = lambda level, start, stop: into.appended("nodes").where((F.col("tree") == 0) & (F.col("level") == level) & F.col("at").between(start, stop - 1)).select("at", "hash")
+    for end in (n * 2 // 3, n):
+        own = rows.where(F.col("at").between(before >> merkle.HEIGHT << merkle.HEIGHT, end - 1))
+        into.write(merkle.grown(own, before, end, kept), "nodes", upsert=False)
+        before = end
+    return into.latest("nodes").where(F.col("tree").isin(0, n)).select("tree", "level", F.col("at").alias("place"), "hash")
 
 
 @query("vlt8_index", f"SELECT CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, true AS dense, count(*) AS in_bounds FROM events")

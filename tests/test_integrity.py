@@ -81,7 +81,7 @@ def test_merkle_root_and_proofs(spark, n, height, monkeypatch):
 
 def test_signed_checkpoints(spark, client):
     signer = keys.Signer(spark)
-    rows = client.checkpoint(signer, size=16).collect()
+    rows = client.checkpoint(signer, size=16).orderBy("checkpoint_seq").collect()
     assert [r["checkpoint_seq"] for r in rows] == [16, 32, 43]
     prints = [r["fingerprint"] for r in client.query(limit=16).collect()]
     assert rows[0]["merkle_root"] == brute_root(prints) and rows[0]["chain_head"] == prints[-1]
