@@ -12,6 +12,7 @@ from ..operators import lake
 from ..plans import pipeline
 from ..sources import lines
 from ..sources.packs import BUILT_IN, Pack
+from . import sources
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = False, forward: dict | None = None, **trigger) -> StreamingQuery:
@@ -36,6 +37,13 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack]
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def collect(spark: SparkSession, host: str, port: int, path: str, journal: str, checkpoint: str, every: str = "5 seconds", **more) -> StreamingQuery:
+    """Datagrams of a port into a lake: received into the journal, a folder that executors share, and read from there batch by batch."""
+    sources.register(spark)
+    stream = spark.readStream.format("udp").option("host", host).option("port", port).option("journal", journal).load()
+    return ingest(stream, path, checkpoint, processingTime=every, **more)
+
+
 def windowed(stream: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events and failures per window and source address of a stream of lake rows with a timestamp in milliseconds; late rows are
     taken in until the watermark passes."""
