@@ -58,15 +58,18 @@ class Client:
 
     @staticmethod
     def batches(df: DataFrame, rows: int = 1000) -> Iterator[pa.Table]:
-        """A result piece by piece, a partition ahead at most."""
-        held: list = []
-        for r in df.toLocalIterator(prefetchPartitions=True):
-            held.append(r.asDict(recursive=True))
-            if len(held) == rows:
-                yield pa.Table.from_pylist(held)
-                held = []
-        if held:
-            yield pa.Table.from_pylist(held)
+        """A result piece by piece, of `rows` rows at most, a partition ahead at most. Tasks make the pieces; they come here as bytes."""
+
+        def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                for at in range(0, b.num_rows, rows):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, b.schema) as stream:
+                        stream.write_batch(b.slice(at, rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["piece"])
+
+        for r in df.mapInArrow(packed, "piece binary").toLocalIterator(prefetchPartitions=True):
+            yield pa.ipc.open_stream(pa.py_buffer(r["piece"])).read_all()
 
     def raw(self, event_id: str) -> bytes | None:
         """The bytes that an event came from; None if it is unknown or its block is damaged."""
@@ -78,6 +81,8 @@ class Client:
         """event_id and lineage_json; events without a record get one of the stages that their row shows."""
         rows = self.logs() if event_ids is None else self.logs().join(event_ids, "event_id", "left_semi")
         short = F.to_json(F.struct("event_id", F.struct(F.col("raw_locator").alias("locator")).alias("stage_1_raw"), F.struct("class_uid").alias("stage_5_normalization"), F.struct("fingerprint", "prev_hash").alias("stage_6_attestation")))
+        if not self.lake.exists("lineage_log"):
+            return rows.select("event_id", short.alias("lineage_json"))
         return rows.join(self.lake.latest("lineage_log"), "event_id", "left").select("event_id", F.coalesce("lineage_json", short).alias("lineage_json"))
 
     def chained(self) -> DataFrame:

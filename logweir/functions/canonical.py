@@ -7,10 +7,6 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Members that no fingerprint covers.
-UNSEALED = ("fingerprint", "signature", "merkle_proof")
-
-
 def canonical(text: Column) -> Column:
     """JSON text with sorted keys and without spaces; null if it isn't JSON. Meant for strings, integers, booleans and nesting."""
     return F.to_json(F.try_parse_json(text))

@@ -193,12 +193,3 @@ def xml(text: Column) -> Column:
 
 
 DECODERS: dict[str, Callable[[Column], Column]] = {"syslog_rfc3164": rfc3164, "syslog_rfc5424": rfc5424, "keyvalue": keyvalue, "csv": csv, "cef": cef, "leef": leef, "json": json_object, "xml": xml}
-
-
-def chain(text: Column, names: Sequence[str], pattern: str | None = None) -> tuple[Column, Column]:
-    """(fields, decoder's name) of the first decoder that yields fields; unknown names and a regex without pattern are passed over."""
-    tried = [(n, groups(text, pattern) if n == "regex" else DECODERS[n](text)) for n in names if n in DECODERS or (n == "regex" and pattern)]
-    filled = [(n, let(d, lambda m: F.when(F.size(m) > 0, m))) for n, d in tried]
-    if not filled:
-        return F.lit(None).cast(STRINGS), F.lit(None).cast("string")
-    return F.coalesce(*[d for _, d in filled]), F.coalesce(*[F.when(d.isNotNull(), F.lit(n)) for n, d in filled])

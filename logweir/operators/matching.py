@@ -128,18 +128,5 @@ def review_queue(inferred: DataFrame, events: DataFrame, id_column: str = "event
     )
 
 
-def decided(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The queue under decisions (review_id, status, at): the latest one counts."""
-    last = decisions.groupBy("review_id").agg(F.max_by("status", "at").alias("_status"))
-    return queue.join(last, "review_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
-
-
 def pending(queue: DataFrame) -> DataFrame:
     return queue.where(F.col("status") == "PENDING")
-
-
-def overlay(queue: DataFrame) -> DataFrame:
-    """Approved mappings (key -> target_field), to be joined before the next batch is normalised."""
-    return queue.where(F.col("status") == "APPROVED").groupBy(F.col("source_key").alias("key")).agg(F.max_by("suggested_target", F.struct("created_at", "review_id")).alias("target_field"))
-
-

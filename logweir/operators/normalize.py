@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,72 @@ EXTENSION = {"src_ip": ["src", "srcip", "saddr", "src_ip"], "dst_ip": ["dst", "d
 UNPARSED = ["unparsed_salvage"]
 
 
+#: Members of an event that are objects, and theirs.
+OBJECTS: dict[str, dict] = {
+    "actor": {"user": {"name": None}}, "connection_info": {"protocol_name": None, "protocol_num": None}, "device": {"hostname": None}, "dst_endpoint": {"ip": None, "port": None},
+    "file": {"hashes": {"sha256": None}, "name": None}, "http_request": {"http_method": None, "url": None},
+    "metadata": {"event_code": None, "labels": None, "original_time": None, "product": {"name": None, "vendor_name": None, "version": None}, "profiles": None, "version": None},
+    "network_endpoint": {"mac": None}, "process": {"pid": None}, "src_endpoint": {"ip": None, "port": None},
+}
+#: Members that are none.
+PLAIN = ("activity_name", "category_uid", "class_uid", "disposition_id", "message", "raw_data", "severity", "severity_id", "status_id", "time", "unmapped", "event_id", "sequence", "prev_hash", "fingerprint")
+
+
+def further(packs: Sequence[Pack]) -> list[str]:
+    """Paths that packs map to beyond the built-in ones. A path through a member that is no object, or to one that is, stays unmapped; of
+    two paths of which one leads through the other, the shorter one counts."""
+    out: list[str] = []
+    for target in sorted({t for p in packs for t in p.mappings.values()}):
+        parts = target.split(".")
+        if not all(re.fullmatch(r"[A-Za-z]\w*", x) for x in parts) or parts[0] in PLAIN:
+            continue
+        at: dict | None = OBJECTS
+        for x in parts:
+            at = at.get(x, {}) if at is not None else None  # {}: new from here on
+            if at is None:
+                break
+        known = at is None or at != {}
+        if not known and not any(target.startswith(f"{o}.") for o in out):
+            out.append(target)
+    return out
+
+
+def grafted(members: dict[str, Column], paths: Sequence[str], value: Callable[[str], Column], replaced: dict[str, Column]) -> dict[str, Column]:
+    """The members of an event with further paths set, in objects that are there or in new ones; members stay in alphabetical order.
+
+    value gives a path's text. Where `replaced` holds, the line's own keys have replaced the member's object, and nothing is set in it.
+    """
+    tree: dict = {}
+    for p in paths:
+        *inner, last = p.split(".")
+        at = tree
+        for x in inner:
+            at = at.setdefault(x, {})
+        at[last] = p
+
+    def object_of(base: Column | None, known: dict, new: dict, keep: Column | None) -> tuple[Column, Column]:
+        """(the object with its new members, whether any of these is set)."""
+        fields, there = {k: base[k] for k in known} if base is not None else {}, F.lit(False)
+        for k, below in new.items():
+            if isinstance(below, dict):
+                fields[k], some = object_of(fields.get(k), known.get(k) or {}, below, keep)
+            else:
+                fields[k] = value(below) if keep is None else F.when(keep, value(below))
+                some = fields[k].isNotNull()
+            there = there | some
+        made = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+        return F.when(there | base.isNotNull() if base is not None else there, made), there
+
+    out = dict(members)
+    for top, new in tree.items():
+        new = new if isinstance(new, dict) else None
+        if new is None:
+            out[top] = value(top)
+        else:
+            out[top] = object_of(members.get(top), OBJECTS.get(top, {}), new, ~replaced[top] if top in replaced else None)[0]
+    return out
+
+
 def empty_map() -> Column:
     return F.create_map().cast(decoders.STRINGS)
 
@@ -94,7 +161,8 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     )
     labels = by_pack(claimed, packs, lambda p: F.array(*map(F.lit, p.labels)).cast("array<string>"), F.array(*map(F.lit, UNPARSED)))
     mapped_time = m("time").try_cast("long")
-    placed = ["src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpoint.port", "actor.user.name", "device.hostname", "activity_name", "severity_id", "severity", "http_request.url", "http_request.http_method", "file.name", "file.hashes.sha256", "network_endpoint.mac", "message", "status_id", "connection_info.protocol_name", "connection_info.protocol_num", "metadata.product.name", "metadata.product.vendor_name", "metadata.product.version", "metadata.event_code", "process.pid"]
+    extra = further(packs)
+    placed = [*extra, "src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpoint.port", "actor.user.name", "device.hostname", "activity_name", "severity_id", "severity", "http_request.url", "http_request.http_method", "file.name", "file.hashes.sha256", "network_endpoint.mac", "message", "status_id", "connection_info.protocol_name", "connection_info.protocol_num", "metadata.product.name", "metadata.product.vendor_name", "metadata.product.version", "metadata.event_code", "process.pid"]
     # mappings to paths without a column, and times that aren't numbers, aren't lost
     over = F.map_filter(F.col("_mapped"), lambda k, v: ~k.isin(placed) & ~((k == "time") & v.try_cast("long").isNotNull()))
     extras = F.map_from_arrays(F.array(F.lit("raw_locator"), F.lit("raw_sha256")), F.array(F.col("locator"), F.col("raw_sha256")))
@@ -102,29 +170,32 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     rest = F.map_filter(F.col("_rest"), lambda k, v: ~F.array_contains(taken, k) & ~F.map_contains_key(F.map_filter(F.col("_mapped"), lambda a, b: ~a.isin(placed)), k))
     unmapped = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, over, extras))))
     mapped_severity, mapped_status = m("severity_id"), m("status_id")
-    event = F.struct(
-        F.coalesce(action, m("activity_name")).alias("activity_name"),
-        when_not_null(F.struct(F.struct(user.alias("name")).alias("user")), user).alias("actor"),
-        F.when(network, 4).otherwise(category).cast("int").alias("category_uid"),
-        F.when(network, CLASS_NETWORK).otherwise(class_uid).cast("int").alias("class_uid"),
-        when_not_null(F.struct(protocol.alias("protocol_name"), protocol_num.alias("protocol_num")), protocol, protocol_num).alias("connection_info"),
-        when_not_null(F.struct(host.alias("hostname")), host).alias("device"),
-        disposition_id(action).alias("disposition_id"),
-        dst.alias("dst_endpoint"),
-        when_not_null(F.struct(F.struct(m("file.hashes.sha256").alias("sha256")).alias("hashes"), m("file.name").alias("name")), m("file.name"), m("file.hashes.sha256")).alias("file"),
-        when_not_null(F.struct(m("http_request.http_method").alias("http_method"), m("http_request.url").alias("url")), m("http_request.http_method"), m("http_request.url")).alias("http_request"),
-        F.coalesce(f("message"), m("message")).alias("message"),
-        F.struct(m("metadata.event_code").alias("event_code"), labels.alias("labels"), time_text.alias("original_time"), product.alias("product"), F.array(F.lit("host"), F.lit("security_control")).alias("profiles"), F.lit(SCHEMA_VERSION).alias("version")).alias("metadata"),
-        when_not_null(F.struct(m("network_endpoint.mac").alias("mac")), m("network_endpoint.mac")).alias("network_endpoint"),
-        when_not_null(F.struct(m("process.pid").alias("pid")), m("process.pid")).alias("process"),
-        F.col("raw_text").alias("raw_data"),
-        m("severity").alias("severity"),
-        F.coalesce(severity_id(f("severity")), mapped_severity.try_cast("int"), severity_id(mapped_severity)).alias("severity_id"),
-        src.alias("src_endpoint"),
-        F.coalesce(status_id(f("status")), mapped_status.try_cast("int"), status_id(mapped_status)).alias("status_id"),
-        F.coalesce(mapped_time, now).alias("time"),
-        unmapped.alias("unmapped"),
-    )
+    members = {
+        "activity_name": F.coalesce(action, m("activity_name")),
+        "actor": when_not_null(F.struct(F.struct(user.alias("name")).alias("user")), user),
+        "category_uid": F.when(network, 4).otherwise(category).cast("int"),
+        "class_uid": F.when(network, CLASS_NETWORK).otherwise(class_uid).cast("int"),
+        "connection_info": when_not_null(F.struct(protocol.alias("protocol_name"), protocol_num.alias("protocol_num")), protocol, protocol_num),
+        "device": when_not_null(F.struct(host.alias("hostname")), host),
+        "disposition_id": disposition_id(action),
+        "dst_endpoint": dst,
+        "file": when_not_null(F.struct(F.struct(m("file.hashes.sha256").alias("sha256")).alias("hashes"), m("file.name").alias("name")), m("file.name"), m("file.hashes.sha256")),
+        "http_request": when_not_null(F.struct(m("http_request.http_method").alias("http_method"), m("http_request.url").alias("url")), m("http_request.http_method"), m("http_request.url")),
+        "message": F.coalesce(f("message"), m("message")),
+        "metadata": F.struct(m("metadata.event_code").alias("event_code"), labels.alias("labels"), time_text.alias("original_time"), product.alias("product"), F.array(F.lit("host"), F.lit("security_control")).alias("profiles"), F.lit(SCHEMA_VERSION).alias("version")),
+        "network_endpoint": when_not_null(F.struct(m("network_endpoint.mac").alias("mac")), m("network_endpoint.mac")),
+        "process": when_not_null(F.struct(m("process.pid").alias("pid")), m("process.pid")),
+        "raw_data": F.col("raw_text"),
+        "severity": m("severity"),
+        "severity_id": F.coalesce(severity_id(f("severity")), mapped_severity.try_cast("int"), severity_id(mapped_severity)),
+        "src_endpoint": src,
+        "status_id": F.coalesce(status_id(f("status")), mapped_status.try_cast("int"), status_id(mapped_status)),
+        "time": F.coalesce(mapped_time, now),
+        "unmapped": unmapped,
+    }
+    replaced = {"src_endpoint": own_src, "dst_endpoint": own_dst, "actor": f("user").isNotNull(), "device": f("hostname").isNotNull()}
+    members = grafted(members, extra, m, replaced)
+    event = F.struct(*[members[k].alias(k) for k in sorted(members)])
     return df.withColumn("event", event).drop("_fields", "_to", "_mapped", "_free", "_rest", "_ext")
 
 

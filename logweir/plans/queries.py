@@ -5,6 +5,7 @@ The driver's tables hold no logs: lines are rendered from their columns and deco
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -250,6 +251,70 @@ def _(spark, sf_dir):
     return normalized(spark, sf_dir).select("event_id", e["activity_name"].alias("activity_name"), e["disposition_id"].alias("disposition_id"), e["src_endpoint"]["ip"].alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), e["dst_endpoint"]["ip"].alias("dst_ip"), e["actor"]["user"]["name"].alias("user_name"), e["device"]["hostname"].alias("hostname"), e["metadata"]["product"]["vendor_name"].alias("vendor"), normalize.valid(e).alias("valid"))
 
 
+#: a source whose mappings name paths that no built-in one has: new objects, and members of known ones
+MAPPED = {"srcip": "src_endpoint.ip", "srcport": "src_endpoint.port", "dstip": "traffic.peer.ip", "dstport": "traffic.peer.port", "action": "traffic.verdict", "devname": "device.zone.name", "type": "kind"}
+
+
+@query("prj4_paths", f"""SELECT event_id, {SRC} AS src_ip, CAST({SPORT} AS INT) AS src_port, {DST} AS peer_ip, {DPORT} AS peer_port, event_type AS verdict, 'fw ' || CAST(user_id % 5 AS VARCHAR) AS zone, 'traffic' AS kind, CAST(NULL AS VARCHAR) AS hostname, '6' AS unmapped_proto FROM events WHERE event_id % 6 = 3""")
+def _(spark, sf_dir):
+    own = [dataclasses.replace(p, mappings=MAPPED) if p.id == "fortinet_fortios" else p for p in sources.BUILT_IN]
+    rows = normalize.normalize(extracted(spark, sf_dir), own).where(F.col("pack") == "fortinet_fortios")
+    return rows.select("event_id", *[F.col(f"event.{path}").alias(name) for path, name in (("src_endpoint.ip", "src_ip"), ("src_endpoint.port", "src_port"), ("traffic.peer.ip", "peer_ip"), ("traffic.peer.port", "peer_port"), ("traffic.verdict", "verdict"), ("device.zone.name", "zone"), ("kind", "kind"), ("device.hostname", "hostname"))], F.try_element_at("event.unmapped", F.lit("proto")).alias("unmapped_proto"))
+
+
+@query("inf9_vendor_hint", """SELECT event_id, 'custom.' || CASE WHEN user_id % 2 = 0 THEN 'acme' ELSE 'unknown' END || '.zzqx' AS target, CASE WHEN user_id % 2 = 0 THEN 'Acme' ELSE 'Generic' END AS vendor FROM events""")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.expr("'zzqx=w' || CAST(user_id AS STRING) || ' vvwk=' || event_type").alias("raw_text"), F.when(F.col("user_id") % 2 == 0, "Acme").alias("vendor_hint"))
+    rows = written(rows, "hinted")
+    guessed = matching.infer(rows).select("event_id", "mappings")
+    lines_ = rows.join(guessed, "event_id").withColumns({"claimed": F.lit(None).cast("string"), "pack": F.lit(detect.SALVAGE), "decoder": F.lit(detect.SALVAGE), "fields": matching.candidates(F.col("raw_text")), "locator": F.lit(""), "raw_sha256": F.lit("")})
+    return normalize.normalize(lines_).select("event_id", F.try_element_at("mappings", F.lit("zzqx")).alias("target"), F.col("event.metadata.product.vendor_name").alias("vendor"))
+
+
+@query("agg6_accuracy", f"""WITH k AS (SELECT unnest([{{'key': 'src_ip', 'value': {SRC}, 'c': 1.0}}, {{'key': 'dport', 'value': {DPORT}, 'c': 1.0}}, {{'key': 'username', 'value': {USER}, 'c': 0.94}}, {{'key': 'log-level', 'value': event_type, 'c': 0.94}}], recursive := true) FROM events), d AS (SELECT DISTINCT * FROM k)
+SELECT count(*) AS keys, CAST(1 AS DOUBLE) AS top1, CAST(1 AS DOUBLE) AS top3, CAST(round(avg(c), 6) AS DOUBLE) AS mean_confidence, CAST(1 AS DOUBLE) AS auto, CAST(0 AS DOUBLE) AS review, CAST(0 AS DOUBLE) AS custom FROM d""")
+def _(spark, sf_dir):
+    told = {"src_ip": (F.expr(SRC), "src_endpoint.ip"), "dport": (F.expr(DPORT), "dst_endpoint.port"), "username": (F.expr(USER), "actor.user.name"), "log-level": (F.col("event_type"), "severity_id")}
+    pairs = events(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.array(v).alias("samples"), F.lit(t).alias("expected")) for k, (v, t) in told.items()])).alias("p")).select("p.*").distinct()
+    matched = matching.match(pairs.select("key", "samples", F.lit(None).cast("string").alias("vendor")))
+    return features.accuracy(matched.join(pairs, ["key", "samples"])).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@query("att12_roots", r"""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, sha256(CAST(event_id AS VARCHAR)) AS fp FROM events),
+l(blk, level, pos, hash) AS (SELECT i // 1000, 0, i % 1000, sha256('\x00'::BLOB || encode(fp)) FROM n
+  UNION ALL SELECT blk, level + 1, pos // 2, sha256('\x01'::BLOB || unhex(arg_min(hash, pos)) || unhex(arg_max(hash, pos))) FROM (SELECT *, count(*) OVER (PARTITION BY blk) AS c FROM l) WHERE c > 1 GROUP BY blk, level, pos // 2)
+SELECT max(i) + 1 AS checkpoint_seq, count(*) AS events, arg_max(fp, i) AS chain_head, any_value(r.root) AS merkle_root FROM n JOIN (SELECT blk, arg_max(hash, level) AS root FROM l GROUP BY blk) r ON r.blk = i // 1000 GROUP BY i // 1000""")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"))
+    return merkle.block_roots(chain.sequenced(rows, "event_id", parts=16)).select("checkpoint_seq", "events", "chain_head", "merkle_root")
+
+
+@query("agg1_sketches", """SELECT count(*) AS events, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, true AS users_within, true AS ids_within FROM events""")
+def _(spark, sf_dir):
+    """Estimates of distinct values from sketches of days stay within four standard errors of the exact numbers."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+    days = written(features.daily(rows, "timestamp", "user_id", "event_id"), "days")
+    exact = rows.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_id").alias("ids"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 4 * 1.04 / 128
+    told = features.merged(days, "user_id", "event_id").crossJoin(days.agg(F.count("*").alias("days"))).crossJoin(exact)  # one row each
+    return told.select("events", "first_ms", "last_ms", "days", near("user_id", "users").alias("users_within"), near("event_id", "ids").alias("ids_within"))
+
+
+@query("agg7_lossless", f"SELECT {PACK} AS pack, count(*) AS records, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes, count(*) AS matching, true AS lossless FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    placed = written(detect.route(vault.place(records(spark, sf_dir), block_bytes=1 << 16)), "placed")
+    back = vault.read(placed.select("locator", "claimed", "raw_bytes", "raw_sha256"), written(vault.blocks(placed), "blocks"))
+    tallied = back.withColumns({"same": F.col("intact") & (F.sha2("raw", 256) == F.col("raw_sha256")), "pack": F.coalesce("claimed", F.lit(detect.SALVAGE))})
+    return features.lossless(tallied, "pack")
+
+
+@query("vlt6_random_read", f"SELECT event_id, {LINE} AS said, true AS intact FROM events WHERE event_type = 'error'")
+def _(spark, sf_dir):
+    placed = written(vault.place(records(spark, sf_dir), block_bytes=1 << 16), "placed")
+    wanted = placed.join(events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("line_no")), "line_no").select("line_no", "locator")
+    return vault.read(wanted, written(vault.blocks(placed), "blocks")).select(F.col("line_no").alias("event_id"), F.col("raw").cast("string").alias("said"), "intact")
+
+
 @query("nrm67_lookups", """SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 ELSE 1 END AS INT) AS severity_id,
   CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS INT) AS disposition_id, CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS INT) AS status_id FROM orders""")
 def _(spark, sf_dir):

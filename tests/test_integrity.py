@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from logweir.client import Client, aliased
 from logweir.operators import chain, features, keys, lake, merkle, vault
 from logweir.plans import pipeline
-from logweir.sources import lines
+from logweir.sources import lines, packs
 from logweir.sources.tables import written
 from logweir.streaming import ingest, sources
 
@@ -56,6 +57,34 @@ def test_inference_and_review(client):
     assert client.review_queue().where("source_key = 'the_username_x'").isEmpty() and client.lake.latest("review_queue").where("status = 'APPROVED'").count() == 1
 
 
+def test_lineage_of_events_without_a_record(spark, client, tmp_path):
+    into = lake.Lake(spark, str(tmp_path / "rows"))
+    into.write(client.logs(), "parsed_logs", upsert=False)
+    other, one = Client(spark, into.path), client.logs().where("sequence = 3").select("event_id")
+    short = json.loads(other.lineage(one).first()["lineage_json"])
+    assert set(short) == {"event_id", "stage_1_raw", "stage_5_normalization", "stage_6_attestation"}
+    into.write(client.lake.latest("lineage_log").where("event_id <> '" + one.first()["event_id"] + "'"), "lineage_log", upsert=False)
+    assert json.loads(other.lineage(one).first()["lineage_json"]) == short and other.lineage().count() == len(LINES)
+
+
+def test_results_come_in_pieces_made_by_tasks(client):
+    pieces = list(client.batches(client.query(select="sequence, src_ip"), 10))
+    assert all(0 < p.num_rows <= 10 for p in pieces) and [x for p in pieces for x in p["sequence"].to_pylist()] == list(range(1, len(LINES) + 1))
+    assert list(client.batches(client.query("sequence < 0"))) == []
+
+
+def test_mapped_paths_become_members(spark, tmp_path):
+    (tmp_path / "own.yaml").write_text("detection: {prefixes: ['x:']}\ndecoders: [keyvalue]\nmappings: {a: tls.version, b: src_endpoint.zone, c: tls.cipher.name, d: message.x, e: device.hostname.y, f: tls.cipher}\n")
+    (tmp_path / "two.yaml").write_text("detection: {prefixes: ['y:']}\ndecoders: [keyvalue]\nmappings: {src_ip: src_endpoint.ip}\n")
+    own = packs.from_folder(str(tmp_path))
+    rows = pipeline.process(lines.records(spark, ["x: a=1.3 b=dmz c=aes d=4 e=5 f=6", "x: b=dmz src_ip=10.0.0.1", "y: src_ip=10.0.0.2 k=v"]), own, inference=False).events.orderBy("line_no").select("event").collect()
+    one, two, three = [r["event"] for r in rows]
+    assert one["tls"].asDict() == {"cipher": "6", "version": "1.3"} and one["src_endpoint"].asDict() == {"ip": None, "port": None, "zone": "dmz"}
+    assert {k: one["unmapped"][k] for k in ("tls.cipher.name", "message.x", "device.hostname.y")} == {"tls.cipher.name": "aes", "message.x": "4", "device.hostname.y": "5"}
+    assert two["src_endpoint"].asDict() == {"ip": "10.0.0.1", "port": None, "zone": None} and two["tls"] is None  # the line's own keys replace the object
+    assert three["src_endpoint"].asDict() == {"ip": "10.0.0.2", "port": None, "zone": None} and three["unmapped"]["k"] == "v"
+
+
 def brute_root(fingerprints):
     row = [hashlib.sha256(b"\0" + f.encode()).digest() for f in fingerprints]
     while len(row) > 1:

@@ -114,6 +114,26 @@ def test_datagrams_outlive_a_reader_that_dies_before_the_commit(tmp_path, monkey
     again.stop()
 
 
+def test_records_are_forwarded(spark, tmp_path):
+    sources.register(spark)
+    port = free_port()
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as taker:
+        taker.bind(("127.0.0.1", port))
+        taker.settimeout(10)
+        spark.createDataFrame([("one",), ("two",)], "t string").write.format("udp").mode("append").option("port", port).save()
+        assert sorted(taker.recv(100) for _ in range(2)) == [b"one", b"two"]
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [(1_000 * i, f"10.0.0.{i % 2}", "Failed" if i % 3 == 0 else "Accepted") for i in range(600)]
+    spark.createDataFrame(rows, "timestamp long, src_ip string, activity_name string").write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema("timestamp long, src_ip string, activity_name string").parquet(str(tmp_path / "rows"))
+    query = ingest.windowed(stream, "5 minutes").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["start"].minute, r["src_ip"]): (r["events"], r["failed"]) for r in spark.table("windowed").collect()}
+    assert got == {(m, f"10.0.0.{k}"): (150, 50) for m in (0, 5) for k in (0, 1)}
+
+
 def test_a_collector_writes_a_lake(spark, tmp_path):
     sources.register(spark)
     port, into = free_port(), str(tmp_path / "lake")
