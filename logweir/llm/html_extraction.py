@@ -5,7 +5,8 @@ is kept as a fingerprint (XOR of mixed page hash and count), which partial aggre
 group. Tokens with equal vectors form an equivalence class; a container is valid if its opening and closing tags share a class, and it
 is in the host's template if all containers around it are valid too. Slots are then named: menus, adverts, footers and the like go if
 their tags pair on the page, articles stay. A container around an article doesn't drop it unless other articles of the page have fewer
-such containers around them (comments are often articles); nor do body and a form that frames the page's parts. Outside of articles a
+such containers around them (comments are often articles); nor do body and a form that frames the page's parts or all of its paragraphs.
+Names of classes count whole, by their last part that says something. Outside of articles a
 block of text is template text if it is there on the very pages that have its container, that container is in the template, and other
 blocks of the page are not: a page never loses all of its text that way. So the tags' meaning decides on pages with an article, and the
 classes decide on the others; hosts with few pages have no classes.
@@ -14,7 +15,8 @@ Vectors run over a host's distinct pages: copies of a page count once, whatever
 
 Defined cases: null html is empty and gives the empty text; pages with a null or unparsable url share no host, so nothing is deduced
 for them; repeated rows are extracted alike; an empty table gives an empty table; further columns are ignored. Text outside of tags counts; entities are decoded after
-tags are found; comments, scripts and styles never count, also when they are not closed.
+tags are found; comments, scripts and styles never count, also when they are not closed; other raw elements that are not closed hold
+nothing. A page's steps are held at once, about ten times its length, so a task needs that much for its longest page.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ from .common import BROADCAST_BYTES, sized_broadcast, small_batches, written
 # fixed values: the meaning of tags and of words in class, id and role attributes
 CONTAINERS = set("html head body nav header footer aside article main section div form ul ol menu dialog table figure noscript".split())
 RAW = set("script style textarea title iframe xmp noembed noframes svg math template object select button".split())
+#: Raw elements that end with the page if they aren't closed, and those that may close themselves.
+LITERAL, FOREIGN = set("script style textarea title iframe xmp noembed noframes".split()), {"svg", "math"}
+#: Last parts of compound names that say nothing themselves: the part before them counts.
+NEUTRAL = set("area bar body block box button buttons container content inner item items left link links list outer panel right section slot text top unit wrap wrapper".split())
 BOILER_TAGS = set("head nav footer aside form menu dialog noscript".split())
 BOILER_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN_TAGS = {"article", "main"}
@@ -44,6 +50,7 @@ PARTS = MAIN_TAGS | set("nav header footer aside".split())
 MAIN_WORDS = set("article content entry main post story".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+PARAGRAPH = re.compile(r"<form\b.*?<p[\s>]", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 MASK = (1 << 64) - 1
 #: A container is in the template if this share of its host's distinct pages, and so many of them at least, has it.
@@ -61,8 +68,18 @@ def mixed(a: int, b: int) -> int:
 
 def label(name: str, attributes: str) -> str:
     """A container's token: its tag with the words of class, id and role."""
-    words = sorted({w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}) if attributes else []
-    return ".".join([name, *words])
+    if not attributes:
+        return name
+    names = {"-".join(re.findall("[a-z]+", w)) for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+    return ".".join([name, *sorted(names - {""})])
+
+
+def meant(name: str) -> str:
+    """What a name of a class, id or role is about: its last part that says something ("site-footer", "comment-list", "social-science")."""
+    parts = name.split("-")
+    while len(parts) > 1 and parts[-1] in NEUTRAL:
+        parts.pop()
+    return parts[-1]
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -81,9 +98,11 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         if m[1] or m[4]:
             yield "close", name, ""
+        elif name in FOREIGN and (m[3] or m[6] or "").endswith("/"):
+            continue
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if name in LITERAL else at  # others that aren't closed hold nothing
         else:
             yield "open", name, m[3] or m[6] or ""
 
@@ -138,7 +157,7 @@ def tag(token: str) -> str:
 
 def named(token: str, tags: set[str], words: set[str]) -> bool:
     name, *rest = token.split(".")
-    return name in tags or not words.isdisjoint(rest)
+    return name in tags or not words.isdisjoint(map(meant, rest))
 
 
 class Page:
@@ -152,8 +171,20 @@ class Page:
                 self.opened[path] += 1
             elif kind == "close":
                 self.closed[path] += 1
+        self.forms = {p for p in self.opened if tag(p[-1]) == "form"}
         self.frames = {p[: i + 1] for p in self.opened if tag(p[-1]) in PARTS for i, t in enumerate(p[:-1]) if tag(t) == "form"}
 
+    def found(self, template: dict[tuple[str, ...], bool]) -> list[tuple[str, int, tuple[str, ...], str]]:
+        """(kind, boilerplate containers around, path, text) of the blocks that no boilerplate holds."""
+        places: dict[tuple[str, ...], tuple[str, int]] = {}
+        out = []
+        for path, text in blocks(self.steps):
+            if path not in places:
+                places[path] = self.place(path, template)
+            if places[path][0] != "dropped":
+                out.append((*places[path], path, text))
+        return out
+
     def place(self, path: tuple[str, ...], template: dict[tuple[str, ...], bool]) -> tuple[str, int]:
         """("article" | "named" | "other" | "dropped", boilerplate containers around the article)."""
         article = main = next((i for i, t in enumerate(path) if named(t, MAIN_TAGS, set())), -1)
@@ -176,13 +207,10 @@ class Page:
 def content(page: str, template: dict[tuple[str, ...], bool], repeated: set[int]) -> list[str]:
     """Blocks of the main text. template: lasting containers of the host (path -> in valid classes that nest)."""
     own = Page(page)
-    places: dict[tuple[str, ...], tuple[str, int]] = {}
-    found = []
-    for path, text in blocks(own.steps):
-        if path not in places:
-            places[path] = own.place(path, template)
-        if places[path][0] != "dropped":
-            found.append((*places[path], path, text))
+    found = own.found(template)
+    if not found and own.forms and PARAGRAPH.search(page):  # all paragraphs of the page are in a form: it frames them
+        own.frames |= own.forms
+        found = own.found(template)
     least = min((around for kind, around, _, _ in found if kind == "article"), default=0)
     kept = [(kind, text) for kind, around, _, text in found if kind == "named" or kind == "article" and around == least]
     if kept and not least:
