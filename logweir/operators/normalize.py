@@ -118,11 +118,10 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     hinted = F.coalesce(F.nullif(F.col("vendor_hint"), F.lit("")), F.lit("Generic")) if "vendor_hint" in df.columns else F.lit("Generic")
     texts = lambda value, default: by_pack(claimed, packs, lambda p: F.lit(value(p)), F.lit(default))
     maps = by_pack(claimed, packs, lambda p: F.create_map(*[F.lit(x) for pair in p.mappings.items() for x in pair]) if p.mappings else empty_map(), empty_map())
-    inferred = F.coalesce(F.col("mappings"), empty_map()) if "mappings" in df.columns else empty_map()
-    df = df.withColumns({
-        "_fields": F.coalesce(F.col("fields"), empty_map()),
-        "_to": F.map_concat(F.map_filter(maps, lambda k, v: ~F.map_contains_key(inferred, k)), inferred),
-    })
+    if "mappings" in df.columns:
+        inferred = F.coalesce(F.col("mappings"), empty_map())
+        maps = F.when(F.size(inferred) > 0, F.map_concat(F.map_filter(maps, lambda k, v: ~F.map_contains_key(inferred, k)), inferred)).otherwise(maps)
+    df = df.withColumns({"_fields": F.coalesce(F.col("fields"), empty_map()), "_to": maps})
     fields, to = F.col("_fields"), F.col("_to")
     known = [k for keys in FAMILIES.values() for k in keys]
     mapped = F.map_filter(fields, lambda k, v: F.map_contains_key(to, k))
@@ -164,10 +163,11 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     extra = further(packs)
     placed = [*extra, "src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpoint.port", "actor.user.name", "device.hostname", "activity_name", "severity_id", "severity", "http_request.url", "http_request.http_method", "file.name", "file.hashes.sha256", "network_endpoint.mac", "message", "status_id", "connection_info.protocol_name", "connection_info.protocol_num", "metadata.product.name", "metadata.product.vendor_name", "metadata.product.version", "metadata.event_code", "process.pid"]
     # mappings to paths without a column, and times that aren't numbers, aren't lost
-    over = F.map_filter(F.col("_mapped"), lambda k, v: ~k.isin(placed) & ~((k == "time") & v.try_cast("long").isNotNull()))
+    df = df.withColumn("_unplaced", F.map_filter("_mapped", lambda k, v: ~k.isin(placed)))
+    over = F.map_filter("_unplaced", lambda k, v: ~((k == "time") & v.try_cast("long").isNotNull()))
     extras = F.map_from_arrays(F.array(F.lit("raw_locator"), F.lit("raw_sha256")), F.array(F.col("locator"), F.col("raw_sha256")))
     taken = F.array(F.lit("raw_locator"), F.lit("raw_sha256"))
-    rest = F.map_filter(F.col("_rest"), lambda k, v: ~F.array_contains(taken, k) & ~F.map_contains_key(F.map_filter(F.col("_mapped"), lambda a, b: ~a.isin(placed)), k))
+    rest = F.map_filter(F.col("_rest"), lambda k, v: ~F.array_contains(taken, k) & ~F.map_contains_key(F.col("_unplaced"), k))
     unmapped = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, over, extras))))
     mapped_severity, mapped_status = m("severity_id"), m("status_id")
     members = {
@@ -196,7 +196,7 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     replaced = {"src_endpoint": own_src, "dst_endpoint": own_dst, "actor": f("user").isNotNull(), "device": f("hostname").isNotNull()}
     members = grafted(members, extra, m, replaced)
     event = F.struct(*[members[k].alias(k) for k in sorted(members)])
-    return df.withColumn("event", event).drop("_fields", "_to", "_mapped", "_free", "_rest", "_ext")
+    return df.withColumn("event", event).drop("_fields", "_to", "_mapped", "_free", "_rest", "_ext", "_unplaced")
 
 
 def valid(event: Column) -> Column:
