@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,11 +45,16 @@ class Batch:
         """Makes the tables visible; fails if another writer has committed the same number."""
         entry = {"n": self.n, "batch": self.batch, "buckets": self.lake.buckets, "tables": self.tables}
         fs, at = self.lake.located(f"{self.lake.path}/_manifest/{self.n:020d}.json")
-        out = fs.create(at, False)
+        _, draft = self.lake.located(f"{self.lake.path}/_manifest/.{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         try:
             out.write(bytearray(json.dumps(entry).encode()))
         finally:
             out.close()
+        # readers see whole entries only: a draft gets its name when it is complete
+        if fs.exists(at) or not fs.rename(draft, at):
+            fs.delete(draft, False)
+            raise FileExistsError(f"commit {self.n} exists already")
         return self.n
 
 
@@ -67,6 +73,7 @@ class Lake:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         """buckets: of a new lake; one that exists keeps its own."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.entries: dict[str, dict] = {}  # entries never change
         known = self.manifest()
         self.buckets = known[0]["buckets"] if known else buckets
 
@@ -80,16 +87,16 @@ class Lake:
         if not fs.exists(at):
             return []
         read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
-        out = []
-        for f in sorted(fs.listStatus(at), key=lambda f: f.getPath().getName()):
-            if not f.getPath().getName().endswith(".json"):
+        for f in fs.listStatus(at):
+            name = f.getPath().getName()
+            if name in self.entries or not name.endswith(".json"):
                 continue
             stream = fs.open(f.getPath())
             try:
-                out.append(json.loads(read.toString(stream, "UTF-8")))
+                self.entries[name] = json.loads(read.toString(stream, "UTF-8"))
             finally:
                 stream.close()
-        return out
+        return [self.entries[name] for name in sorted(self.entries)]
 
     def last(self) -> int:
         return max((e["n"] for e in self.manifest()), default=0)

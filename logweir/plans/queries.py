@@ -141,9 +141,12 @@ def _(spark, sf_dir):
     return extracted(spark, sf_dir).groupBy("pack", "decoder").agg(F.count("*").alias("n"))
 
 
-@query("src9_packs")
+@query("src9_packs", f"""SELECT CAST(place AS INT) AS place, p.pack, vendor, CAST(class_uid AS INT) AS class_uid, CAST(mappings AS INT) AS mappings, coalesce(n, 0) AS claimed FROM (VALUES {", ".join(f"({i}, '{p.id}', '{p.vendor}', {p.class_uid}, {len(p.mappings)})" for i, p in enumerate(sources.BUILT_IN))}) p(place, pack, vendor, class_uid, mappings)
+  LEFT JOIN (SELECT {PACK} AS pack, count(*) AS n FROM events GROUP BY 1) c ON c.pack = p.pack""")
 def _(spark, sf_dir):
-    return sources.listing(spark).select("place", "pack", "vendor", "class_uid", "mappings")
+    """The built-in sources and how many of the events' lines each claims."""
+    claimed = detect.route(records(spark, sf_dir)).groupBy(F.col("claimed").alias("pack")).agg(F.count("*").alias("claimed"))
+    return sources.listing(spark).join(claimed, "pack", "left").na.fill(0, ["claimed"]).select("place", "pack", "vendor", "class_uid", "mappings", "claimed")
 
 
 @query("src7_records", f"SELECT event_id AS line_no, {LINE} AS raw_text, CAST(strlen({LINE}) AS INT) AS n_bytes FROM events")
