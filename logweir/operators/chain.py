@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import digest, without
-from ..sources.tables import written
+from .order import before, dealt, number
 
 #: What the first link follows.
 GENESIS = "0" * 64
@@ -26,16 +26,10 @@ MEMBER, SEAL = "prev_hash", "fingerprint"
 RANGE = 1 << 13
 
 
-def sequenced(df: DataFrame, *order: str, start: int = 1, parts: int = 64) -> DataFrame:
-    """Adds sequence: consecutive numbers by `order`, without a single-task sort.
-
-    Rows are dealt by range, counted per range, and ranked within their range; a range's first number is the running sum of counts. The
-    ranges are written first, as another sampling would deal them differently.
-    """
-    ranged = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", (F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start - 1).alias("_first"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return ranked.join(F.broadcast(counts), "_range").withColumn("sequence", (F.col("_first") + F.col("_rank")).cast("long")).drop("_range", "_first", "_rank")
+def sequenced(df: DataFrame, *order: str, start: int = 1, parts: int | None = None) -> DataFrame:
+    """Adds sequence: consecutive numbers by `order`, without a single-task sort: places within ranges after the counts of earlier ones."""
+    ranged = dealt(df, *order, parts=parts)
+    return ranged.join(F.broadcast(before(ranged, _rows=F.lit(1))), "_range").withColumn("sequence", number(F.col("_rows"), start)).drop("_range", "_at", "_rows")
 
 
 def parts(event: Column, members: list[str], more: Mapping[str, Column]) -> list[Column]:
@@ -157,8 +151,7 @@ def checked(df: DataFrame, chain: str | None = None, size: int = RANGE, start: i
     # the row's own hash needs no order: it is computed before the window's exchange, which then carries keys only
     slim = df.select(*keys, "sequence", MEMBER, SEAL, (recomputed(F.col("event_json"), F.col(SEAL), F.col(MEMBER)) == F.col(SEAL)).alias("_same"))
     slim = slim.withColumns({"_name": name, "_range": range_of(F.col("sequence"), size)})
-    before = F.lag(F.coalesce(SEAL, F.lit(""))).over(Window.partitionBy("_name", "_range").orderBy("sequence"))
-    rows = slim.withColumn("_before", before)
+    rows = slim.withColumn("_before", F.lag(F.coalesce(SEAL, F.lit(""))).over(Window.partitionBy("_name", "_range").orderBy("sequence")))
     known = F.lit(True) if start is None else F.col("_range") * size + 1 >= start
     expected = F.coalesce("_before", F.when(known, anchor(F.col("_name"), F.col("_range"))))
     wrong = F.col(SEAL).isNull() | (F.col(SEAL) == "") | ~F.coalesce("_same", F.lit(False)) | (expected.isNotNull() & ~F.col(MEMBER).eqNullSafe(expected))

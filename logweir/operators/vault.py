@@ -12,11 +12,15 @@ import hmac
 import json
 import os
 import zlib
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .order import before, dealt, number
+
 SCHEME = "weir"
 BLOCK_BYTES, SEGMENT_BYTES, LEVEL = 1 << 20, 64 << 20, 3
 # fixed values: flags of a block
@@ -72,21 +76,27 @@ def parse_locator(text: Column) -> Column:
     return F.when(good, F.struct(seg.cast("int").alias("seg"), block.cast("int").alias("block"), off.alias("off"), length.cast("int").alias("len")))
 
 
-def place(df: DataFrame, order: str = "line_no", source: str = "source", raw: str = "raw_bytes", first_segment: int = 0, block_bytes: int = BLOCK_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Adds seg, block, off, len, locator and raw_sha256. Running sums are kept per source and bucket of 65,536 records, then joined."""
-    rows = df.withColumn("len", F.octet_length(raw)).withColumn("_bucket", F.shiftright(F.col(order).cast("long"), 16))
-    sums = rows.groupBy(source, "_bucket").agg(F.sum("len").alias("_n"))
-    before = Window.orderBy(source, "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per 65,536 records
-    sums = sums.select(source, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(source, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def place(df: DataFrame, order: str = "line_no", source: str = "source", raw: str = "raw_bytes", first_segment: int = 0, block_bytes: int = BLOCK_BYTES, segment_bytes: int = SEGMENT_BYTES, sequence: int | None = None) -> DataFrame:
+    """Adds seg, block, off, len, locator and raw_sha256; with sequence, also a column of that name with consecutive numbers from it on.
+
+    Records are dealt by ranges of (source, order); where one begins is the sum of all lengths before it, within its range and over
+    earlier ranges. Records of a block may lie in several ranges: for the block in which a range begins, its first record is looked up.
+    """
+    ranged = dealt(df.withColumn("len", F.octet_length(raw)), source, order)
+    firsts = written(before(ranged, _first="len", _rows=F.lit(1)), "firsts")  # a row a range
+    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lambda rows: rows.join(F.broadcast(firsts), "_range").withColumn("_byte", F.col("_first") + F.coalesce(F.sum("len").over(within), F.lit(0))).withColumn("_block", F.floor(F.col("_byte") / block_bytes).cast("long"))
+    shared = firsts.select(F.floor(F.col("_first") / block_bytes).cast("long").alias("_block")).distinct()
+    opened = begins(ranged.select("_range", "_at", "len")).join(F.broadcast(shared), "_block", "left_semi").groupBy("_block").agg(F.min("_byte").alias("_open"))
     per = segment_bytes // block_bytes
-    rows = rows.withColumn("_within", F.coalesce(F.sum("len").over(within), F.lit(0))).join(sums, [source, "_bucket"]).withColumn("_at", F.col("_first") + F.col("_within"))
-    rows = rows.withColumn("_block", F.floor(F.col("_at") / block_bytes).cast("long"))
+    rows = begins(ranged).withColumn("_own", F.min("_byte").over(Window.partitionBy("_range", "_block"))).join(F.broadcast(opened), "_block", "left")
     # offsets count from the first record that starts in the block
-    start = Window.partitionBy("_block")
-    rows = rows.withColumn("off", F.col("_at") - F.min("_at").over(start))
+    rows = rows.withColumn("off", F.col("_byte") - F.coalesce("_open", "_own"))
     rows = rows.withColumn("seg", (F.lit(first_segment) + F.floor(F.col("_block") / per)).cast("int")).withColumn("block", F.pmod("_block", F.lit(per)).cast("int"))
-    return rows.withColumn("locator", locator(F.col("seg"), F.col("block"), F.col("off"), F.col("len"))).withColumn("raw_sha256", F.sha2(raw, 256)).drop("_bucket", "_within", "_first", "_at", "_block")
+    rows = rows.withColumn("locator", locator(F.col("seg"), F.col("block"), F.col("off"), F.col("len"))).withColumn("raw_sha256", F.sha2(raw, 256))
+    if sequence is not None:
+        rows = rows.withColumn("sequence", number(F.col("_rows"), sequence))
+    return rows.drop("_range", "_at", "_first", "_rows", "_byte", "_block", "_own", "_open")
 
 
 def blocks(placed: DataFrame, raw: str = "raw_bytes", key: bytes | None = None) -> DataFrame:

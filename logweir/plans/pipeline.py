@@ -33,9 +33,9 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
     of lines that no pack claims.
     """
     lines = lines if vendor_hint is None else lines.withColumn("vendor_hint", F.lit(vendor_hint))
-    placed = written(vault.place(lines, first_segment=first_segment), "placed")
+    placed = written(vault.place(lines, first_segment=first_segment, sequence=start), "placed")
     table = vault.blocks(placed, key=key)
-    rows = chain.sequenced(placed, "source", "line_no", start=start).withColumn("event_id", F.sha2("locator", 256))
+    rows = placed.withColumn("event_id", F.sha2("locator", 256))
     rows = detect.extract(detect.route(rows, packs), packs)
     review, told = None, None
     hint = ["vendor_hint"] * ("vendor_hint" in rows.columns)
