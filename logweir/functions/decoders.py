@@ -148,7 +148,11 @@ def embedded(text: Column, first: str, last: str) -> Column:
 
 def json_object(text: Column) -> Column:
     """Top-level members; nested ones stay JSON text; of equal keys the last counts."""
-    return F.from_json(embedded(text, "{", "}"), STRINGS)
+    def single(m: Column) -> Column:
+        keys = F.map_keys(m)  # from_json keeps every member
+        return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last_wins(keys, F.map_values(m))).otherwise(m)
+
+    return let(F.from_json(embedded(text, "{", "}"), STRINGS), single)
 
 
 def xml_json(text: str | None) -> str | None:

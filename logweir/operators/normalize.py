@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ FAMILIES = {
 }
 EXTENSION = {"src_ip": ["src", "srcip", "saddr", "src_ip"], "dst_ip": ["dst", "dstip", "daddr", "dst_ip"], "src_port": ["spt", "src_port", "sport"], "dst_port": ["dpt", "dst_port", "dport"], "action": ["act", "action"], "protocol": ["proto", "protocol"]}
 UNPARSED = ["unparsed_salvage"]
+#: Keys of families; keys of unmapped that are the engine's own.
+KNOWN, TAKEN = [k for keys in FAMILIES.values() for k in keys], ("raw_locator", "raw_sha256")
+#: Paths that have a column.
+PLACED = ("src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpoint.port", "actor.user.name", "device.hostname", "activity_name", "severity_id", "severity", "http_request.url", "http_request.http_method", "file.name", "file.hashes.sha256", "network_endpoint.mac", "message", "status_id", "connection_info.protocol_name", "connection_info.protocol_num", "metadata.product.name", "metadata.product.vendor_name", "metadata.product.version", "metadata.event_code", "process.pid")
 
 
 #: Members of an event that are objects, and theirs.
@@ -105,6 +110,68 @@ def picked(fields: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_element_at(fields, F.lit(k)) for k in reversed(keys)])
 
 
+@dataclass
+class Sides:
+    """Where a line's fields go: texts by mapped path, texts by family of keys, and what stays unmapped as a map."""
+
+    mapped: dict[str, Column]
+    free: dict[str, Column]
+    rest: Column
+
+
+def newest(fields: Column, keys: Sequence[str]) -> Column:
+    """Value of the key that comes last in the line."""
+    if len(keys) == 1:
+        return F.try_element_at(fields, F.lit(keys[0]))
+    return F.try_element_at(fields, F.try_element_at(F.filter(F.map_keys(fields), lambda k: k.isin(*keys)), F.lit(-1)))
+
+
+def known_sides(df: DataFrame, packs: Sequence[Pack], placed: Collection[str]) -> tuple[DataFrame, Sides]:
+    """Sides of lines with their packs' mappings alone; needs no maps but the rest."""
+    claimed, fields = F.col("claimed"), F.col("_fields")
+    keys = {p.id: {t: [k for k, to in p.mappings.items() if to == t] for t in p.mappings.values()} for p in packs}
+    mapped: dict[str, Column] = {}
+    for p in packs:
+        for t, own in keys[p.id].items():
+            if t in placed or t == "time":
+                mapped[t] = mapped.get(t, F).when(claimed == p.id, newest(fields, own))
+
+    def free(key: str) -> Column:
+        users, value = [p.id for p in packs if key in p.mappings], F.try_element_at(fields, F.lit(key))
+        return F.when(~F.coalesce(claimed.isin(*users), F.lit(False)), value) if users else value
+
+    def rest(p: Pack | None) -> Column:
+        gone = [*KNOWN, *TAKEN, *(p.mappings if p else ())]
+        kept = F.map_filter(fields, lambda k, v: ~k.isin(*gone))
+        lost = {t: own for t, own in keys[p.id].items() if t not in placed} if p else {}
+        if not lost:
+            return kept
+        there = [F.struct(F.lit(t).alias("k"), newest(fields, own).alias("v"), F.arrays_overlap(F.map_keys(fields), F.array(*map(F.lit, own))).alias("there")) for t, own in lost.items()]
+        unplaced = F.map_from_entries(F.transform(F.filter(F.array(*there), lambda e: e["there"]), lambda e: F.struct(e["k"], e["v"])))
+        return F.map_concat(F.map_filter(kept, lambda k, v: ~F.map_contains_key(unplaced, k)), F.map_filter(unplaced, lambda k, v: ~((k == "time") & v.try_cast("long").isNotNull())))
+
+    return df, Sides(mapped, {k: F.coalesce(*[free(key) for key in reversed(own)]) for k, own in FAMILIES.items()}, by_pack(claimed, packs, rest, rest(None)))
+
+
+def inferred_sides(df: DataFrame, packs: Sequence[Pack], placed: Collection[str]) -> tuple[DataFrame, Sides]:
+    """Sides of lines whose mappings are partly inferred, so known only row by row. Mappings to paths without a column, and times that
+    aren't numbers, aren't lost."""
+    fields, inferred = F.col("_fields"), F.coalesce(F.col("mappings"), empty_map())
+    maps = by_pack(F.col("claimed"), packs, lambda p: F.create_map(*[F.lit(x) for pair in p.mappings.items() for x in pair]) if p.mappings else empty_map(), empty_map())
+    to = F.when(F.size(inferred) > 0, F.map_concat(F.map_filter(maps, lambda k, v: ~F.map_contains_key(inferred, k)), inferred)).otherwise(maps)
+    df = df.withColumn("_to", to)
+    to = F.col("_to")
+    own = F.map_filter(fields, lambda k, v: F.map_contains_key(to, k))
+    df = df.withColumns({
+        "_mapped": decoders.last_wins(F.transform(F.map_keys(own), lambda k: F.element_at(to, k)), F.map_values(own)),
+        "_free": F.map_filter(fields, lambda k, v: ~F.map_contains_key(to, k) & k.isin(*KNOWN)),
+    })
+    df = df.withColumn("_unplaced", F.map_filter("_mapped", lambda k, v: ~k.isin(*sorted(placed))))
+    rest = F.map_filter(fields, lambda k, v: ~F.map_contains_key(to, k) & ~k.isin(*KNOWN, *TAKEN) & ~F.map_contains_key(F.col("_unplaced"), k))
+    over = F.map_filter("_unplaced", lambda k, v: ~((k == "time") & v.try_cast("long").isNotNull()))
+    return df, Sides({t: F.try_element_at("_mapped", F.lit(t)) for t in sorted({*placed, "time"})}, {k: picked(F.col("_free"), keys) for k, keys in FAMILIES.items()}, F.map_concat(rest, over))
+
+
 def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Column = 0) -> DataFrame:
     """Adds event (a struct whose members are in alphabetical order, as canonical JSON wants them).
 
@@ -117,22 +184,15 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     claimed = F.col("claimed")
     hinted = F.coalesce(F.nullif(F.col("vendor_hint"), F.lit("")), F.lit("Generic")) if "vendor_hint" in df.columns else F.lit("Generic")
     texts = lambda value, default: by_pack(claimed, packs, lambda p: F.lit(value(p)), F.lit(default))
-    maps = by_pack(claimed, packs, lambda p: F.create_map(*[F.lit(x) for pair in p.mappings.items() for x in pair]) if p.mappings else empty_map(), empty_map())
-    if "mappings" in df.columns:
-        inferred = F.coalesce(F.col("mappings"), empty_map())
-        maps = F.when(F.size(inferred) > 0, F.map_concat(F.map_filter(maps, lambda k, v: ~F.map_contains_key(inferred, k)), inferred)).otherwise(maps)
-    df = df.withColumns({"_fields": F.coalesce(F.col("fields"), empty_map()), "_to": maps})
-    fields, to = F.col("_fields"), F.col("_to")
-    known = [k for keys in FAMILIES.values() for k in keys]
-    mapped = F.map_filter(fields, lambda k, v: F.map_contains_key(to, k))
-    df = df.withColumns({
-        "_mapped": decoders.last_wins(F.transform(F.map_keys(mapped), lambda k: F.element_at(to, k)), F.map_values(mapped)),
-        "_free": F.map_filter(fields, lambda k, v: ~F.map_contains_key(to, k) & k.isin(known)),
-        "_rest": F.map_filter(fields, lambda k, v: ~F.map_contains_key(to, k) & ~k.isin(known)),
-        "_ext": F.coalesce(F.from_json(F.try_element_at(fields, F.lit("extension")), decoders.STRINGS), empty_map()),
-    })
-    m = lambda path: F.try_element_at(F.col("_mapped"), F.lit(path))
-    f = lambda family: picked(F.col("_free"), FAMILIES[family])
+    columns = df.columns
+    df = df.withColumn("_fields", F.coalesce(F.col("fields"), empty_map()))
+    fields, extra = F.col("_fields"), further(packs)
+    # a pack's mappings are known when the plan is made, so its fields are read by name; inferred ones are known row by row
+    df, sides = (inferred_sides if "mappings" in columns else known_sides)(df, packs, {*extra, *PLACED})
+    at = {t: f"_mapped{i}" for i, t in enumerate(sides.mapped)}
+    df = df.withColumns({"_ext": F.coalesce(F.from_json(F.try_element_at(fields, F.lit("extension")), decoders.STRINGS), empty_map()), "_rest": sides.rest, **{at[t]: c for t, c in sides.mapped.items()}, **{f"_free_{k}": c for k, c in sides.free.items()}})
+    m = lambda path: F.col(at[path]) if path in at else F.lit(None).cast("string")
+    f = lambda family: F.col(f"_free_{family}")
     x = lambda family: picked(F.col("_ext"), EXTENSION[family])
     port = lambda c: c.try_cast("int")
 
@@ -160,15 +220,9 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     )
     labels = by_pack(claimed, packs, lambda p: F.array(*map(F.lit, p.labels)).cast("array<string>"), F.array(*map(F.lit, UNPARSED)))
     mapped_time = m("time").try_cast("long")
-    extra = further(packs)
-    placed = [*extra, "src_endpoint.ip", "src_endpoint.port", "dst_endpoint.ip", "dst_endpoint.port", "actor.user.name", "device.hostname", "activity_name", "severity_id", "severity", "http_request.url", "http_request.http_method", "file.name", "file.hashes.sha256", "network_endpoint.mac", "message", "status_id", "connection_info.protocol_name", "connection_info.protocol_num", "metadata.product.name", "metadata.product.vendor_name", "metadata.product.version", "metadata.event_code", "process.pid"]
-    # mappings to paths without a column, and times that aren't numbers, aren't lost
-    df = df.withColumn("_unplaced", F.map_filter("_mapped", lambda k, v: ~k.isin(placed)))
-    over = F.map_filter("_unplaced", lambda k, v: ~((k == "time") & v.try_cast("long").isNotNull()))
-    extras = F.map_from_arrays(F.array(F.lit("raw_locator"), F.lit("raw_sha256")), F.array(F.col("locator"), F.col("raw_sha256")))
-    taken = F.array(F.lit("raw_locator"), F.lit("raw_sha256"))
-    rest = F.map_filter(F.col("_rest"), lambda k, v: ~F.array_contains(taken, k) & ~F.map_contains_key(F.col("_unplaced"), k))
-    unmapped = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, over, extras))))
+    extras = F.map_from_arrays(F.array(*map(F.lit, TAKEN)), F.array(F.col("locator"), F.col("raw_sha256")))
+    # keys are unique, so entries are in order of keys
+    unmapped = F.map_from_entries(F.sort_array(F.map_entries(F.map_concat(F.col("_rest"), extras))))
     mapped_severity, mapped_status = m("severity_id"), m("status_id")
     members = {
         "activity_name": F.coalesce(action, m("activity_name")),
@@ -196,7 +250,7 @@ def normalize(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int | Col
     replaced = {"src_endpoint": own_src, "dst_endpoint": own_dst, "actor": f("user").isNotNull(), "device": f("hostname").isNotNull()}
     members = grafted(members, extra, m, replaced)
     event = F.struct(*[members[k].alias(k) for k in sorted(members)])
-    return df.withColumn("event", event).drop("_fields", "_to", "_mapped", "_free", "_rest", "_ext", "_unplaced")
+    return df.select(*columns, event.alias("event"))
 
 
 def valid(event: Column) -> Column:

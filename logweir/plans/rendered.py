@@ -32,5 +32,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines as records, numbered by event."""
-    return lines.texts(lines.spread(events(spark, sf_dir)), "line", "events", "event_id")
+    """The lines as records, numbered by event. Rows are dealt before their lines are rendered."""
+    rows = lines.spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type"))
+    return lines.texts(rows.withColumn("line", F.expr(LINE)), "line", "events", "event_id")

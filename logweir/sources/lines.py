@@ -12,15 +12,21 @@ SCHEMA = "source string, line_no long, raw_bytes binary, raw_text string"
 
 def shaped(df: DataFrame) -> DataFrame:
     """Bytes stay as they are; the text is what they decode to, stripped; blank records are left out."""
-    text = F.regexp_replace(F.make_valid_utf8(F.col("raw_bytes").cast("string")), r"^\s+|\s+$", "")
-    return df.withColumn("raw_text", text).where("raw_text <> ''").select("source", "line_no", "raw_bytes", "raw_text")
+    text = F.make_valid_utf8(F.col("raw_bytes").cast("string"))
+    # Catalyst moves the condition below a shuffle of the lines, to the scan's few tasks, so it is the cheapest one: some character
+    return df.where(text.rlike(r"\S")).withColumn("raw_text", F.regexp_replace(text, r"^\s+|\s+$", "")).select("source", "line_no", "raw_bytes", "raw_text")
+
+
+#: Rows of a task that decodes lines, about: a table of twice the rows is twice the tasks, not tasks of twice the length.
+SPREAD = 50_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer splits than there are cores, dealt to all of them: decoding a line costs far more than moving it.
-    Tables of more splits stay as they are. df must be a plain scan, as its partitions are counted."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Rows of a scan dealt to tasks of SPREAD rows, and to all cores at least: decoding a line costs far more than moving it, and a
+    scan's splits grow with the table and are no smaller than its row groups. df must be a plain scan, as its rows are counted (for
+    Parquet from the footers) and its partitions too; one that has the tasks already stays as it is."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
