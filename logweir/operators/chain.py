@@ -52,11 +52,18 @@ def anchor(chain: Column, range_: Column) -> Column:
     return digest(F.concat(F.coalesce(chain, F.lit("")), F.lit("#"), range_.cast("string")))
 
 
-def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = None, size: int = RANGE) -> DataFrame:
+def dealt_ranges(df: DataFrame, tasks: int, chain: str = "chain_id", size: int = RANGE) -> DataFrame:
+    """df with each range of a chain in one task, in order: what append() takes as dealt."""
+    keys = [F.coalesce(F.col(chain).cast("string"), F.lit("")), range_of(F.col("sequence"), size)]
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, "sequence")
+
+
+def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = None, size: int = RANGE, dealt: bool = False) -> DataFrame:
     """Adds prev_hash, fingerprint and event_json (canonical) to rows with chain, sequence, event and event_id.
 
     A range of a chain is one ordered pass over its rows, `size` at most; ranges run side by side. heads: chain_id, sequence and
-    fingerprint of each chain's last event so far (links() has them), where a chain goes on within a range.
+    fingerprint of each chain's last event so far (links() has them), where a chain goes on within a range. dealt: rows come as
+    dealt_ranges() has left them, by row-wise steps only, so they aren't moved again.
     """
     first, middle, last = parts(F.col("event"), df.schema["event"].dataType.names, {"event_id": F.col("event_id"), "sequence": F.col("sequence")})
     columns = df.columns
@@ -66,8 +73,8 @@ def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = Non
         rows = rows.withColumn("_open", F.lit(None).cast("string"))
     else:  # a row a chain
         ends = heads.select(F.coalesce(F.col("chain_id").cast("string"), F.lit("")).alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("fingerprint").alias("_open"))
-        rows = rows.join(ends, ["_chain", "_range"], "left")
-    rows = rows.repartition("_chain", "_range").sortWithinPartitions("_chain", "_range", "sequence")
+        rows = rows.join(F.broadcast(ends) if dealt else ends, ["_chain", "_range"], "left")
+    rows = rows if dealt else rows.repartition("_chain", "_range").sortWithinPartitions("_chain", "_range", "sequence")
     rows = rows.select(*columns, "_chain", "_range", F.coalesce("_open", anchor(F.col("_chain"), F.col("_range"))).alias("_open"), first.alias("_a"), middle.alias("_b"), last.alias("_c"))
     n = len(columns)
 

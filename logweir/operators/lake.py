@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import CODEC
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Chained events as the lake's 19 columns; what is missing is empty text, or null for ports. Where events have a chain_id, the
@@ -31,14 +33,16 @@ class Batch:
     def __init__(self, lake: Lake, batch: int):
         self.lake, self.batch, self.n, self.tables = lake, batch, lake.last() + 1, {}
 
-    def write(self, df: DataFrame, table: str, upsert: bool = True, replaces: bool = False, by: str | None = None) -> None:
-        """Rows dealt by the bucket of their key, or by the column `by`. upsert=False declares that none of the keys was written before."""
+    def write(self, df: DataFrame, table: str, upsert: bool = True, replaces: bool = False, by: str | None = None, dealt: bool = True) -> None:
+        """Rows dealt by the bucket of their key, or by the column `by`. upsert=False declares that none of the keys was written before.
+        dealt=False leaves rows in their tasks, each of which writes a file a bucket: for tables whose buckets would be tasks too large."""
         keys = Lake.KEYS.get(table)
         place = by or "_bucket"
         rows = df if by else df.withColumn("_bucket", self.lake.bucket(*keys))
         # a bucket's rows meet in a few files, and their keys' order lets a lookup skip row groups
-        rows = rows if by else rows.repartition("_bucket").sortWithinPartitions("_bucket", *keys)
-        rows.write.mode("overwrite").partitionBy(place).parquet(f"{self.lake.path}/{table}/_n={self.n}")
+        rows = rows.repartition("_bucket") if dealt and not by else rows
+        rows = rows if by else rows.sortWithinPartitions("_bucket", *keys)
+        rows.write.mode("overwrite").option("compression", CODEC).partitionBy(place).parquet(f"{self.lake.path}/{table}/_n={self.n}")
         self.tables[table] = {"upsert": upsert, "replaces": replaces, "schema": rows.schema.jsonValue()}
 
     def commit(self) -> int:

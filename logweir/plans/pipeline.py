@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import salvage
 from ..operators import chain, clusters, detect, lake, matching, normalize, vault
+from ..sources import lines as lines_
 from ..sources.packs import BUILT_IN, Pack
 from ..sources.tables import written
 
@@ -35,7 +36,12 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
     lines = lines if vendor_hint is None else lines.withColumn("vendor_hint", F.lit(vendor_hint))
     placed = written(vault.place(lines, first_segment=first_segment, sequence=start), "placed")
     table = vault.blocks(placed, key=key)
-    rows = placed.withColumn("event_id", F.sha2("locator", 256))
+    # the lines of one chain are dealt by its ranges while they are short, and decoded where they are chained, so events aren't shuffled;
+    # inference joins salvaged rows with others, after which rows are no longer in order
+    whole = not inference and chain_by is None
+    rows = chain.dealt_ranges(placed.withColumn("chain_id", F.lit("main")), tasks(placed), size=chain_size) if whole else placed
+    heads = heads.where("chain_id = 'main'") if whole and heads is not None else heads
+    rows = rows.withColumn("event_id", F.sha2("locator", 256))
     rows = detect.extract(detect.route(rows, packs), packs)
     review, told = None, None
     hint = ["vendor_hint"] * ("vendor_hint" in rows.columns)
@@ -55,7 +61,12 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
         rows = none.unionByName(some)
     rows = normalize.normalize(rows, packs, now_ms)
     rows = rows.withColumn("chain_id", F.lit("main") if chain_by is None else F.col(chain_by).cast("string"))
-    return Run(normalize.lineage(chain.append(rows, heads=heads, size=chain_size)), table, review, told)
+    return Run(normalize.lineage(chain.append(rows, heads=heads, size=chain_size, dealt=whole)), table, review, told)
+
+
+def tasks(rows: DataFrame) -> int:
+    """Tasks that decode written rows: by their number, which Parquet footers hold, and as many as cores at least."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // lines_.SPREAD))
 
 
 def resume(into: lake.Lake) -> dict:
@@ -74,16 +85,19 @@ def resume(into: lake.Lake) -> dict:
 
 def commit(run: Run, into: lake.Lake, batch: int = 0, chain_size: int = chain.RANGE) -> DataFrame:
     """Blocks, lineage, review entries, links and events as one commit of the lake; returns the events, which are computed once."""
-    events = written(run.events, "events")
+    # lineage follows from the other columns, so it isn't kept twice
+    events = normalize.lineage(written(run.events.drop("lineage"), "events"))
+    # a large batch is written by the tasks that read it, as its splits fill files of all buckets
+    dealt = events.rdd.getNumPartitions() <= into.buckets
     before = into.latest("chain_links") if into.exists("chain_links") else None
     own = into.begin(batch)
     own.write(run.blocks, "vault", upsert=False, by="seg")
-    own.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", upsert=False)
+    own.write(events.select("event_id", F.to_json("lineage").alias("lineage_json")), "lineage_log", upsert=False, dealt=dealt)
     if run.review is not None:
         own.write(run.review, "review_queue", upsert=False)
     if run.clusters is not None:
         own.write(run.clusters, "clusters")
     own.write(chain.linked(chain.ranges(events, size=chain_size), before), "chain_links", upsert=before is not None)
-    own.write(lake.flat(events), "parsed_logs", upsert=False)
+    own.write(lake.flat(events), "parsed_logs", upsert=False, dealt=dealt)
     own.commit()
     return events

@@ -4,9 +4,11 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from logweir.operators import detect, normalize
+from logweir.operators import chain, detect, lake, normalize
+from logweir.plans import pipeline
 from logweir.sources import lines
 from logweir.sources.packs import BUILT_IN
+from logweir.sources.tables import fresh, written
 
 
 def events_of(rows, packs=BUILT_IN):
@@ -49,3 +51,24 @@ def test_fields_by_name_are_those_by_inferred_mapping(spark):
     by_map = normalize.normalize(rows.withColumn("mappings", F.lit(None).cast("map<string,string>")), packs)
     told = [[r[0] for r in df.orderBy("line_no").select(F.to_json("event")).collect()] for df in (by_name, by_map)]
     assert told[0] == told[1] and '"time":99' in told[0][0] and '"time":"abc"' in told[0][1] and '"ip":"5.6.7.8"' in told[0][0] and '"ip":"1.2.3.4"' in told[0][1]
+
+
+def test_events_of_one_chain_are_not_shuffled(spark):
+    """Lines are dealt by ranges before they are decoded; a later batch goes on within the last range; all hold as one chain."""
+    said = [f"job {i} of x took {i} ms at 10.0.0.{i % 250} port 7" for i in range(200)]
+    run = pipeline.process(lines.records(spark, said[:150]), inference=False, chain_size=64)
+    plan = run.events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("MapInArrow") < plan.index("xml_text") < plan.index("RepartitionByExpression")
+    first = written(run.events.drop("lineage"), "first")
+    heads = first.orderBy(F.desc("sequence")).limit(1).select("chain_id", "sequence", "fingerprint")
+    rest = pipeline.process(lines.records(spark, said[150:]), inference=False, chain_size=64, start=151, heads=heads).events
+    both = first.select("chain_id", "sequence", "prev_hash", "fingerprint", "event_json").unionByName(rest.select("chain_id", "sequence", "prev_hash", "fingerprint", "event_json"))
+    assert tuple(chain.verify(both, chain="chain_id", size=64).first()) == (True, 200, None)
+
+
+def test_rows_that_stay_in_their_tasks_are_found_by_bucket(spark):
+    into = lake.Lake(spark, fresh(spark, "undealt"))
+    own = into.begin(0)
+    own.write(spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("event_id")), "lineage_log", upsert=False, dealt=False)
+    own.commit()
+    assert into.latest("lineage_log").count() == 1000 and into.lookup("lineage_log", "77").count() == 1
