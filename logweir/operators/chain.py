@@ -9,7 +9,7 @@ range, and no range, nor the end of one, without breaking the links. A later bat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +43,12 @@ def parts(event: Column, members: list[str], more: Mapping[str, Column]) -> list
     return [text(lambda k: k < SEAL), text(lambda k: SEAL < k < MEMBER), text(lambda k: k > MEMBER)]
 
 
+def around(first: Column, middle: Column, last: Column) -> list[Column]:
+    """parts() with the braces, and the commas that fit where one is empty."""
+    comma = lambda c: F.when(c != "", F.lit(",")).otherwise(F.lit(""))
+    return [F.concat(F.lit("{"), first, comma(first)), F.concat(middle, comma(middle)), F.concat(comma(last), last, F.lit("}"))]
+
+
 def range_of(sequence: Column, size: int = RANGE) -> Column:
     return F.floor((sequence - 1) / size)
 
@@ -58,24 +64,28 @@ def dealt_ranges(df: DataFrame, tasks: int, chain: str = "chain_id", size: int =
     return df.repartition(tasks, *keys).sortWithinPartitions(*keys, "sequence")
 
 
-def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = None, size: int = RANGE, dealt: bool = False) -> DataFrame:
+def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = None, size: int = RANGE, dealt: bool = False, keep: Sequence[Column | str] | None = None) -> DataFrame:
     """Adds prev_hash, fingerprint and event_json (canonical) to rows with chain, sequence, event and event_id.
 
     A range of a chain is one ordered pass over its rows, `size` at most; ranges run side by side. heads: chain_id, sequence and
     fingerprint of each chain's last event so far (links() has them), where a chain goes on within a range. dealt: rows come as
-    dealt_ranges() has left them, by row-wise steps only, so they aren't moved again.
+    dealt_ranges() has left them, by row-wise steps only, so they aren't moved again. keep: the columns that are wanted beside these three
+    (None: all of df); all that is kept goes through Python, where nothing that a reader leaves out later can be left out.
     """
     first, middle, last = parts(F.col("event"), df.schema["event"].dataType.names, {"event_id": F.col("event_id"), "sequence": F.col("sequence")})
-    columns = df.columns
+    kept = df.select(*(df.columns if keep is None else keep))
+    columns, texts = kept.columns, [c.alias(k) for k, c in zip(("_a", "_b", "_c"), around(first, middle, last), strict=True)]
+    # where events stay out, their texts are made before rows are moved
+    early = [] if keep is None else texts
     name = F.coalesce(F.col(chain).cast("string"), F.lit(""))
-    rows = df.withColumns({"_chain": name, "_range": range_of(F.col("sequence"), size)})
+    rows = df.select(*(df.columns if keep is None else keep), name.alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("sequence").alias("_at"), *early)
     if heads is None:
         rows = rows.withColumn("_open", F.lit(None).cast("string"))
     else:  # a row a chain
         ends = heads.select(F.coalesce(F.col("chain_id").cast("string"), F.lit("")).alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("fingerprint").alias("_open"))
         rows = rows.join(F.broadcast(ends) if dealt else ends, ["_chain", "_range"], "left")
-    rows = rows if dealt else rows.repartition("_chain", "_range").sortWithinPartitions("_chain", "_range", "sequence")
-    rows = rows.select(*columns, "_chain", "_range", F.coalesce("_open", anchor(F.col("_chain"), F.col("_range"))).alias("_open"), first.alias("_a"), middle.alias("_b"), last.alias("_c"))
+    rows = rows if dealt else rows.repartition("_chain", "_range").sortWithinPartitions("_chain", "_range", "_at")
+    rows = rows.select(*columns, "_chain", "_range", F.coalesce("_open", anchor(F.col("_chain"), F.col("_range"))).alias("_open"), *(["_a", "_b", "_c"] if early else texts))
     n = len(columns)
 
     def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +96,13 @@ def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = Non
                 if (c, r) != now:
                     now, end = (c, r), start
                 prev.append(end)
-                rest = ",".join(filter(None, (y, f'"{MEMBER}":"{end}"', z)))
-                end = hashlib.sha256(f"{{{x}{',' if x else ''}{rest}}}".encode()).hexdigest()
+                rest = f'{y}"{MEMBER}":"{end}"{z}'
+                end = hashlib.sha256(f"{x}{rest}".encode()).hexdigest()
                 own.append(end)
-                texts.append(f"""{{{x}{',' if x else ''}"{SEAL}":"{end}",{rest}}}""")
+                texts.append(f'{x}"{SEAL}":"{end}",{rest}')
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(a, pa.string()) for a in (prev, own, texts))], names=[*b.schema.names[:n], MEMBER, SEAL, "event_json"])
 
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in (MEMBER, SEAL, "event_json"))])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.StringType()) for c in (MEMBER, SEAL, "event_json"))])
     return rows.mapInArrow(sealed, schema)
 
 

@@ -50,12 +50,25 @@ def route(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, text: str = "raw_text
     return df.withColumn("claimed", out.otherwise(F.lit(None).cast("string")) if packs else F.lit(None).cast("string"))
 
 
+#: Bytes of code beyond which HotSpot interprets a method for ever.
+COMPILED = 8000
+
+
+def compilable(df: DataFrame) -> None:
+    """Decoders and events of all packs in one generated method are more than the JVM compiles; beyond this limit Spark makes many small
+    ones instead. For the session."""
+    conf, name = df.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    if int(conf.get(name)) > COMPILED:
+        conf.set(name, str(COMPILED))
+
+
 def extract(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, text: str = "raw_text") -> DataFrame:
     """Adds fields, decoder and pack. A line whose pack can't decode it is salvaged: fields null, decoder and pack "salvage".
 
     Every decoder is a column of its own, fed only with the lines of packs that use it (so only XML lines reach a Python worker with
     content); a row then takes its pack's first filled column.
     """
+    compilable(df)
     columns: dict[tuple[str, str | None], str] = {}
     for p in packs:
         for name in p.decoders:

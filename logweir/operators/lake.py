@@ -13,16 +13,31 @@ from pyspark.sql import types as T
 from ..sources.tables import CODEC
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """Chained events as the lake's 19 columns; what is missing is empty text, or null for ports. Where events have a chain_id, the
-    column _chain keeps it for verification; readers don't see it."""
-    e = F.col("event")
-    text = lambda c: F.coalesce(c, F.lit(""))
-    return df.select(
-        "event_id", F.col("sequence").cast("long").alias("sequence"), e["time"].alias("timestamp"), e["class_uid"].alias("class_uid"), e["category_uid"].alias("category_uid"),
+def members(event: Column) -> list[Column]:
+    """The columns of the lake that come from the event; what is missing is empty text, or null for ports."""
+    e, text = event, lambda c: F.coalesce(c, F.lit(""))
+    return [
+        e["time"].alias("timestamp"), e["class_uid"].alias("class_uid"), e["category_uid"].alias("category_uid"),
         e["metadata"]["product"]["vendor_name"].alias("vendor"), e["metadata"]["product"]["name"].alias("product"), text(e["activity_name"]).alias("activity_name"),
         text(e["src_endpoint"]["ip"]).alias("src_ip"), e["src_endpoint"]["port"].alias("src_port"), text(e["dst_endpoint"]["ip"]).alias("dst_ip"), e["dst_endpoint"]["port"].alias("dst_port"),
-        text(e["actor"]["user"]["name"]).alias("user_name"), text(e["device"]["hostname"]).alias("hostname"), "fingerprint", "prev_hash", F.col("locator").alias("raw_locator"), e["raw_data"].alias("raw_payload"), F.col("event_json").alias("ocsf_json"),
+        text(e["actor"]["user"]["name"]).alias("user_name"), text(e["device"]["hostname"]).alias("hostname"), e["raw_data"].alias("raw_payload"),
+    ]
+
+
+MEMBERS = ("timestamp", "class_uid", "category_uid", "vendor", "product", "activity_name", "src_ip", "src_port", "dst_ip", "dst_port", "user_name", "hostname", "raw_payload")
+
+
+def kept() -> list[Column]:
+    """What flat() needs of events beside their seals, for chain.append: far less than the events."""
+    return [F.col("event_id"), F.col("sequence"), F.col("chain_id"), F.col("locator"), *members(F.col("event"))]
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Chained events, or what kept() leaves of them, as the lake's 19 columns. Where events have a chain_id, the column _chain keeps it
+    for verification; readers don't see it."""
+    *told, raw = members(F.col("event")) if "event" in df.columns else [F.col(c) for c in MEMBERS]
+    return df.select(
+        "event_id", F.col("sequence").cast("long").alias("sequence"), *told, "fingerprint", "prev_hash", F.col("locator").alias("raw_locator"), raw, F.col("event_json").alias("ocsf_json"),
         *[F.col("chain_id").alias("_chain")] * ("chain_id" in df.columns),
     )
 

@@ -268,18 +268,27 @@ def strictly_valid(event: Column, scheme: str = "weir") -> Column:
     return F.coalesce(valid(event) & (event["metadata"]["version"] == SCHEMA_VERSION) & locator.startswith(f"{scheme}:raw:") & (F.length(sha) > 0), F.lit(False))
 
 
+def field_keys() -> Column:
+    return F.coalesce(F.map_keys("fields"), F.array().cast("array<string>"))
+
+
+def traced() -> list[Column]:
+    """What lineage() needs of events beside seals and the lake's columns, for chain.append."""
+    return [F.col("pack"), F.col("decoder"), F.col("raw_bytes"), field_keys().alias("field_keys")]
+
+
 def lineage(df: DataFrame) -> DataFrame:
-    """Adds lineage: a struct of seven stages, from raw bytes to sink."""
+    """Adds lineage: a struct of seven stages, from raw bytes to sink. df: events, or what lake.kept() and traced() leave of them."""
     salvaged = F.col("pack") == SALVAGE
     confidence = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in df.columns else F.lit(1.0)
-    keys = F.coalesce(F.map_keys("fields"), F.array().cast("array<string>"))
+    keys = field_keys() if "fields" in df.columns else F.col("field_keys")
     return df.withColumn("lineage", F.struct(
         "event_id",
         F.struct(F.col("locator").alias("locator"), F.octet_length("raw_bytes").alias("byte_length"), F.sha2("raw_bytes", 256).alias("sha256")).alias("stage_1_raw"),
         F.struct(F.col("pack").alias("pack"), F.when(salvaged, "SALVAGE_FALLBACK").otherwise("CLAIMED").alias("status")).alias("stage_2_detection"),
         F.struct(F.col("decoder").alias("decoder"), F.size(keys).alias("field_count"), keys.alias("keys")).alias("stage_3_extraction"),
         F.struct(confidence.alias("vector_confidence"), F.when(confidence >= 0.85, "GREEN").when(confidence >= 0.60, "YELLOW").otherwise("RED").alias("confidence_band")).alias("stage_4_inference"),
-        F.struct(F.lit(SCHEMA_VERSION).alias("ocsf_version"), F.col("event.class_uid").alias("class_uid")).alias("stage_5_normalization"),
+        F.struct(F.lit(SCHEMA_VERSION).alias("ocsf_version"), F.col("event.class_uid" if "event" in df.columns else "class_uid").alias("class_uid")).alias("stage_5_normalization"),
         F.struct(F.lit("RFC8785_JCS").alias("canonical_scheme"), F.lit("SHA256").alias("algorithm"), F.col("fingerprint").alias("fingerprint"), F.col("prev_hash").alias("prev_hash")).alias("stage_6_attestation"),
         F.struct(F.lit("COMMITTED").alias("status"), F.array(F.lit("NDJSON"), F.lit("PARQUET")).alias("formats")).alias("stage_7_sink"),
     ))

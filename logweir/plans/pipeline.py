@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import salvage
@@ -25,13 +25,13 @@ class Run:
     clusters: DataFrame | None = None
 
 
-def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = True, chain_by: str | None = None, start: int = 1, heads: DataFrame | None = None, first_segment: int = 0, key: bytes | None = None, chain_size: int = chain.RANGE, vendor_hint: str | None = None, clusters_before: DataFrame | None = None) -> Run:
+def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0, inference: bool = True, chain_by: str | None = None, start: int = 1, heads: DataFrame | None = None, first_segment: int = 0, key: bytes | None = None, chain_size: int = chain.RANGE, vendor_hint: str | None = None, clusters_before: DataFrame | None = None, keep: Sequence[Column] | None = None) -> Run:
     """Vault, routing, extraction, salvage and inference, normalisation, sequence, chain and lineage of records (sources.lines).
 
     Event ids derive from locators and the batch time is a parameter, so a rerun yields the same fingerprints. chain_by names a column
     whose values are chains of their own (None: one chain); heads are the chains' last events so far. Inference runs over salvaged rows
     only; clusters_before are the clusters of earlier batches. vendor_hint (or a column of that name) helps to name fields and the vendor
-    of lines that no pack claims.
+    of lines that no pack claims. keep: the columns of events that are wanted (for_lake(), lake.kept(); None: all); lineage is made if these suffice.
     """
     lines = lines if vendor_hint is None else lines.withColumn("vendor_hint", F.lit(vendor_hint))
     placed = written(vault.place(lines, first_segment=first_segment, sequence=start), "placed")
@@ -61,7 +61,18 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
         rows = none.unionByName(some)
     rows = normalize.normalize(rows, packs, now_ms)
     rows = rows.withColumn("chain_id", F.lit("main") if chain_by is None else F.col(chain_by).cast("string"))
-    return Run(normalize.lineage(chain.append(rows, heads=heads, size=chain_size, dealt=whole)), table, review, told)
+    keep = [*keep, F.col("confidence")] if keep is not None and inference else keep
+    events = chain.append(rows, heads=heads, size=chain_size, dealt=whole, keep=keep)
+    return Run(normalize.lineage(events) if traceable(events) else events, table, review, told)
+
+
+def traceable(events: DataFrame) -> bool:
+    return {"event", "fields"} <= {*events.columns} or {"class_uid", "field_keys", "pack", "raw_bytes", "locator"} <= {*events.columns}
+
+
+def for_lake() -> list[Column]:
+    """What commit() needs of events beside their seals: process() may leave out the rest."""
+    return [*lake.kept(), *normalize.traced()]
 
 
 def tasks(rows: DataFrame) -> int:

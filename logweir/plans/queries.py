@@ -335,7 +335,7 @@ def _(spark, sf_dir):
 
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lake rows of the rendered lines, with names as verification wants them."""
-    return written(lake.flat(pipeline.process(records(spark, sf_dir), inference=False).events).withColumnRenamed("ocsf_json", "event_json"), "chained")
+    return written(lake.flat(pipeline.process(records(spark, sf_dir), inference=False, keep=lake.kept()).events).withColumnRenamed("ocsf_json", "event_json"), "chained")
 
 
 def both_levels(rows: DataFrame, links: DataFrame, *within: int) -> DataFrame:
@@ -482,7 +482,7 @@ def _(spark, sf_dir):
 @query("snk3_ndjson", f"SELECT CAST(class_uid AS BIGINT) AS class_uid, count(*) AS n FROM ({LAKE}) GROUP BY ALL")
 def _(spark, sf_dir):
     at = fresh(spark, "ndjson")
-    lake.ndjson(pipeline.process(records(spark, sf_dir), inference=False).events, at)
+    lake.ndjson(pipeline.process(records(spark, sf_dir), inference=False, keep=[F.col("event_id")]).events, at)
     text = spark.read.text(at)
     return text.groupBy(F.get_json_object("value", "$.class_uid").cast("long").alias("class_uid")).agg(F.count("*").alias("n"))
 
@@ -507,7 +507,7 @@ def _(spark, sf_dir):
 @query("snk5_lineage", f"SELECT {PACK} AS pack, count(*) AS n, CAST(sum(strlen({LINE})) AS BIGINT) AS bytes FROM events GROUP BY ALL")
 def _(spark, sf_dir):
     into = lake.Lake(spark, fresh(spark, "lake"))
-    pipeline.commit(pipeline.process(records(spark, sf_dir), inference=False), into)
+    pipeline.commit(pipeline.process(records(spark, sf_dir), inference=False, keep=pipeline.for_lake()), into)
     json = lambda path: F.get_json_object("lineage_json", path)
     return client.Client(spark, into.path).lineage().groupBy(json("$.stage_2_detection.pack").alias("pack")).agg(F.count("*").alias("n"), F.sum(json("$.stage_1_raw.byte_length").cast("long")).alias("bytes"))
 
@@ -543,7 +543,7 @@ def _(spark, sf_dir):
 
 @query("srt4_heads", "SELECT 'main' AS chain_id, count(*) AS sequence, true AS last_seal FROM events")
 def _(spark, sf_dir):
-    rows = written(pipeline.process(records(spark, sf_dir), inference=False).events.select("chain_id", "sequence", "fingerprint"), "heads")
+    rows = written(pipeline.process(records(spark, sf_dir), inference=False, keep=[F.col("chain_id"), F.col("sequence")]).events.select("chain_id", "sequence", "fingerprint"), "heads")
     last = rows.orderBy(F.desc("sequence")).limit(1).select("chain_id", F.col("fingerprint").alias("own"))
     return chain.heads(chain.linked(chain.ranges(rows))).join(last, "chain_id").select("chain_id", "sequence", (F.col("fingerprint") == F.col("own")).alias("last_seal"))
 
@@ -637,8 +637,9 @@ def _(spark, sf_dir):
 
 @query("sal7_salvaged_events", f"""SELECT event_id, '["' || {SRC} || '"]' AS ips, '[' || {DPORT} || ']' AS ports, 'job <*> of ' || event_type || ' took <*> ms at <*> port <*>' AS template, '0.636' AS specificity FROM events WHERE event_id % 6 = 5""")
 def _(spark, sf_dir):
-    rows = pipeline.process(records(spark, sf_dir)).events.where(F.col("pack") == detect.SALVAGE)
-    rest = lambda k: F.try_element_at(F.col("event.unmapped"), F.lit(k))
+    kept = [F.col("line_no"), F.col("pack"), F.col("event.unmapped").alias("unmapped")]
+    rows = pipeline.process(records(spark, sf_dir), keep=kept).events.where(F.col("pack") == detect.SALVAGE)
+    rest = lambda k: F.try_element_at(F.col("unmapped"), F.lit(k))
     seen = lambda k: F.get_json_object(rest("observables"), f"$.{k}")
     return rows.select(F.col("line_no").alias("event_id"), seen("ip_addresses").alias("ips"), seen("ports").alias("ports"), rest("cluster_template").alias("template"), rest("specificity").alias("specificity"))
 

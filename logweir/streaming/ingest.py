@@ -30,7 +30,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, packs: Sequence[Pack]
         if into.committed(number):
             return
         rows = lines.shaped(df.withColumn("source", F.concat("source", F.lit(f"#{number}"))))
-        pipeline.commit(pipeline.process(rows, packs, now_ms, inference, **pipeline.resume(into)), into, number)
+        pipeline.commit(pipeline.process(rows, packs, now_ms, inference, keep=pipeline.for_lake(), **pipeline.resume(into)), into, number)
         if forward:
             rows.select("raw_text").write.format("udp").mode("append").options(**forward).save()
 
