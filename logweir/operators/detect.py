@@ -77,9 +77,11 @@ def extract(df: DataFrame, packs: Sequence[Pack] = BUILT_IN, text: str = "raw_te
     made = {}
     for (name, pattern), column in columns.items():
         users = [p.id for p in packs if name in p.decoders and (name != "regex" or p.regex == pattern)]
-        own = F.when(F.col("claimed").isin(users), F.col(text))
+        claimed = F.col("claimed").isin(users)
+        own = F.when(claimed, F.col(text))
         found = decoders.groups(own, pattern) if name == "regex" else decoders.DECODERS[name](own)
-        made[column] = decoders.let(found, lambda m: F.when(F.size(m) > 0, m))
+        # a decoder isn't evaluated at all for lines of other packs
+        made[column] = F.when(claimed, decoders.let(found, lambda m: F.when(F.size(m) > 0, m)))
     none = F.lit(None).cast(decoders.STRINGS)
 
     def steps(p: Pack) -> list[tuple[str, Column]]:

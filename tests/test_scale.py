@@ -72,3 +72,22 @@ def test_rows_that_stay_in_their_tasks_are_found_by_bucket(spark):
     own.write(spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("event_id")), "lineage_log", upsert=False, dealt=False)
     own.commit()
     assert into.latest("lineage_log").count() == 1000 and into.lookup("lineage_log", "77").count() == 1
+
+
+def test_only_the_columns_asked_for_are_chained(spark):
+    """What is left out of events doesn't go through Python; seals, lake rows and lineage are the same."""
+    said = [f"job {i} of x took {i} ms at 10.0.0.{i % 250} port 7" for i in range(30)] + ['devname="fw" type=traffic srcip=1.2.3.4 action=deny'] * 5
+    whole = pipeline.process(lines.records(spark, said), inference=False, chain_size=8).events
+    some = pipeline.process(lines.records(spark, said), inference=False, chain_size=8, keep=pipeline.for_lake()).events
+    assert "event" not in some.columns and "fields" not in some.columns
+    told = [sorted(map(str, lake.flat(df).collect())) for df in (whole, some)]
+    traced = [sorted(r[0] for r in df.select(F.to_json("lineage")).collect()) for df in (whole, some)]
+    assert told[0] == told[1] and traced[0] == traced[1] and len(told[0]) == 35
+    slim = pipeline.process(lines.records(spark, said), inference=False, chain_size=8, keep=[F.col("sequence")]).events
+    assert slim.columns == ["sequence", "prev_hash", "fingerprint", "event_json"]
+    assert sorted(map(str, slim.collect())) == sorted(map(str, whole.select(*slim.columns).collect()))
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    events_of(lines.records(spark, ["a=1 b=2"]))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= detect.COMPILED
