@@ -58,9 +58,19 @@ def anchor(chain: Column, range_: Column) -> Column:
     return digest(F.concat(F.coalesce(chain, F.lit("")), F.lit("#"), range_.cast("string")))
 
 
-def dealt_ranges(df: DataFrame, tasks: int, chain: str = "chain_id", size: int = RANGE) -> DataFrame:
-    """df with each range of a chain in one task, in order: what append() takes as dealt."""
+def opened(heads: DataFrame, size: int = RANGE) -> DataFrame:
+    """_chain, _range and _open: the ranges within which chains go on, and the fingerprints that they go on from. A row a chain."""
+    return heads.select(F.coalesce(F.col("chain_id").cast("string"), F.lit("")).alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("fingerprint").alias("_open"))
+
+
+def dealt_ranges(df: DataFrame, tasks: int, chain: str = "chain_id", size: int = RANGE, heads: DataFrame | None = None) -> DataFrame:
+    """df with each range of a chain in one task, in order, and with heads the column _open: what append() takes as dealt.
+
+    Heads are joined before rows are sorted, as Spark leaves out a sort whose rows go into a join.
+    """
     keys = [F.coalesce(F.col(chain).cast("string"), F.lit("")), range_of(F.col("sequence"), size)]
+    if heads is not None:
+        df = df.withColumns(dict(zip(("_chain", "_range"), keys, strict=True))).join(F.broadcast(opened(heads, size)), ["_chain", "_range"], "left").drop("_chain", "_range")
     return df.repartition(tasks, *keys).sortWithinPartitions(*keys, "sequence")
 
 
@@ -69,21 +79,25 @@ def append(df: DataFrame, chain: str = "chain_id", heads: DataFrame | None = Non
 
     A range of a chain is one ordered pass over its rows, `size` at most; ranges run side by side. heads: chain_id, sequence and
     fingerprint of each chain's last event so far (links() has them), where a chain goes on within a range. dealt: rows come as
-    dealt_ranges() has left them, by row-wise steps only, so they aren't moved again. keep: the columns that are wanted beside these three
-    (None: all of df); all that is kept goes through Python, where nothing that a reader leaves out later can be left out.
+    dealt_ranges(), which then takes the heads, has left them, by row-wise steps only, so they aren't moved again. keep: the columns that
+    are wanted beside these three (None: all of df); all that is kept goes through Python, where nothing that a reader leaves out later
+    can be left out.
     """
     first, middle, last = parts(F.col("event"), df.schema["event"].dataType.names, {"event_id": F.col("event_id"), "sequence": F.col("sequence")})
-    kept = df.select(*(df.columns if keep is None else keep))
+    if dealt and heads is not None:
+        raise ValueError("heads of dealt rows belong to dealt_ranges()")
+    joined = dealt and "_open" in df.columns
+    wanted = keep if keep is not None else [c for c in df.columns if c != "_open"] if joined else df.columns
+    kept = df.select(*wanted)
     columns, texts = kept.columns, [c.alias(k) for k, c in zip(("_a", "_b", "_c"), around(first, middle, last), strict=True)]
     # where events stay out, their texts are made before rows are moved
     early = [] if keep is None else texts
     name = F.coalesce(F.col(chain).cast("string"), F.lit(""))
-    rows = df.select(*(df.columns if keep is None else keep), name.alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("sequence").alias("_at"), *early)
-    if heads is None:
+    rows = df.select(*wanted, name.alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("sequence").alias("_at"), *["_open"] * joined, *early)
+    if heads is not None:
+        rows = rows.join(opened(heads, size), ["_chain", "_range"], "left")
+    elif not joined:
         rows = rows.withColumn("_open", F.lit(None).cast("string"))
-    else:  # a row a chain
-        ends = heads.select(F.coalesce(F.col("chain_id").cast("string"), F.lit("")).alias("_chain"), range_of(F.col("sequence"), size).alias("_range"), F.col("fingerprint").alias("_open"))
-        rows = rows.join(F.broadcast(ends) if dealt else ends, ["_chain", "_range"], "left")
     rows = rows if dealt else rows.repartition("_chain", "_range").sortWithinPartitions("_chain", "_range", "_at")
     rows = rows.select(*columns, "_chain", "_range", F.coalesce("_open", anchor(F.col("_chain"), F.col("_range"))).alias("_open"), *(["_a", "_b", "_c"] if early else texts))
     n = len(columns)

@@ -39,8 +39,8 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
     # the lines of one chain are dealt by its ranges while they are short, and decoded where they are chained, so events aren't shuffled;
     # inference joins salvaged rows with others, after which rows are no longer in order
     whole = not inference and chain_by is None
-    rows = chain.dealt_ranges(placed.withColumn("chain_id", F.lit("main")), tasks(placed), size=chain_size) if whole else placed
-    heads = heads.where("chain_id = 'main'") if whole and heads is not None else heads
+    ends = heads.where("chain_id = 'main'") if whole and heads is not None else None
+    rows = chain.dealt_ranges(placed.withColumn("chain_id", F.lit("main")), tasks(placed), size=chain_size, heads=ends) if whole else placed
     rows = rows.withColumn("event_id", F.sha2("locator", 256))
     rows = detect.extract(detect.route(rows, packs), packs)
     review, told = None, None
@@ -62,7 +62,7 @@ def process(lines: DataFrame, packs: Sequence[Pack] = BUILT_IN, now_ms: int = 0,
     rows = normalize.normalize(rows, packs, now_ms)
     rows = rows.withColumn("chain_id", F.lit("main") if chain_by is None else F.col(chain_by).cast("string"))
     keep = [*keep, F.col("confidence")] if keep is not None and inference else keep
-    events = chain.append(rows, heads=heads, size=chain_size, dealt=whole, keep=keep)
+    events = chain.append(rows, heads=None if whole else heads, size=chain_size, dealt=whole, keep=keep)
     return Run(normalize.lineage(events) if traceable(events) else events, table, review, told)
 
 

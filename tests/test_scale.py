@@ -66,6 +66,25 @@ def test_events_of_one_chain_are_not_shuffled(spark):
     assert tuple(chain.verify(both, chain="chain_id", size=64).first()) == (True, 200, None)
 
 
+def test_a_later_batch_of_many_ranges_is_chained_in_order(spark):
+    """Its lines lie in several files, and ranges reach over them; their sort isn't lost below the join with heads."""
+    said = [f"job {i} of {'x' * (i * 37 % 91)} took {i} ms at 10.0.0.{i % 250} port 7" for i in range(1500)]
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}
+    known = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        heads = spark.createDataFrame([("main", 500, "f" * 64)], "chain_id string, sequence long, fingerprint string")
+        rest = pipeline.process(lines.records(spark, said), inference=False, chain_size=64, start=501, heads=heads, keep=[F.col("sequence")]).events
+        assert rest.columns == ["sequence", "prev_hash", "fingerprint", "event_json"]
+        rest = written(rest, "rest")
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert rest.where("sequence = 501").first()["prev_hash"] == "f" * 64
+    assert tuple(chain.verify(rest, size=64, start=501).first()) == (True, 1500, None)
+
+
 def test_rows_that_stay_in_their_tasks_are_found_by_bucket(spark):
     into = lake.Lake(spark, fresh(spark, "undealt"))
     own = into.begin(0)
